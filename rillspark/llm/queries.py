@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .ordinal_quality import grade_documents
+from .quality_rules import apply_rules
 from .sentence_pieces import encode_documents
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -16,6 +19,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good; documents that are likelier good than not are kept."""
+    labels = table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    return grade_documents(table(spark, sf_dir, "documents"), ratings, grades=3, keep_from=1)
+
+
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return e.select(
@@ -26,13 +36,24 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = "crc32(cast(doc_id as string)) % 5"
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"{fold} != 0")
+    return scored.select("doc_id", F.expr(f"{fold} = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op3_sentence_pieces": op3_sentence_pieces, "op8_token_counts": op8_token_counts}
+    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op8_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
