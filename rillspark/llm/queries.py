@@ -9,6 +9,7 @@ from .common import table
 from .ordinal_quality import grade_documents
 from .quality_rules import apply_rules
 from .sentence_pieces import encode_documents
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -46,6 +47,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = "crc32(cast(doc_id as string)) % 5"
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"{fold} != 0")
@@ -53,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
