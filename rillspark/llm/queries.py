@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .ordinal_quality import grade_documents
+from .ppm import score_documents
 from .quality_rules import apply_rules
 from .sentence_pieces import encode_documents
 from .simhash import near_duplicates
@@ -42,6 +43,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    scored = score_documents(table(spark, sf_dir, "documents"), remainder != 1)
+    return scored.select("doc_id", (~F.col("train") & F.col("doc_id").isNotNull()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -59,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
