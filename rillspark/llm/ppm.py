@@ -2,9 +2,9 @@
 
 The model is a byte-context trie of order ORDER, held as counts of
 (ORDER + 1)-grams of symbols from which all shorter contexts follow. A symbol
-not seen in a context escapes to the next shorter one (method C: as likely as
-there are distinct symbols), where symbols of the longer context are excluded;
-below the empty context the unseen symbols share what is left. Texts end in an
+not seen in a context escapes to the next shorter one (method D: every distinct
+symbol gives half a count to the escape), where symbols of the longer context
+are excluded; below the empty context the unseen symbols share what is left. Texts end in an
 end symbol, so the probabilities of all texts sum to one.
 
 Nothing of the model passes whole through the driver or a task. Documents are
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, only, slices
 
-ORDER = 4
-BLOCK_BYTES = 8_000_000
+ORDER = 5
+BLOCK_BYTES = 16_000_000
 #: Symbols: bytes, the end of a text, and what stands before its start (never predicted).
 END, BEFORE, WIDTH = 256, 257, 9
 SYMBOLS = 257
@@ -113,8 +113,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
     above_d, above_x = F.lit(0), F.lit(0)
     for k in range(ORDER, -1, -1):
         n, d = F.col(f"n{k}") - above_x, F.col(f"d{k}") - above_d
-        p = F.coalesce(p, F.when(F.col(f"c{k}") > 0, escaped + F.log10(F.col(f"c{k}") / (n + d))))
-        escaped = escaped + F.when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
+        p = F.coalesce(p, F.when(F.col(f"c{k}") > 0, escaped + F.log10((2 * F.col(f"c{k}") - 1) / (2 * n))))
+        escaped = escaped + F.when(d > 0, F.log10(d / (2 * n))).otherwise(0.0)
         above_d, above_x = F.col(f"d{k}"), F.col(f"x{k}")
     rest = escaped - F.log10(F.greatest(F.lit(SYMBOLS) - above_d, F.lit(1)))
     return out.select("code", F.coalesce(p, rest).alias("p"))
