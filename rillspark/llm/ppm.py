@@ -156,11 +156,11 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         return math.log10((c + 0.5) / norm)
 
     def run(key: tuple, group: pa.Table, own: pa.Table) -> pa.Table:
-        code, word, p = own.column("code").to_numpy(), own.column("word"), own.column("p").to_numpy()
-        is_word = word.is_valid().to_numpy()
-        order = np.argsort(code[~is_word])
-        code, chance = code[~is_word][order].astype(np.int64), p[~is_word][order]
-        count = dict(zip((w.encode() for w in word.filter(word.is_valid()).to_pylist()), p[is_word].tolist(), strict=True))
+        coded, worded = (own.filter(own.column(c).is_valid()) for c in ("code", "word"))
+        code = coded.column("code").to_numpy()
+        order = np.argsort(code)
+        code, chance = code[order], coded.column("p").to_numpy()[order]
+        count = dict(zip((w.encode() for w in worded.column("word").to_pylist()), worded.column("p").to_pylist(), strict=True))
         rows = []
         for i, text in zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True):
             raw = lowered(text)
