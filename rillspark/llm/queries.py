@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .ordinal_quality import grade_documents
+from .pii import KINDS, listed, of_kind, sanitise
 from .ppm import score_documents
 from .quality_rules import apply_rules
 from .sentence_pieces import encode_documents
@@ -43,6 +44,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise(table(spark, sf_dir, "documents"))
+    counts = (F.size(of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in KINDS)
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(F.concat("spans", "terms")).alias("spans"))
+
+
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     scored = score_documents(table(spark, sf_dir, "documents"), remainder != 1)
@@ -66,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
