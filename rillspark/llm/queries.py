@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .multi_index import search
 from .ordinal_quality import grade_documents
 from .pii import KINDS, listed, of_kind, sanitise
 from .ppm import score_documents
@@ -22,6 +23,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
+
+
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 low quality, 1 good but toxic, 2 good; documents that are likelier good than not are kept."""
     labels = table(spark, sf_dir, "labels")
@@ -73,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
