@@ -59,9 +59,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Just the two columns that an operator reads; all others, of any name, play no part."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def only(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """The two columns that an operator reads, and with `whole` each row as it came, in a struct `row`.
+
+    All other columns, of any name, play no part.
+    """
+    row = [F.struct("*").alias("row")] if whole else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
 
 
 def labelled_sample(labels: DataFrame, label_col: str, limit: int, where: str = "true") -> DataFrame:

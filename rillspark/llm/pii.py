@@ -134,7 +134,7 @@ def _replaced(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda at: F.concat(F.array_join(at["parts"], ""), F.substring(text, at["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, whole: bool = False) -> DataFrame:
     """(doc_id, text, spans, terms, sanitised) of every whole text.
 
     spans: the personal data, as structs of kind, start, end and value, by kind
@@ -146,9 +146,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
 
     A null text is empty. A null id stays null. Repeated rows give repeated
     rows; copies of a context count once as evidence. An empty table gives an
-    empty one; other columns are ignored.
+    empty one; other columns are ignored, but with `whole` each row comes back
+    in a struct `row`.
     """
-    docs = only(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = only(docs, id_col, text_col, whole).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("spans", base_spans(F.col("text")))
     found = disclosures(docs, generalise)
     # what to mark depends on the text alone
@@ -176,7 +177,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
         return F.when(s["kind"] == "term", named).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
     both = F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by"))))
-    return out.withColumn("sanitised", F.when(F.size("spans") > 0, _replaced(F.col("text"), both)).otherwise(F.col("text"))).select("doc_id", "text", "spans", "terms", "sanitised")
+    return out.withColumn("sanitised", F.when(F.size("spans") > 0, _replaced(F.col("text"), both)).otherwise(F.col("text"))).select("doc_id", "text", "spans", "terms", "sanitised", *["row"] * whole)
 
 
 def listed(spans: Column) -> Column:

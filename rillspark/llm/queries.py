@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import labelled_sample, table
+from .mixing import FIT_ROWS, mix
 from .multi_index import search
 from .ordinal_quality import grade_documents
 from .pii import KINDS, listed, of_kind, sanitise
@@ -49,6 +50,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+#: Weights of the languages in the mixture.
+TARGETS = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13}
+
+
+def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents that the domain classifier is fitted on."""
+    sample = labelled_sample(table(spark, sf_dir, "labels"), "quality", FIT_ROWS)
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), labelled_languages(spark, sf_dir), TARGETS)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise(table(spark, sf_dir, "documents"))
     counts = (F.size(of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in KINDS)
@@ -78,7 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op5_mixing, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
