@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from rillspark.plans import drainage
+
+_ALL = {**drainage.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
