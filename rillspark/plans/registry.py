@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillspark.plans import drainage
+from rillspark.plans import calibration, catalog, drainage, raster
 
-_ALL = {**drainage.QUERIES}
+_ALL = {**drainage.QUERIES, **raster.QUERIES, **calibration.QUERIES, **catalog.QUERIES}
 
 
 def queries() -> dict:
