@@ -67,7 +67,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the near pairs within left, or else between left and right."""
     other = left if right is None else right
-    a, b = np.nonzero(np.bitwise_count(left[:, None] ^ other[None, :]) <= radius)
+    # bits of signed numbers would be counted in their absolute values
+    a, b = np.nonzero(np.bitwise_count((left[:, None] ^ other[None, :]).view(np.uint64)) <= radius)
     if right is None:
         a, b = a[a < b], b[a < b]
     both = np.concatenate((left, right)) if right is not None else left
