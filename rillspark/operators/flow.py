@@ -47,21 +47,31 @@ def step_length(code: Column, resolution_m: float) -> Column:
     return F.when(code % 2 == 0, F.lit(resolution_m * 2**0.5)).otherwise(F.lit(resolution_m))
 
 
-def accumulate(forest: DataFrame, **weights: Column) -> DataFrame:
-    """(cell, name...): for each weight the sum over a cell and all that drains through it.
+def accumulate(forest: DataFrame, by=F.sum, **weights: Column) -> DataFrame:
+    """(cell, name...): for each weight the sum (or by: F.min, F.max) over a cell and all that drains through it.
 
     After round k a cell holds what lies fewer than 2^k steps upstream; what its
     2^k-step senders hold comes next. Only cells that still have a pointer send.
     """
+    join = {F.min: F.least, F.max: F.greatest}.get(by, lambda a, b: a + F.coalesce(b, F.lit(0.0)))
     now = written(forest.select("cell", F.col("receiver").alias("to"), *(w.cast("double").alias(n) for n, w in weights.items())), "accumulate")
     while not now.where("to is not null").isEmpty():
-        sent = now.where("to is not null").groupBy(F.col("to").alias("cell")).agg(*(F.sum(n).alias(f"+{n}") for n in weights))
+        sent = now.where("to is not null").groupBy(F.col("to").alias("cell")).agg(*(by(n).alias(f"+{n}") for n in weights))
         jumps = now.where("to is not null").select(F.col("cell").alias("to"), F.col("to").alias("next"))
-        total = (F.col(n) + F.coalesce(F.col(f"+{n}"), F.lit(0.0)) for n in weights)
-        now = written(now.join(sent, "cell", "left").join(jumps, "to", "left").select("cell", F.col("next").alias("to"), *(t.alias(n) for t, n in zip(total, weights, strict=True))), "accumulate")
+        total = [join(F.col(n), F.col(f"+{n}")).alias(n) for n in weights]
+        now = written(now.join(sent, "cell", "left").join(jumps, "to", "left").select("cell", F.col("next").alias("to"), *total), "accumulate")
     return now.select("cell", *weights)
 
 
+def downstream(forest: DataFrame, by=F.greatest, **values: Column) -> DataFrame:
+    """(cell, name...): the largest value (or by: F.least) on the way from a cell to its outlet, both included."""
+    now = written(forest.select("cell", F.col("receiver").alias("to"), *(v.cast("double").alias(n) for n, v in values.items())), "downstream")
+    while not now.where("to is not null").isEmpty():
+        ahead = now.select(F.col("cell").alias("to"), F.col("to").alias("next"), *(F.col(n).alias(f"+{n}") for n in values))
+        now = written(now.join(ahead, "to", "left").select("cell", F.col("next").alias("to"), *(by(n, f"+{n}").alias(n) for n in values)), "downstream")
+    return now.select("cell", *values)
+
+
 def outlets(forest: DataFrame) -> DataFrame:
     """(cell, outlet, steps): the terminal that a cell drains to and how many receivers away it is."""
     now = written(forest.select("cell", F.col("receiver").alias("to"), F.col("receiver").isNotNull().cast("long").alias("steps"), F.coalesce("receiver", "cell").alias("outlet")), "outlets")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.functions import identity
+from rillspark.operators import flow
 from rillspark.operators import relational as rel
+from rillspark.plans.drainage import FLOW_SQL
 from rillspark.sources.grids import GRID_SQL, order_grid, table
 
 
@@ -122,6 +125,23 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("c_custkey", F.sha2(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment"), 256).alias("sha256"))
 
 
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stable identifier and a file name for every region of 16 by 16 cells."""
+    g = order_grid(spark, sf_dir).select((F.floor(F.col("r") / 16) - 2).alias("rr"), (F.floor(F.col("c") / 16) - 2).alias("rc")).distinct()
+    return g.select("rr", "rc", identity.stable_id(F.lit("region"), F.col("rr"), F.col("rc")).alias("id"), identity.region_file(F.col("rr"), F.col("rc")).alias("file"))
+
+
+def boundary_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow links between cells of adjacent regions, as contracts of the pair: how many, and that corners are not adjacent."""
+    g = order_grid(spark, sf_dir)
+    rr, rc = (F.floor(F.col(x) / 16) for x in ("r", "c"))
+    f = flow.receivers(g).select("cell", "receiver", rr.alias("ar"), rc.alias("ac"))
+    to = g.select(F.col("cell").alias("receiver"), rr.alias("br"), rc.alias("bc"))
+    x = f.join(to, "receiver").where("ar <> br or ac <> bc")
+    apart = F.abs(F.col("ar") - F.col("br")) + F.abs(F.col("ac") - F.col("bc"))
+    return x.groupBy("ar", "ac", "br", "bc").agg(F.count("*").alias("n"), F.max(apart == 1).alias("adjacent"))
+
+
 _G = f"with {GRID_SQL} "
 QUERIES = {
     "major_groups": (major_groups, "select c_custkey, n_name, c_acctbal from customer join nation on c_nationkey = n_nationkey where c_acctbal >= 5000"),
@@ -142,5 +162,7 @@ QUERIES = {
     "state_changes": (state_changes, """with x as (select l_orderkey, bool_and(l_linestatus = 'F') as done, max(l_shipdate) as shipped from lineitem group by 1) select o_orderstatus as was, case when o_orderstatus = 'O' and done then 'F' else o_orderstatus end as now, count(*) as n, max(coalesce(shipped, o_orderdate)) as last
  from orders left join x on l_orderkey = o_orderkey group by 1, 2"""),
     "json_props": (json_props, "with x as (select event_type, try_cast(json_extract_string(props, '$.k') as bigint) as k from events) select event_type, count(k) as n, cast(sum(k) as bigint) as total, max(k) as most from x group by 1"),
+    "stable_ids": (stable_ids, None),
+    "boundary_contracts": (boundary_contracts, FLOW_SQL + " select f.r // 16 as ar, f.c // 16 as ac, t.r // 16 as br, t.c // 16 as bc, count(*) as n, abs(f.r // 16 - t.r // 16) + abs(f.c // 16 - t.c // 16) = 1 as adjacent from f join f t on f.receiver = t.cell where f.r // 16 <> t.r // 16 or f.c // 16 <> t.c // 16 group by all"),
     "fingerprints": (fingerprints, "select c_custkey, sha256(concat_ws('|', c_custkey::varchar, c_name, c_nationkey::varchar, c_mktsegment)) as sha256 from customer"),
 }

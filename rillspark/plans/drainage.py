@@ -152,6 +152,24 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("len", steps.alias("threshold")).groupBy("threshold").agg(F.count("*").alias("n"), F.round(F.sum("len") / 1e3, 3).alias("km"))
 
 
+def channel_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest relief upstream of a cell, and the highest on the way to its outlet: what beds are cut to and floors raised to."""
+    f = forest(spark, sf_dir)
+    bed, sill = flow.accumulate(f, F.min, bed=F.col("price")), flow.downstream(f, F.greatest, sill=F.col("price"))
+    return bed.join(sill, "cell")
+
+
+def network_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of a channel network in one pass: what flows out of range, uphill, into itself, and degrees by kind."""
+    f = forest(spark, sf_dir)
+    ch = channel_network(f)
+    down = f.select(F.col("cell").alias("receiver"), F.col("z").alias("z_down"))
+    return ch.join(down, "receiver", "left").groupBy(F.coalesce("kind", F.lit("between")).alias("kind")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("z_down") > F.col("z")).alias("n_uphill"), F.count_if(F.col("cell") == F.col("receiver")).alias("n_loops"),
+        F.min("upstream").alias("least_in"), F.max("upstream").alias("most_in"), F.count_if(F.col("z_down").isNull()).alias("n_lost"),
+    )
+
+
 _STEP = f"case when code % 2 = 0 then {RESOLUTION_M} * sqrt(2) else {RESOLUTION_M} end"
 _CH = f", ch as materialized (select f.*, a.area, a.q from f join a using (cell) where a.area >= {CHANNEL_M2} and f.code between 1 and 8)"
 _NODES = (
@@ -174,6 +192,8 @@ QUERIES = {
     "river_edges": (river_edges, FLOW_SQL + _NODES + f""", walk as (select cell as begins, receiver as cell, {_STEP} as len, 0 as n_inner from nodes where kind is not null and kind <> 'outlet'
  union all select walk.begins, nodes.receiver, walk.len + {_STEP}, walk.n_inner + 1 from walk join nodes on walk.cell = nodes.cell where nodes.kind is null)
  select begins, nodes.cell as ends, cast(n_inner as bigint) as n_inner, round(len, 3) as length_m, round(q, 6) as q from walk join nodes on walk.cell = nodes.cell where nodes.kind is not null"""),
+    "channel_bed": (channel_bed, FLOW_SQL + ", bd as (select up.cell, min(o.price) as bed from up join g o on up.origin = o.cell group by up.cell), sl as (select up.origin as cell, max(o.price) as sill from up join g o on up.cell = o.cell group by up.origin) select cell, bed, sill from bd join sl using (cell)"),
+    "network_checks": (network_checks, FLOW_SQL + _NODES + " select coalesce(nodes.kind, 'between') as kind, count(*) as n, count(*) filter (f.z > nodes.z) as n_uphill, count(*) filter (nodes.cell = nodes.receiver) as n_loops, min(upstream) as least_in, max(upstream) as most_in, count(*) filter (f.cell is null) as n_lost from nodes left join f on nodes.receiver = f.cell group by 1"),
     "drainage_density": (drainage_density, FLOW_SQL + f""", x as (select zone, land, case when area >= {CHANNEL_M2} and code between 1 and 8 then {_STEP} end as len from f join a using (cell))
  select zone, round(sum(len) / 1e3, 3) as channel_km, round(sum(len) / 1e3 / (count(*) filter (land) * {AREA} / 1e6), 6) as density from x group by zone"""),
     "band_slopes": (band_slopes, FLOW_SQL + _CH + f""", sl as (select ch.z, greatest(0.0, ch.z - dn.z) / (case when ch.code % 2 = 0 then {RESOLUTION_M} * sqrt(2) else {RESOLUTION_M} end) as slope from ch join ch dn on ch.receiver = dn.cell)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions import hydrology as hy
-from rillspark.operators import flow, focal
+from rillspark.operators import components, distance, flow, focal
 from rillspark.sources.grids import GRID_SQL, RESOLUTION_M, order_grid
+from rillspark.sources.shared import shared_dir
+from rillspark.streaming import tiles
 
 H = RESOLUTION_M
 _G = f"with {GRID_SQL} "
@@ -165,6 +169,35 @@ def strided_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy(F.floor(F.col("r") / 32).alias("ty"), F.floor(F.col("c") / 32).alias("tx")).agg(F.count("*").alias("n"), F.round(F.avg("z"), 6).alias("mean"))
 
 
+def best_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box with most land in each strip of 32 rows, ties to the first in row-major order."""
+    b = box_land(spark, sf_dir).withColumn("strip", F.floor(F.col("r") / 32))
+    best = F.max(F.struct("n_land", (-F.col("r")).alias("r"), (-F.col("c")).alias("c")))
+    return b.groupBy("strip").agg(best.alias("x")).select("strip", (-F.col("x.r")).alias("r"), (-F.col("x.c")).alias("c"), "x.n_land")
+
+
+def coast_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every cell to the nearest dear cell."""
+    g = order_grid(spark, sf_dir).withColumn("dear", F.col("price") > 480_000)
+    return distance.distances(g, "dear").select("cell", F.round("distance", 8).alias("distance"))
+
+
+def dear_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-connected patches of dear cells: size, box and lowest cell."""
+    g = order_grid(spark, sf_dir).where("price > 380000").select("cell", "r", "c", "price")
+    p = components.patches(g.select("cell", "r", "c")).join(g, "cell")
+    return p.groupBy("patch").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("price", "cell"))["cell"].alias("lowest"))
+
+
+def resumed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile summaries that one run begins and the next completes: tiles already done are left alone."""
+    g = order_grid(spark, sf_dir).select(F.floor(F.col("r") / 16).alias("ty"), F.floor(F.col("c") / 16).alias("tx"), "z")
+    path = f"{shared_dir(spark)}/rillspark/tiles-{uuid.uuid4().hex}"
+    tiles.append_tiles(g, path, most=3)
+    tiles.append_tiles(g, path)
+    return spark.read.parquet(path)
+
+
 def longitudinal_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = order_grid(spark, sf_dir)
     width = g.agg((F.max("c") + 1).alias("width"))
@@ -219,6 +252,13 @@ QUERIES = {
     "summed_area": (summed_area, _G + " select cell, r, c, cast(sum(s) over (partition by c order by r) as bigint) as sat from (select *, sum(cast(land as bigint)) over (partition by r order by c) as s from g)"),
     "box_land": (box_land, _G + """, b as (select br * 8 as r, bc * 8 as c from (select distinct r // 8 as br, c // 8 as bc from g)), x as (select b.r, b.c, count(*) filter (land) as n_land from b join g on g.r between b.r and b.r + 15 and g.c between b.c and b.c + 15 group by 1, 2)
  select x.r, x.c, n_land, round(n_land / 256, 6) as share from x join g e on e.r = x.r + 15 and e.c = x.c + 15"""),
+    "best_crop": (best_crop, _G + """, b as (select br * 8 as r, bc * 8 as c from (select distinct r // 8 as br, c // 8 as bc from g)), x as (select b.r, b.c, count(*) filter (land) as n_land from b join g on g.r between b.r and b.r + 15 and g.c between b.c and b.c + 15 group by 1, 2),
+ y as (select x.* from x join g e on e.r = x.r + 15 and e.c = x.c + 15) select r // 32 as strip, r, c, n_land from (select *, row_number() over (partition by r // 32 order by n_land desc, r, c) as k from y) where k = 1"""),
+    "coast_distance": (coast_distance, _G + ", m as materialized (select r, c from g where price > 480000) select cell, round(sqrt(min((g.r - m.r) * (g.r - m.r) + (g.c - m.c) * (g.c - m.c))), 8) as distance from g, m group by cell"),
+    "dear_patches": (dear_patches, f"with recursive {GRID_SQL}, x as materialized (select cell, r, c, price from g where price > 380000), {_D8}, l as materialized (select x.cell as a, y.cell as b from x, d, x y where y.r = x.r + dr and y.c = x.c + dc)," + """
+ w(origin, cell) as (select cell, cell from x union select w.origin, l.b from w join l on w.cell = l.a), p as (select cell, min(origin) as patch from w group by cell)
+ select patch, count(*) as n, min(r) as r0, max(r) as r1, min(c) as c0, max(c) as c1, min(struct_pack(p := price, k := cell)).k as lowest from p join x using (cell) group by patch"""),
+    "resumed_tiles": (resumed_tiles, _G + " select r // 16 as ty, c // 16 as tx, count(*) as n, round(avg(z), 6) as mean, min(z) as low, max(z) as high from g group by 1, 2"),
     "finite_differences": (finite_differences, _G + f", x as (select abs({_lag('z', _C, True)} - z) as dx, abs({_lag('z', _R, True)} - z) as dy from g) select count(dx) as n_dx, count(dy) as n_dy, round(avg(dx) + avg(dy), 6) as l1 from x"),
     "autocorrelation": (autocorrelation, _G + f", x as (select zone, price, {_lag('price', _C, True)} as nxt from g) select zone, round(corr(price, nxt), 8) as lag1 from x where nxt is not null group by zone"),
     "overlap_blend": (overlap_blend, _G + """, t as (select cell, r, c, z, c // 8 as tile from g union all select cell, r, c, z, c // 8 - 1 from g where c // 8 >= 1),

@@ -68,3 +68,11 @@ def test_overlaps_meet_once(spark):
     spans = [(1, 1, 0, 300), (1, 2, 10, 20), (1, 3, 290, 400), (1, 4, 401, 410), (2, 5, 0, 5)]
     got = relational.overlaps(spark.createDataFrame(spans, "g long, k long, lo long, hi long"), "g", ["k"], 16).collect()
     assert sorted((r.a_k, r.b_k) for r in got) == [(1, 2), (1, 3)]
+
+
+def test_downstream_maximum_and_upstream_minimum(spark):
+    high = frame(spark, TREE).withColumn("v", (F.col("cell") * 7) % 10)
+    got = {r.cell: r.v for r in flow.downstream(high, v=F.col("v")).collect()}
+    assert got == {1: 9, 2: 9, 3: 9, 4: 9, 5: 9, 6: 9, 7: 9, 8: 6, 9: 3}
+    got = {r.cell: r.v for r in flow.accumulate(high, F.min, v=F.col("v")).collect()}
+    assert got == {1: 7, 2: 4, 3: 1, 4: 8, 5: 5, 6: 2, 7: 1, 8: 1, 9: 3}
