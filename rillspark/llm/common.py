@@ -1,15 +1,16 @@
-"""What the text and vector operators share: shared-storage tables, batching, samples."""
+"""What the text and vector operators share: written tables (cut), batching, samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.sources.shared import written as cut
+
+__all__ = ["cut", "labelled_sample", "only", "slices", "table", "texts_of"]
 #: Whole texts handled together inside a task, in characters: bounds a Python worker's memory.
 SLICE_CHARS = 4_000_000
 
@@ -18,30 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is spark.checkpoint.dir; only where that is unset (tests, one machine) a
-    temporary folder of this machine takes its place.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="rillspark-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """df written once as a compressed table in the shared folder, and read from there.
-
-    Work that several later steps need is done once, and a lost executor costs
-    at most a reread of replicated files.
-    """
-    path = f"{shared_dir(df.sparkSession)}/rillspark/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` characters each (one text at least)."""
     at, size = 0, 0

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillspark.operators.components import components
+
 from .common import cut, only, slices, texts_of
-from .components import components
 
 BITS, SEED = 64, 42
 #: Fingerprints in a block; a bucket with more is compared block by block.

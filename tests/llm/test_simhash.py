@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from rillspark.llm import simhash
-from rillspark.llm.components import components
+from rillspark.operators.components import components
 
 
 def slow_fingerprint(text, n=3):
