@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions import hydrology as hy
-from rillspark.operators import flow
+from rillspark.functions import identity
+from rillspark.operators import components, fill, flow
 from rillspark.sources.grids import GRID_SQL, RESOLUTION_M, order_grid
 from rillspark.sources.shared import written
 
@@ -170,6 +171,23 @@ def network_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filled_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels at which the pits of the random grid spill, with its edges as terminals."""
+    g = fill.edge_cells(order_grid(spark, sf_dir))
+    return fill.fill(g, "price", F.col("edge")).select("cell", "z", F.col("w").alias("level"))
+
+
+def depression_lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lakes: patches that filling raised, with area, depth and level; small ones first while half of their cells lasts."""
+    g = fill.edge_cells(order_grid(spark, sf_dir))
+    deep = fill.fill(g, "price", F.col("edge")).where("w - z > 5000")
+    p = components.patches(deep.select("cell", "r", "c")).join(deep.select("cell", "z", "w"), "cell")
+    lakes = p.groupBy("patch").agg(F.count("*").alias("n"), F.max(F.col("w") - F.col("z")).alias("depth"), F.avg("w").alias("level")).where("n >= 2")
+    budget = lakes.agg((F.sum("n") / 2).alias("budget"))
+    run = F.sum("n").over(Window.orderBy("n", identity.probe_key(F.col("patch")), "patch").rowsBetween(Window.unboundedPreceding, 0))
+    return lakes.withColumn("used", run).join(F.broadcast(budget)).where("used <= budget").select("patch", "n", F.round("depth", 2).alias("depth"), F.round("level", 4).alias("level"), "used")
+
+
 _STEP = f"case when code % 2 = 0 then {RESOLUTION_M} * sqrt(2) else {RESOLUTION_M} end"
 _CH = f", ch as materialized (select f.*, a.area, a.q from f join a using (cell) where a.area >= {CHANNEL_M2} and f.code between 1 and 8)"
 _NODES = (
@@ -188,6 +206,8 @@ QUERIES = {
  count(*) filter (area >= {CHANNEL_M2} and code between 1 and 8) as n_flowing, count(*) filter (area >= {CHANNEL_M2} and land) as n_land from f join a using (cell) group by zone"""),
     "area_conservation": (area_conservation, FLOW_SQL + f" select cast(sum(area) filter (receiver is null) as double) as collected, cast(count(*) * {AREA} as double) as area from f join a using (cell)"),
     "stream_orders": (stream_orders, None),
+    "filled_surface": (filled_surface, None),
+    "depression_lakes": (depression_lakes, None),
     "river_nodes": (river_nodes, FLOW_SQL + _NODES + " select cell, kind, upstream from nodes where kind is not null"),
     "river_edges": (river_edges, FLOW_SQL + _NODES + f""", walk as (select cell as begins, receiver as cell, {_STEP} as len, 0 as n_inner from nodes where kind is not null and kind <> 'outlet'
  union all select walk.begins, nodes.receiver, walk.len + {_STEP}, walk.n_inner + 1 from walk join nodes on walk.cell = nodes.cell where nodes.kind is null)
