@@ -8,15 +8,20 @@ are excluded; below the empty context the unseen symbols share what is left. Tex
 end symbol, so the probabilities of all texts sum to one.
 
 Nothing of the model passes whole through the driver or a task. Documents are
-dealt into blocks of about BLOCK_BYTES; a block lists its distinct grams and
-words once, Spark sums them over the training documents and joins each block's
-own entries with their probabilities, and the block's texts are scored by
-those. What moves grows with the blocks, that is with the input.
+dealt into blocks of about BLOCK_BYTES. A block lists its distinct grams and
+words once, as packed and compressed lists split into shards by a gram's two
+nearest context symbols (or a word's hash). Lists of a shard are merged in a
+tree, MERGE at a time, into the shard's share of the trie; all contexts of two
+or more symbols lie in one shard, shorter ones (257 ** 2 counts at most) are
+shared. Each block then gets the probabilities of its own grams and the counts
+of its own words back, and its texts are scored by those. What moves grows with
+the blocks, that is with the input.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,6 +33,8 @@ from .common import cut, only, slices
 
 ORDER = 5
 BLOCK_BYTES = 16_000_000
+#: Shards are as many as blocks between these bounds; lists merged at a time.
+LEAST_SHARDS, MOST_SHARDS, MERGE = 32, 4_096, 64
 #: Symbols: bytes, the end of a text, and what stands before its start (never predicted).
 END, BEFORE, WIDTH = 256, 257, 9
 SYMBOLS = 257
@@ -49,75 +56,134 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _entries(group: pa.Table) -> pa.Table:
-    """Distinct grams (rows with a code) and words (rows with a word) of a block, with their counts in its training documents."""
+def pack(values: np.ndarray) -> bytes:
+    """Integers, compressed; sorted ones take few bytes each."""
+    return zlib.compress(np.diff(values.astype(np.int64), prepend=0).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words hold no white space, so a space separates them."""
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    return zlib.decompress(packed).split()
+
+
+_LISTS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("codes", pa.binary()), ("n", pa.binary()), ("words", pa.binary()), ("m", pa.binary())])
+_LISTS_SQL = "part int, shard int, codes binary, n binary, words binary, m binary"
+#: The shard that holds the counts of single symbols and of pairs.
+SHORT = -1
+
+
+def _shard(code: np.ndarray, shards: int) -> np.ndarray:
+    return ((code >> WIDTH & (1 << 2 * WIDTH) - 1) * 2654435761 >> 9) % shards
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    code, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(where, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
+
+
+def _lists(group: pa.Table, shards: int) -> pa.Table:
+    """The lists of a block: its grams and words, with their counts in its training documents, by shard."""
     block = group.column("block")[0].as_py()
     texts, train = group.column("text").to_pylist(), group.column("train").to_pylist()
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    words: Counter[bytes] = Counter()
-    other: set[bytes] = set()
+    none = np.zeros(0, np.int64)
+    found, words, other = [(none, none)], Counter(), set()
     for a, b in slices(["" if t is None else t for t in texts], 1_000_000):
         raw = [lowered(t) for t in texts[a:b]]
-        for kept in (True, False):
-            mine = [r for r, t in zip(raw, train[a:b], strict=True) if t is kept]
+        for learnt in (True, False):
+            mine = [r for r, t in zip(raw, train[a:b], strict=True) if t is learnt]
             if mine:
                 code, n = np.unique(np.concatenate([grams(r) for r in mine]), return_counts=True)
-                found.append((code, n if kept else np.zeros_like(n)))
+                found.append((code, n if learnt else np.zeros_like(n)))
                 for r in mine:
-                    words.update(r.split()) if kept else other.update(r.split())
-    code, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-    n = np.bincount(where, np.concatenate([n for _, n in found]), len(code)).astype(np.int64)
+                    words.update(r.split()) if learnt else other.update(r.split())
+    code, n = _summed(found)
     names = [*words, *(other - words.keys())]
-    count = [*words.values(), *[0] * (len(names) - len(words))]
-    total = len(code) + len(names)
-    return pa.table({
-        "block": pa.array(np.full(total, block), pa.int32()),
-        "code": pa.concat_arrays([pa.array(code), pa.nulls(len(names), pa.int64())]),
-        "word": pa.concat_arrays([pa.nulls(len(code), pa.string()), pa.array([w.decode("utf-8", "replace") for w in names], pa.string())]),
-        "n": pa.concat_arrays([pa.array(n), pa.array(count, pa.int64())]),
-    })
+    m = np.array([*words.values(), *[0] * (len(names) - len(words))], np.int64)
+    at = np.fromiter((zlib.crc32(w) % shards for w in names), np.int64, len(names))
+    of, rows = _shard(code, shards), []
+    for s in range(shards):
+        mine, w = of == s, np.flatnonzero(at == s)
+        if mine.any() or len(w):
+            rows.append((block, s, pack(code[mine]), pack(n[mine]), pack_words([names[i] for i in w]), pack(m[w])))
+    pair, pairs = _summed([(code & (1 << 2 * WIDTH) - 1, n)])
+    rows.append((block, SHORT, pack(pair), pack(pairs), pack_words([]), pack(none)))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LISTS, strict=True)], schema=_LISTS)
+
+
+def _merged(key: tuple, group: pa.Table) -> pa.Table:
+    """Several lists of a shard as one; grams and words without a count stay, as they are to get probabilities."""
+    code, n = _summed([(unpack(c), unpack(k)) for c, k in zip(group.column("codes").to_pylist(), group.column("n").to_pylist(), strict=True)])
+    words: Counter[bytes] = Counter()
+    for w, m in zip(group.column("words").to_pylist(), group.column("m").to_pylist(), strict=True):
+        words.update(dict(zip(unpack_words(w), unpack(m).tolist(), strict=True)))
+    rows = [[key[0].as_py()], [key[1].as_py()], [pack(code)], [pack(n)], [pack_words(list(words))], [pack(np.array(list(words.values()), np.int64))]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _LISTS, strict=True)], schema=_LISTS)
+
+
+def merged(lists: DataFrame, parts: int) -> DataFrame:
+    """One list for each shard, by merging MERGE lists at a time."""
+    while parts > 1:
+        lists = lists.withColumn("part", F.floor(F.col("part") / MERGE).cast("int")).groupBy("part", "shard").applyInArrow(_merged, _LISTS_SQL)
+        parts = -(-parts // MERGE)
+    return lists
+
 
+class Counts:
+    """Counts of one order: grams in order, their counts, and for each context its sums."""
 
-def _last(code: Column, symbols: int) -> Column:
-    """The newest symbols of a gram."""
-    return code.bitwiseAND(F.lit((1 << WIDTH * symbols) - 1))
+    def __init__(self, gram: np.ndarray, n: np.ndarray, lower: Counts | None, symbols: int):
+        self.gram, self.n = _summed([(gram, n)]) if len(gram) else (gram, n)
+        self.context, where = np.unique(self.gram >> WIDTH, return_inverse=True)
+        less = lower.of(self.gram & (1 << WIDTH * (symbols - 1)) - 1) if lower else np.zeros(len(self.gram))
+        # symbols seen in the context, distinct ones, and how often those were seen one order below
+        self.total, self.kinds, self.below = (np.bincount(where, w, len(self.context)) for w in (self.n, None, less))
 
+    @staticmethod
+    def _find(keys: np.ndarray, values: list[np.ndarray], wanted: np.ndarray) -> list[np.ndarray]:
+        if not len(keys):
+            return [np.zeros(len(wanted)) for _ in values]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        return [np.where(hit, v[at], 0.0) for v in values]
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """(code, p): log10 probability of the newest symbol of each gram after the others.
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        return self._find(self.gram, [self.n], gram)[0]
 
-    counts: (code, n) of distinct grams with their counts in training texts;
-    grams with n = 0 get their probability too.
+    def around(self, context: np.ndarray) -> list[np.ndarray]:
+        return self._find(self.context, [self.total, self.kinds, self.below], context)
+
+
+def probabilities(code: np.ndarray, n: np.ndarray, pair: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log10 probability of the newest symbol of each gram after the others.
+
+    code, n: grams in order with their counts in training texts, all those of
+    some contexts of two symbols; grams with n = 0 get their probability too.
+    pair, pairs: the counts of all pairs of symbols.
     """
-    seen = counts.where("n > 0")
-    grown = {k: cut(seen.groupBy(_last(F.col("code"), k + 1).alias("gram")).agg(F.sum("n").alias("c")), f"ppm-order{k}") for k in range(ORDER + 1)}
-    out = counts.select("code")
-    for k, grams_k in grown.items():
-        small = k < 2  # at most 258 ** 2 rows
-        lower = grown[k - 1].select(F.col("gram").alias("tail"), F.col("c").alias("less")) if k else None
-        rows = grams_k.withColumn("context", F.shiftright("gram", WIDTH))
-        if k:
-            lower = F.broadcast(lower) if k <= 2 else lower
-            rows = rows.withColumn("tail", _last(F.col("gram"), k)).join(lower, "tail")
-        else:
-            rows = rows.withColumn("less", F.lit(0))
-        # symbols seen, distinct ones, and how often these were seen one order below
-        context = rows.groupBy("context").agg(F.sum("c").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("less").alias(f"x{k}"))
-        counts_k = grams_k.withColumnRenamed("c", f"c{k}")
-        if small:
-            context, counts_k = F.broadcast(context), F.broadcast(counts_k)
-        out = out.withColumn("gram", _last(F.col("code"), k + 1)).join(counts_k, "gram", "left").drop("gram")
-        out = out.withColumn("context", F.shiftright(_last(F.col("code"), k + 1), WIDTH)).join(context, "context", "left").drop("context")
-    out = out.na.fill(0)
-    p, escaped = F.lit(None).cast("double"), F.lit(0.0)
-    above_d, above_x = F.lit(0), F.lit(0)
+    orders: list[Counts] = []
+    for k in range(ORDER + 1):
+        gram, count = (pair, pairs) if k < 2 else (code, n)
+        gram = gram[count > 0] & (1 << WIDTH * (k + 1)) - 1
+        orders.append(Counts(gram, count[count > 0], orders[-1] if orders else None, k + 1))
+    p, escaped = np.full(len(code), np.nan), np.zeros(len(code))
+    above_d, above_x = np.zeros(len(code)), np.zeros(len(code))
     for k in range(ORDER, -1, -1):
-        n, d = F.col(f"n{k}") - above_x, F.col(f"d{k}") - above_d
-        p = F.coalesce(p, F.when(F.col(f"c{k}") > 0, escaped + F.log10((2 * F.col(f"c{k}") - 1) / (2 * n))))
-        escaped = escaped + F.when(d > 0, F.log10(d / (2 * n))).otherwise(0.0)
-        above_d, above_x = F.col(f"d{k}"), F.col(f"x{k}")
-    rest = escaped - F.log10(F.greatest(F.lit(SYMBOLS) - above_d, F.lit(1)))
-    return out.select("code", F.coalesce(p, rest).alias("p"))
+        gram = code & (1 << WIDTH * (k + 1)) - 1
+        seen, (total, kinds, below) = orders[k].of(gram), orders[k].around(gram >> WIDTH)
+        left, d = np.maximum(total - above_x, 1), kinds - above_d
+        p = np.where(np.isnan(p) & (seen > 0), escaped + np.log10(np.maximum(2 * seen - 1, 1) / (2 * left)), p)
+        escaped = escaped + np.where(d > 0, np.log10(np.maximum(d, 1) / (2 * left)), 0.0)
+        above_d, above_x = kinds, below
+    return np.where(np.isnan(p), escaped - np.log10(np.maximum(SYMBOLS - above_d, 1)), p)
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,44 +203,67 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     docs = only(docs, id_col, text_col).select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     size, learnt = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, blocks))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    entries = cut(docs.groupBy("block").applyInArrow(_entries, "block int, code long, word string, n long"), "ppm-entries")
+    lists = cut(docs.groupBy("block").applyInArrow(lambda group: _lists(group, shards), _LISTS_SQL), "ppm-lists")
 
-    codes = cut(entries.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "ppm-grams")
-    coded = entries.where("code is not null").select("block", "code").join(probabilities(codes), "code").select("block", "code", F.lit(None).cast("string").alias("word"), "p")
+    short = merged(lists.where(F.col("shard") == SHORT), blocks).first()  # 257 * 258 counts at most
+    pair, pairs = (unpack(short["codes"]), unpack(short["n"])) if short else (np.zeros(0, np.int64),) * 2
 
-    totals = entries.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
-    totals = cut(totals, "ppm-words")
-    tokens, kinds = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    tokens, kinds = tokens + learnt, kinds + (learnt > 0)
-    worded = entries.where("word is not null").select("block", "word").join(totals, "word").select("block", F.lit(None).cast("long").alias("code"), "word", F.col("c").cast("double").alias("p"))
+    def model(group: pa.Table) -> pa.Table:
+        row = group.to_pylist()[0]
+        code, n, m = unpack(row["codes"]), unpack(row["n"]), unpack(row["m"])
+        p = probabilities(code, n, pair, pairs).astype(np.float32)
+        return pa.table({"shard": pa.array([row["shard"]], pa.int32()), "codes": [row["codes"]], "p": [p.tobytes()], "words": [row["words"]], "m": [row["m"]], "tokens": [int(m.sum())], "kinds": [int((m > 0).sum())]})
+
+    whole = merged(lists.where(F.col("shard") != SHORT), blocks)
+    models = cut(whole.groupBy("shard").applyInArrow(model, "shard int, codes binary, p binary, words binary, m binary, tokens long, kinds long"), "ppm-models")
+    sums = models.agg(F.sum("tokens"), F.sum("kinds")).first()
+    tokens, kinds = (sums[0] or 0) + learnt, (sums[1] or 0) + (learnt > 0)
+
+    def answer(key: tuple, asking: pa.Table, of: pa.Table) -> pa.Table:
+        """For the lists of some blocks in a shard: the probabilities of their grams and the counts of their words."""
+        rows = []
+        if of.num_rows:
+            it = of.to_pylist()[0]
+            code, p = unpack(it["codes"]), np.frombuffer(it["p"], np.float32)
+            count = dict(zip(unpack_words(it["words"]), unpack(it["m"]).tolist(), strict=True))
+            for block, codes, words in zip(*(asking.column(c).to_pylist() for c in ("part", "codes", "words")), strict=True):
+                c = np.array([count[w] for w in unpack_words(words)], np.int64)
+                rows.append((block, codes, p[np.searchsorted(code, unpack(codes))].tobytes(), words, pack(c)))
+        out = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds_of = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table(dict(zip(("block", "codes", "p", "words", "m"), (pa.array(c, t) for c, t in zip(out, kinds_of, strict=True)), strict=True)))
 
-    known_end = learnt > 0
-    norm = tokens + 0.5 * (kinds + 1)
+    groups = -(-blocks // MERGE)
+    asked = lists.where(F.col("shard") != SHORT).withColumn("group", F.floor(F.col("part") / MERGE).cast("int"))
+    spread = models.select("shard", "codes", "p", "words", "m").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    answers = asked.groupBy("shard", "group").cogroup(spread.groupBy("shard", "group")).applyInArrow(answer, "block int, codes binary, p binary, words binary, m binary")
 
-    def base(c: float) -> float:
-        return math.log10((c + 0.5) / norm)
+    known_end, norm = learnt > 0, tokens + 0.5 * (kinds + 1)
+    end_score = math.log10((learnt + 0.5) / norm)
 
     def run(key: tuple, group: pa.Table, own: pa.Table) -> pa.Table:
-        coded, worded = (own.filter(own.column(c).is_valid()) for c in ("code", "word"))
-        code = coded.column("code").to_numpy()
+        code = np.concatenate([unpack(c) for c in own.column("codes").to_pylist()])
+        chance = np.concatenate([np.frombuffer(p, np.float32) for p in own.column("p").to_pylist()]).astype(float)
         order = np.argsort(code)
-        code, chance = code[order], coded.column("p").to_numpy()[order]
-        count = dict(zip((w.encode() for w in worded.column("word").to_pylist()), worded.column("p").to_pylist(), strict=True))
+        code, chance, count = code[order], chance[order], {}
+        for w, m in zip(own.column("words").to_pylist(), own.column("m").to_pylist(), strict=True):
+            count.update(zip(unpack_words(w), unpack(m).tolist(), strict=True))
         rows = []
         for i, text in zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True):
             raw = lowered(text)
             words = raw.split()
             c = np.fromiter(map(count.__getitem__, words), float, len(words))
-            plain = float(np.log10((c + 0.5) / norm).sum()) + base(learnt)
+            plain = float(np.log10((c + 0.5) / norm).sum()) + end_score
             score = sum(float(chance[np.searchsorted(code, np.sort(g))].sum()) for g in np.array_split(grams(raw), 1 + len(raw) // 1_000_000))
             rows.append((i, len(words) + 1, int((c > 0).sum()) + known_end, plain, score))
-        i, n, known, plain, score = zip(*rows, strict=True)
+        i, n, known, plain, score = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.table({
             "doc_id": pa.array(i, pa.int64()), "train": group.column("train"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([tokens] * len(i), pa.int64()), "base_score": pa.array(plain), "score": pa.array(score),
+            "train_tokens": pa.array([tokens] * len(i), pa.int64()), "base_score": pa.array(plain, pa.float64()), "score": pa.array(score, pa.float64()),
         })
 
-    return docs.groupBy("block").cogroup(coded.unionByName(worded).groupBy("block")).applyInArrow(
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
