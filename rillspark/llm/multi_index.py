@@ -33,7 +33,7 @@ PROBE_SHARE, PROBE_LEAST = 0.45, 2_000
 #: Groups that copies of a vector are dealt into before their smallest ids meet.
 SALTS = 16
 #: Vectors in a block of a cell.
-BLOCK = 1_024
+BLOCK = 8_192
 
 
 def usable(vector: Column) -> Column:
