@@ -24,7 +24,7 @@ from .common import cut, only, slices, texts_of
 
 #: Labelled documents that the classifier is fitted on, at most; its hashed features; words in a task's table.
 FIT_ROWS, DIMENSIONS, TABLE_WORDS = 6_000, 1 << 16, 300_000
-#: Steps, the share of a target's distance at which they end, and the weight of the pull towards rate one.
+#: Steps, the share of all tokens that is near enough to the targets, or too little progress, and the weight of the pull to rate one.
 STEPS, NEAR, PULL = 40, 1e-4, 1e-3
 #: Words that are classified together, and what smooths their counts.
 STRETCH, SMOOTH = 20, 0.5
@@ -84,9 +84,9 @@ def fit(docs: DataFrame, labelled: DataFrame, limit: int = FIT_ROWS) -> DomainMo
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """docs with n_tokens and mass array<double>: each text's words, and these shared out over the domains."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at = names.index("text")
+    """docs without text but with n_tokens and mass array<double>: each text's words, and these shared out over the domains."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, words = shared.value, Words()
@@ -105,9 +105,10 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
                         mass.append(p.sum(0).tolist())
                     else:
                         mass.append([0.0] * len(m.domains))
-                yield pa.RecordBatch.from_arrays([*(c.slice(x, y - x) for c in b.columns), pa.array(n, pa.int64()), pa.array(mass, pa.list_(pa.float64()))], [*names, "n_tokens", "mass"])
+                rest = [c.slice(x, y - x) for i, c in enumerate(b.columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(mass, pa.list_(pa.float64()))], [*names, "n_tokens", "mass"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in docs.dtypes) + ", n_tokens long, mass array<double>")
+    return docs.mapInArrow(run, "".join(f"`{k}` {v}, " for k, v in docs.dtypes if k != "text") + "n_tokens long, mass array<double>")
 
 
 def _rate(steps: list[np.ndarray], domains: int, low: float) -> Column:
@@ -132,29 +133,37 @@ def fit_rates(masses: DataFrame, targets: list[float], least_rate: float | None
     tokens than that gives; with None the total stays and rates go down to 0.
 
     Projected gradient for: squared distance of the expected totals from their
-    targets, in the metric that makes a step of one safe, plus PULL / 2 times
-    the token-weighted squares of rate - 1.
+    targets, in the metric of the rows that no bound holds, which makes a step
+    of one safe, plus PULL / 2 times the token-weighted squares of rate - 1.
     """
-    k = len(targets)
+    k, low = len(targets), least_rate or 0.0
     mass = [F.get("mass", F.lit(i)) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = masses.agg(*(F.sum(m) for m in mass), *(F.sum(mass[i] * mass[j] / F.greatest("n_tokens", F.lit(1))) for i, j in pairs)).first()
-    have = np.array([x or 0.0 for x in sums[:k]], float)
+
+    def sums(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Token totals at these rates, and the products of masses over the rows that are free to move, in one pass."""
+        products = (F.sum(F.when(free, mass[i] * mass[j] / F.greatest("n_tokens", F.lit(1)))) for i, j in pairs)
+        row = [x or 0.0 for x in masses.agg(*(F.sum(rate * m) for m in mass), *products).first()]
+        gram = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[k:], strict=True):
+            gram[i, j] = gram[j, i] = v
+        return np.array(row[:k], float), gram
+
+    have, gram = sums(F.lit(1.0), F.lit(True))
     total, want = have.sum(), np.array(targets, float)
     if total <= 0 or want.sum() <= 0:
         return F.lit(1.0), {"totals": have, "targets": have, "steps": 0}
     want = want / want.sum() * (total if least_rate is None else max(h / w for h, w in zip(have, want / want.sum(), strict=True) if w > 0) * least_rate)
-    gram = np.zeros((k, k))
-    for (i, j), v in zip(pairs, sums[k:], strict=True):
-        gram[i, j] = gram[j, i] = v or 0.0
-    metric = np.linalg.inv(gram + PULL * np.trace(gram) / k * np.eye(k))
-    low, steps, got = least_rate or 0.0, [], have
+    steps, got = [], have
     for _ in range(STEPS):
         if np.abs(got - want).max() <= NEAR * want.sum():
             break
+        metric = np.linalg.inv(gram + (PULL * np.trace(gram) / k + 1e-9) * np.eye(k))
         steps.append(metric @ (got - want))
         rate = _rate(steps, k, low)
-        got = np.array([x or 0.0 for x in masses.agg(*(F.sum(rate * m) for m in mass)).first()], float)
+        last, (got, gram) = got, sums(rate, rate > low)
+        if np.abs(got - last).max() <= NEAR * want.sum():
+            break  # what is left is out of reach of rates of at least least_rate
     return _rate(steps, k, low), {"totals": got, "targets": want, "steps": len(steps)}
 
 
@@ -175,17 +184,18 @@ def mix(
     empty table gives an empty one; other columns are ignored, but with `whole`
     each row comes back in a struct `row`.
     """
-    docs = only(docs, id_col, text_col, whole)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    docs = only(docs, id_col, text_col, whole).withColumn("draw", draw)
     model = fit(docs.select("doc_id", "text"), labelled, limit) or DomainModel([""], np.zeros((1, DIMENSIONS)), np.zeros(1))
+    masses = cut(posteriors(docs.select("doc_id", "draw", "text"), model), "mixing-masses")
     rate = F.lit(1.0)
     if model.domains != [""]:
-        masses = cut(posteriors(docs.select("text"), model).select("n_tokens", "mass"), "mixing-masses")
         rate, _ = fit_rates(masses, [targets.get(d, 0.0) for d in model.domains], least_rate)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = posteriors(docs, model).withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0))
+    # whole rows are read and classified again, which costs less than a shuffle of their texts
+    out = (posteriors(docs, model) if whole else masses).withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0))
     some, best = (F.col("n_tokens") > 0) & F.lit(model.domains != [""]), F.array_max("mass")
     names = F.array(*(F.lit(d) for d in model.domains))
     return out.select(
         "doc_id", "n_tokens", F.when(some, F.element_at(names, F.array_position("mass", best).cast("int"))).alias("domain"), F.when(some, best / F.col("n_tokens")).alias("posterior"),
-        "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"), *["row"] * whole,
+        "rate", (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"), *["row"] * whole,
     )
