@@ -36,7 +36,7 @@ def _padded_sum_sql(x: str, part: str, order: str, k: int) -> str:
 
 def terrain_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = order_grid(spark, sf_dir).withColumn("dx", focal.gradient("z", "c", H)).withColumn("dy", focal.gradient("z", "r", H))
-    return g.select("cell", F.round("dx", 8).alias("dx"), F.round("dy", 8).alias("dy"), F.round(hy.hillshade(F.col("dx"), F.col("dy")), 6).alias("shade"))
+    return g.select("cell", F.round("dx", 12).alias("dx"), F.round("dy", 12).alias("dy"), F.round(hy.hillshade(F.col("dx"), F.col("dy")), 6).alias("shade"))
 
 
 def terrain_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def terrain_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def padded_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = order_grid(spark, sf_dir)
-    return g.select("cell", F.round(focal.padded_gradient("z", "c", H), 8).alias("dx"), F.round(focal.padded_gradient("z", "r", H), 8).alias("dy"))
+    return g.select("cell", F.round(focal.padded_gradient("z", "c", H), 12).alias("dx"), F.round(focal.padded_gradient("z", "r", H), 12).alias("dy"))
 
 
 def local_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def overlap_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = g.select("*", tile).withColumn("i", F.col("c") - 8 * F.col("tile"))
     v = F.avg("z").over(Window.partitionBy("r", "tile"))
     w = F.greatest(F.lit(1e-3), 1 - F.abs(F.col("i") - 7.5) / 8)
-    return cut.select("cell", v.alias("v"), w.alias("w")).groupBy("cell").agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 6).alias("blend"))
+    return cut.select("cell", v.alias("v"), w.alias("w")).groupBy("cell").agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 3).alias("blend"))
 
 
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,10 +234,10 @@ def _extreme_sql(x: str, k: int, f: str, frm: str, name: str) -> str:
 
 
 QUERIES = {
-    "terrain_gradient": (terrain_gradient, _G + f", x as ({_DXY}) select cell, round(dx, 8) as dx, round(dy, 8) as dy, round(least(greatest(0.7071067811865476 * cos(atan(sqrt(dx * dx + dy * dy))) + 0.7071067811865476 * sin(atan(sqrt(dx * dx + dy * dy))) * cos(5.497787143782138 - atan2(-dx, dy)), 0.0), 1.0), 6) as shade from x"),
+    "terrain_gradient": (terrain_gradient, _G + f", x as ({_DXY}) select cell, round(dx, 12) as dx, round(dy, 12) as dy, round(least(greatest(0.7071067811865476 * cos(atan(sqrt(dx * dx + dy * dy))) + 0.7071067811865476 * sin(atan(sqrt(dx * dx + dy * dy))) * cos(5.497787143782138 - atan2(-dx, dy)), 0.0), 1.0), 6) as shade from x"),
     "terrain_statistics": (terrain_statistics, _G + f""", x as (select *, {_LAP} as lap, sqrt(dx * dx + dy * dy) as s from ({_DXY})) select zone, round(avg(z), 6) as mean, round(stddev_pop(z), 6) as std, min(z) as low, max(z) as high,
  round(max(z) - min(z), 6) as range, round(avg(s), 6) as slope_mean, round(stddev_pop(s), 6) as slope_std, round(sqrt(avg(s * s)), 6) as slope_rms, round(sqrt(avg(lap * lap)), 6) as laplacian_rms from x group by zone"""),
-    "padded_gradient": (padded_gradient, _G + f" select cell, round((coalesce({_lag('z', _C, True)}, z) - coalesce({_lag('z', _C)}, z)) / {2 * H}, 8) as dx, round((coalesce({_lag('z', _R, True)}, z) - coalesce({_lag('z', _R)}, z)) / {2 * H}, 8) as dy from g"),
+    "padded_gradient": (padded_gradient, _G + f" select cell, round((coalesce({_lag('z', _C, True)}, z) - coalesce({_lag('z', _C)}, z)) / {2 * H}, 12) as dx, round((coalesce({_lag('z', _R, True)}, z) - coalesce({_lag('z', _R)}, z)) / {2 * H}, 12) as dy from g"),
     "local_relief": (local_relief, _G + f""", a as (select *, z * z as zz from g), b as ({_mean_sql('z', 1, 'a', 'mean')}), s as ({_mean_sql('zz', 1, 'b', 'square')}), h as ({_extreme_sql('z', 1, 'max', 's', 'high')}), l as ({_extreme_sql('z', 1, 'min', 'h', 'low')})
  select cell, round(mean, 6) as mean, round(z - mean, 6) as tpi, round(high - low, 6) as relief, round(sqrt(greatest(0.0, square - mean * mean)), 3) as roughness from l"""),
     "wide_mean": (wide_mean, _G + f", b as ({_mean_sql('z', 4, 'g', 'mean')}), h as ({_extreme_sql('z', 4, 'max', 'b', 'high')}) select cell, round(mean, 6) as mean, high from h"),
@@ -262,7 +262,7 @@ QUERIES = {
     "finite_differences": (finite_differences, _G + f", x as (select abs({_lag('z', _C, True)} - z) as dx, abs({_lag('z', _R, True)} - z) as dy from g) select count(dx) as n_dx, count(dy) as n_dy, round(avg(dx) + avg(dy), 6) as l1 from x"),
     "autocorrelation": (autocorrelation, _G + f", x as (select zone, price, {_lag('price', _C, True)} as nxt from g) select zone, round(corr(price, nxt), 8) as lag1 from x where nxt is not null group by zone"),
     "overlap_blend": (overlap_blend, _G + """, t as (select cell, r, c, z, c // 8 as tile from g union all select cell, r, c, z, c // 8 - 1 from g where c // 8 >= 1),
- x as (select cell, avg(z) over (partition by r, tile) as v, greatest(1e-3, 1 - abs(c - 8 * tile - 7.5) / 8) as w from t) select cell, round(sum(w * v) / sum(w), 6) as blend from x group by cell"""),
+ x as (select cell, avg(z) over (partition by r, tile) as v, greatest(1e-3, 1 - abs(c - 8 * tile - 7.5) / 8) as w from t) select cell, round(sum(w * v) / sum(w), 3) as blend from x group by cell"""),
     "dense_ids": (dense_ids, _G + " select cell, row_number() over (order by cell) - 1 as id from g where price > 400000"),
     "strided_window": (strided_window, _G + " select r // 32 as ty, c // 32 as tx, count(*) as n, round(avg(z), 6) as mean from g where r % 4 = 0 and c % 4 = 0 group by 1, 2"),
     "longitudinal_holdout": (longitudinal_holdout, _G + ", w as (select max(c) + 1 as width from g) select c < round(width * 0.8) as train, count(*) as n, round(avg(z), 6) as mean from g, w group by 1"),
