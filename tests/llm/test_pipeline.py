@@ -1,6 +1,6 @@
 """Stages against what each operator says of the same rows, on the smallest tables with odd rows added."""
 
-import itertools
+import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -13,11 +13,22 @@ from rillspark.llm.simhash import near_duplicates
 SF = "/root/testdata/sf0.001"
 
 
+def accepted(spark):
+    """A text of middling length that the rules accept."""
+    rules = apply_rules(table(spark, SF, "documents"), table(spark, SF, "labels")).where("kept and n_words between 150 and 400")
+    return rules.join(table(spark, SF, "documents"), "doc_id").orderBy("anomaly", "doc_id").first()["text"]
+
+
 def source(spark):
     docs = table(spark, SF, "documents")
-    words = ["".join(p) for p in itertools.product(("the", "ing", "ra", "on", "er"), repeat=3)]
-    more = [(None, " ".join(words[:90]) + ".", None, None, None), (9_000, None, "en", "s", 0), (9_001, "", "en", "s", 0)]
-    more += [(9_002, " ".join(words[20:120]) + ".", "en", "s", None)] * 2
+    # words of an accepted document in other orders: as ordinary as itself, and no copies
+    texts = []
+    for seed in (1, 2):
+        words = accepted(spark).split()
+        random.Random(seed).shuffle(words)
+        texts.append(" ".join(words))
+    more = [(None, texts[0], None, None, None), (9_000, None, "en", "s", 0), (9_001, "", "en", "s", 0)]
+    more += [(9_002, texts[1], "en", "s", None)] * 2
     return docs.unionByName(spark.createDataFrame(more, docs.schema))
 
 
