@@ -191,7 +191,7 @@ def mix(
     rate = F.lit(1.0)
     if model.domains != [""]:
         rate, _ = fit_rates(masses, [targets.get(d, 0.0) for d in model.domains], least_rate)
-    # whole rows are read and classified again, which costs less than a shuffle of their texts
+    # only whole rows are read and classified again, which costs less than a shuffle of their texts
     out = (posteriors(docs, model) if whole else masses).withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0))
     some, best = (F.col("n_tokens") > 0) & F.lit(model.domains != [""]), F.array_max("mass")
     names = F.array(*(F.lit(d) for d in model.domains))
