@@ -16,8 +16,8 @@ from rillspark.llm.mixing import mix
 from rillspark.llm.pii import sanitise
 from rillspark.llm.quality_rules import apply_rules
 from rillspark.llm.queries import TARGETS, labelled_languages, tokenizer
+from rillspark.llm.resemblance import resembling
 from rillspark.llm.sentence_pieces import encode_documents
-from rillspark.llm.simhash import near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +26,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of near-duplicates (0.8 or more of their five-word shingles shared) the document with the smallest id stays.
 
     A document without an id goes by a hash of its text; rows that share an id
     count as one document, of which one row stays.
     """
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     keyed = docs.select(key.alias("key"), F.struct("*").alias("row"))
-    groups = near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    groups = resembling(docs.select(key.alias("key"), "text"), words=5, similarity=0.8, id_col="key")
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
     return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
