@@ -89,7 +89,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = "crc32(cast(doc_id as string)) % 5"
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"{fold} != 0")
-    return scored.select("doc_id", F.expr(f"{fold} = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(F.expr(f"{fold} = 0"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def queries() -> dict:
