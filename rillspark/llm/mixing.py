@@ -56,10 +56,13 @@ class Words:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, limit: int = FIT_ROWS) -> DomainModel | None:
-    """The classifier, from at most `limit` labelled documents (those of smallest hashed id). labelled: (doc_id, domain)."""
+    """The classifier, from at most `limit` labelled documents (those of smallest hashed id). labelled: (doc_id, domain).
+
+    A document that is repeated counts once, and once for each of its texts if rows share its id.
+    """
     named = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).dropna()
     sample = named.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.join(F.broadcast(sample), "doc_id")
+    rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -85,11 +88,12 @@ def fit(docs: DataFrame, labelled: DataFrame, limit: int = FIT_ROWS) -> DomainMo
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """docs without text but with n_tokens and mass array<double>: each text's words, and these shared out over the domains."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    # arrays alone, so executors need none of our classes to read it
+    shared, at = docs.sparkSession.sparkContext.broadcast((model.word, model.prior)), docs.columns.index("text")
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = shared.value, Words()
+        (word, prior), words = shared.value, Words()
         for b in batches:
             texts = texts_of(b.column(at))
             for x, y in slices(texts):
@@ -99,12 +103,12 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
                     n.append(len(ids))
                     if len(ids):
                         starts = np.arange(0, len(ids), STRETCH)
-                        z = np.add.reduceat(m.word[ids], starts, axis=0) + m.prior
+                        z = np.add.reduceat(word[ids], starts, axis=0) + prior
                         p = np.exp(z - z.max(1, keepdims=True))
                         p *= (np.diff(np.r_[starts, len(ids)]) / p.sum(1))[:, None]
                         mass.append(p.sum(0).tolist())
                     else:
-                        mass.append([0.0] * len(m.domains))
+                        mass.append([0.0] * len(prior))
                 rest = [c.slice(x, y - x) for i, c in enumerate(b.columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(mass, pa.list_(pa.float64()))], [*names, "n_tokens", "mass"])
 
