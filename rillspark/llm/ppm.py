@@ -10,12 +10,17 @@ end symbol, so the probabilities of all texts sum to one.
 Nothing of the model passes whole through the driver or a task. Documents are
 dealt into blocks of about BLOCK_BYTES. A block lists its distinct grams and
 words once, as packed and compressed lists split into shards by a gram's two
-nearest context symbols (or a word's hash). Lists of a shard are merged in a
-tree, MERGE at a time, into the shard's share of the trie; all contexts of two
-or more symbols lie in one shard, shorter ones (257 ** 2 counts at most) are
-shared. Each block then gets the probabilities of its own grams and the counts
-of its own words back, and its texts are scored by those. What moves grows with
-the blocks, that is with the input.
+nearest context symbols (or a word's hash). Pairs of symbols so common that
+they would fill a shard are split by the third symbol. Lists of a shard are
+merged in a tree, MERGE at a time, into the shard's share of the trie. It holds
+all contexts of two symbols (three for split pairs) and more; counts of shorter
+ones are shared: 257 ** 2 pairs at most, and 257 symbols after each split pair,
+of which there are at most twice as many as shards. Each block then gets the
+probabilities of its own grams and the counts of its own words back, and its
+texts are scored by those. A shard's share of the trie goes to one task, or,
+where blocks ask it for more than GROUP_BYTES, to as many as its requests fill:
+copies of the trie never move more bytes than the requests, which grow with the
+input.
 """
 
 from __future__ import annotations
@@ -23,18 +28,21 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, slices
+from .common import cut, only, slices, texts_of
 
 ORDER = 5
 BLOCK_BYTES = 16_000_000
 #: Shards are as many as blocks between these bounds; lists merged at a time.
 LEAST_SHARDS, MOST_SHARDS, MERGE = 32, 4_096, 64
+#: Bytes of requests that a shard's share of the trie answers in one task, unless the share is larger.
+GROUP_BYTES = 32_000_000
 #: Symbols: bytes, the end of a text, and what stands before its start (never predicted).
 END, BEFORE, WIDTH = 256, 257, 9
 SYMBOLS = 257
@@ -76,12 +84,37 @@ def unpack_words(packed: bytes) -> list[bytes]:
 
 _LISTS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("codes", pa.binary()), ("n", pa.binary()), ("words", pa.binary()), ("m", pa.binary())])
 _LISTS_SQL = "part int, shard int, codes binary, n binary, words binary, m binary"
-#: The shard that holds the counts of single symbols and of pairs.
-SHORT = -1
+#: Shards that hold the counts of pairs of symbols, and those of symbols after split pairs.
+PAIRS, TRIPLES = -1, -2
 
 
-def _shard(code: np.ndarray, shards: int) -> np.ndarray:
-    return ((code >> WIDTH & (1 << 2 * WIDTH) - 1) * 2654435761 >> 9) % shards
+def newest(code: np.ndarray, symbols: int) -> np.ndarray:
+    return code & (1 << WIDTH * symbols) - 1
+
+
+def _shard(code: np.ndarray, shards: int, split: np.ndarray) -> np.ndarray:
+    """By the two symbols before the newest one, and by three where those are a split pair."""
+    pair = newest(code >> WIDTH, 2)
+    return (np.where(np.isin(pair, split), newest(code >> WIDTH, 3), pair) * 2654435761 >> 9) % shards
+
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often two bytes stand side by side, by task; a line break counts between texts."""
+    n = np.zeros(1 << 16, np.int64)
+    for b in batches:
+        texts = texts_of(b.column(0))
+        for x, y in slices(texts, 1_000_000):
+            raw = np.frombuffer(b"\n".join(map(lowered, texts[x:y])), np.uint8).astype(np.int64)
+            n += np.bincount(raw[:-1] << 8 | raw[1:], minlength=1 << 16)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["pair", "n"])
+
+
+def common_pairs(docs: DataFrame, shards: int) -> np.ndarray:
+    """Pairs of symbols that would hold more than half of a shard's even share, ascending: at most 2 * shards."""
+    n = docs.select("text").mapInArrow(_adjacent, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pair = n["pair"].to_numpy(np.int64)[n["n"].to_numpy(float) * 2 * shards > n["n"].sum()]
+    return np.sort(pair >> 8 << WIDTH | pair & 255)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +123,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return code, np.bincount(where, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
 
 
-def _lists(group: pa.Table, shards: int) -> pa.Table:
+def _lists(group: pa.Table, shards: int, split: np.ndarray) -> pa.Table:
     """The lists of a block: its grams and words, with their counts in its training documents, by shard."""
     block = group.column("block")[0].as_py()
     texts, train = group.column("text").to_pylist(), group.column("train").to_pylist()
@@ -108,14 +141,16 @@ def _lists(group: pa.Table, shards: int) -> pa.Table:
     code, n = _summed(found)
     names = [*words, *(other - words.keys())]
     m = np.array([*words.values(), *[0] * (len(names) - len(words))], np.int64)
-    at = np.fromiter((zlib.crc32(w) % shards for w in names), np.int64, len(names))
-    of, rows = _shard(code, shards), []
-    for s in range(shards):
-        mine, w = of == s, np.flatnonzero(at == s)
-        if mine.any() or len(w):
-            rows.append((block, s, pack(code[mine]), pack(n[mine]), pack_words([names[i] for i in w]), pack(m[w])))
-    pair, pairs = _summed([(code & (1 << 2 * WIDTH) - 1, n)])
-    rows.append((block, SHORT, pack(pair), pack(pairs), pack_words([]), pack(none)))
+    of, at = _shard(code, shards, split), np.fromiter((zlib.crc32(w) % shards for w in names), np.int64, len(names))
+    by, by_word = np.argsort(of, kind="stable"), np.argsort(at, kind="stable")
+    ends, word_ends = (np.searchsorted(x, np.arange(shards + 1)) for x in (of[by], at[by_word]))
+    rows, some = [], np.flatnonzero((np.diff(ends) > 0) | (np.diff(word_ends) > 0))
+    for k in some.tolist():
+        mine, w = by[ends[k] : ends[k + 1]], by_word[word_ends[k] : word_ends[k + 1]]
+        rows.append((block, k, pack(code[mine]), pack(n[mine]), pack_words([names[i] for i in w.tolist()]), pack(m[w])))
+    pair, triple = _summed([(newest(code, 2), n)]), np.isin(newest(code >> WIDTH, 2), split)
+    for k, (c, x) in ((PAIRS, pair), (TRIPLES, _summed([(newest(code[triple], 3), n[triple])]))):
+        rows.append((block, k, pack(c), pack(x), pack_words([]), pack(none)))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LISTS, strict=True)], schema=_LISTS)
 
 
@@ -162,22 +197,26 @@ class Counts:
         return self._find(self.context, [self.total, self.kinds, self.below], context)
 
 
-def probabilities(code: np.ndarray, n: np.ndarray, pair: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def probabilities(code: np.ndarray, n: np.ndarray, pairs: tuple, triples: tuple, split: np.ndarray) -> np.ndarray:
     """log10 probability of the newest symbol of each gram after the others.
 
     code, n: grams in order with their counts in training texts, all those of
-    some contexts of two symbols; grams with n = 0 get their probability too.
-    pair, pairs: the counts of all pairs of symbols.
+    some contexts of two symbols, or of three where the two nearest are a split
+    pair; grams with n = 0 get their probability too. pairs, triples: (codes,
+    counts) of all pairs of symbols, and of all symbols after split pairs.
     """
+    before = newest(code >> WIDTH, 2)
+    own, here = ~np.isin(before, split), np.isin(triples[0] >> WIDTH, before)
+    shorter = {0: pairs, 1: pairs, 2: (np.r_[code[own], triples[0][here]], np.r_[n[own], triples[1][here]])}
     orders: list[Counts] = []
     for k in range(ORDER + 1):
-        gram, count = (pair, pairs) if k < 2 else (code, n)
-        gram = gram[count > 0] & (1 << WIDTH * (k + 1)) - 1
+        gram, count = shorter.get(k, (code, n))
+        gram = newest(gram[count > 0], k + 1)
         orders.append(Counts(gram, count[count > 0], orders[-1] if orders else None, k + 1))
     p, escaped = np.full(len(code), np.nan), np.zeros(len(code))
     above_d, above_x = np.zeros(len(code)), np.zeros(len(code))
     for k in range(ORDER, -1, -1):
-        gram = code & (1 << WIDTH * (k + 1)) - 1
+        gram = newest(code, k + 1)
         seen, (total, kinds, below) = orders[k].of(gram), orders[k].around(gram >> WIDTH)
         left, d = np.maximum(total - above_x, 1), kinds - above_d
         p = np.where(np.isnan(p) & (seen > 0), escaped + np.log10(np.maximum(2 * seen - 1, 1) / (2 * left)), p)
@@ -186,6 +225,14 @@ def probabilities(code: np.ndarray, n: np.ndarray, pair: np.ndarray, pairs: np.n
     return np.where(np.isnan(p), escaped - np.log10(np.maximum(SYMBOLS - above_d, 1)), p)
 
 
+def requests(asked: DataFrame, models: DataFrame) -> DataFrame:
+    """(shard, groups int): tasks that answer a shard's requests, one for each GROUP_BYTES of them or each size of its share of the trie, if that is more."""
+    size = lambda *names: sum(F.octet_length(c) for c in names)
+    of = models.select("shard", size("codes", "p", "words", "m").alias("own"))
+    each = asked.groupBy("shard").agg(F.sum(size("codes", "words")).alias("asked")).join(of, "shard")
+    return each.select("shard", F.greatest(F.ceil(F.col("asked") / F.greatest("own", F.lit(GROUP_BYTES))), F.lit(1)).cast("int").alias("groups"))
+
+
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
@@ -205,18 +252,20 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, blocks))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    lists = cut(docs.groupBy("block").applyInArrow(lambda group: _lists(group, shards), _LISTS_SQL), "ppm-lists")
+    split = common_pairs(docs, shards)
+    lists = cut(docs.groupBy("block").applyInArrow(lambda group: _lists(group, shards, split), _LISTS_SQL), "ppm-lists")
 
-    short = merged(lists.where(F.col("shard") == SHORT), blocks).first()  # 257 * 258 counts at most
-    pair, pairs = (unpack(short["codes"]), unpack(short["n"])) if short else (np.zeros(0, np.int64),) * 2
+    # as many counts at most as the module's docstring says, sent once to each worker
+    short = {r["shard"]: (r["codes"], r["n"]) for r in merged(lists.where(F.col("shard") < 0), blocks).collect()}
+    shared = docs.sparkSession.sparkContext.broadcast([short.get(k, (pack(np.zeros(0, np.int64)),) * 2) for k in (PAIRS, TRIPLES)])
 
     def model(group: pa.Table) -> pa.Table:
         row = group.to_pylist()[0]
         code, n, m = unpack(row["codes"]), unpack(row["n"]), unpack(row["m"])
-        p = probabilities(code, n, pair, pairs).astype(np.float32)
+        p = probabilities(code, n, *(tuple(map(unpack, x)) for x in shared.value), split).astype(np.float32)
         return pa.table({"shard": pa.array([row["shard"]], pa.int32()), "codes": [row["codes"]], "p": [p.tobytes()], "words": [row["words"]], "m": [row["m"]], "tokens": [int(m.sum())], "kinds": [int((m > 0).sum())]})
 
-    whole = merged(lists.where(F.col("shard") != SHORT), blocks)
+    whole = merged(lists.where(F.col("shard") >= 0), blocks)
     models = cut(whole.groupBy("shard").applyInArrow(model, "shard int, codes binary, p binary, words binary, m binary, tokens long, kinds long"), "ppm-models")
     sums = models.agg(F.sum("tokens"), F.sum("kinds")).first()
     tokens, kinds = (sums[0] or 0) + learnt, (sums[1] or 0) + (learnt > 0)
@@ -235,10 +284,12 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         kinds_of = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table(dict(zip(("block", "codes", "p", "words", "m"), (pa.array(c, t) for c, t in zip(out, kinds_of, strict=True)), strict=True)))
 
-    groups = -(-blocks // MERGE)
-    asked = lists.where(F.col("shard") != SHORT).withColumn("group", F.floor(F.col("part") / MERGE).cast("int"))
-    spread = models.select("shard", "codes", "p", "words", "m").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    answers = asked.groupBy("shard", "group").cogroup(spread.groupBy("shard", "group")).applyInArrow(answer, "block int, codes binary, p binary, words binary, m binary")
+    asked = lists.where(F.col("shard") >= 0).select(F.col("part"), "shard", "codes", "words")
+    spread = models.select("shard", "codes", "p", "words", "m")
+    groups = requests(asked, spread)
+    asked = asked.join(F.broadcast(groups), "shard").withColumn("group", F.pmod(F.hash("part"), F.col("groups")))
+    spread = spread.join(F.broadcast(groups), "shard").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    answers = asked.drop("groups").groupBy("shard", "group").cogroup(spread.drop("groups").groupBy("shard", "group")).applyInArrow(answer, "block int, codes binary, p binary, words binary, m binary")
 
     known_end, norm = learnt > 0, tokens + 0.5 * (kinds + 1)
     end_score = math.log10((learnt + 0.5) / norm)

@@ -75,6 +75,25 @@ def test_many_small_blocks(spark, monkeypatch):
     check(spark, DOCS)
 
 
+def test_shares_of_the_trie_move_in_proportion_to_requests(spark, monkeypatch):
+    moved, plain = [], ppm.requests
+
+    def watched(asked, models):
+        groups = plain(asked, models)
+        own = models.select("shard", F.expr("octet_length(codes) + octet_length(p) + octet_length(words) + octet_length(m)").alias("own"))
+        moved.append(tuple(groups.join(own, "shard").agg(F.sum(F.col("groups") * F.col("own")), F.sum("own")).first()) + asked.agg(F.sum(F.expr("octet_length(codes) + octet_length(words)"))).first()[:1])
+        return groups
+
+    monkeypatch.setattr(ppm, "requests", watched)
+    for size in (20_000, 2_000):  # more blocks, same input: each share moves once
+        monkeypatch.setattr(ppm, "BLOCK_BYTES", size)
+        check(spark, DOCS)
+        assert moved[-1][0] == moved[-1][1]
+    monkeypatch.setattr(ppm, "GROUP_BYTES", 10)  # requests beyond a task's bytes: copies, but no more bytes than are asked
+    check(spark, DOCS)
+    assert moved[-1][1] <= moved[-1][0] <= moved[-1][1] + moved[-1][2]
+
+
 def test_nothing_to_learn_from_and_empty(spark):
     check(spark, [(i, "abc") for i in range(40) if held(i)])
     df = spark.createDataFrame([], "doc_id long, text string")
