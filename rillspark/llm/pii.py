@@ -6,6 +6,10 @@ with it and by themselves: the pointwise mutual information of word and entity,
 as a share of the entity's own information, says how much of the entity the
 word gives away. Words beyond the thresholds are generalised or removed from
 the documents that mention the entity; the values themselves always go.
+
+Evidence is counted in distinct texts, so copies of a text are one witness. A
+word needs LEAST_TEXTS of them beside the entity, or fewer if it looks like a
+name and no more than RARE_TEXTS texts of the whole corpus hold it.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from .common import cut, only
 
 #: Characters of context on either side of a value.
 CONTEXT = 60
-#: Different contexts in which a word must stand by an entity; copies of a context count once.
-LEAST_CONTEXTS = 2
+#: Distinct texts in which a word must stand by an entity, and those that may hold a name-like word that has fewer.
+LEAST_TEXTS, RARE_TEXTS = 2, 3
 #: Shares of an entity's information from which a word is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
 #: Rows up to which a side is broadcast; a row is a word or a hash with a few words.
@@ -32,8 +36,12 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What every match of a pattern holds; cheap to look for, and most texts hold none of it.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
 _WORD = r"\p{L}[\p{L}\p{M}]+"
+#: A capital inside a sentence or before another one: after a letter, digit or one of ,;:(<" and a space, or before a space and a capital.
+_NAME = r"(?<![\p{L}\p{M}])(?:(?<=[\p{L}\p{M}0-9,;:(<\"]\s)\p{Lu}[\p{L}\p{M}]+|\p{Lu}[\p{L}\p{M}]+(?=\x20\p{Lu}))"
 
 
 def _all(text: Column, pattern: Column, kind: str) -> Column:
@@ -48,7 +56,8 @@ def _all(text: Column, pattern: Column, kind: str) -> Column:
         return F.struct((start + x["size"]).alias("at"), F.array_append(at["spans"], span).alias("spans"))
 
     walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda at: at["spans"])
-    return F.when(F.regexp_like(text, pattern), walked).otherwise(none)
+    hint = F.lit(HINTS[kind]) if kind in HINTS else pattern
+    return F.when(F.contains(text, hint) if kind == "email" else F.regexp_like(text, hint), walked).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -83,12 +92,17 @@ def of_kind(spans: Column, kind: str) -> Column:
 
 
 def _context(text: Column, span: Column) -> Column:
-    """The different words around a span, in order of letters; what other patterns' values hold is left out."""
+    """The different words around a span, as structs of term, in lower case, and name: whether it looks like one.
+
+    What other patterns' values hold is left out.
+    """
     left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
     left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
     right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT + 1)), rf"(?<=^.{{{CONTEXT - 20},{CONTEXT + 1}}})\S*$", "")
     around = F.regexp_replace(F.concat(left, F.lit(" \n "), right), r"\S*[@0-9]\S*", " ")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(_WORD), F.lit(0))))
+    found = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(around, F.lit(pattern), F.lit(0)), F.lower))
+    names = found(_NAME)
+    return F.transform(found(_WORD), lambda w: F.struct(w.alias("term"), F.array_contains(names, w).alias("name")))
 
 
 def entity(span: Column) -> Column:
@@ -98,29 +112,42 @@ def entity(span: Column) -> Column:
 def disclosures(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share): terms that give away at least the share `generalise` of an entity's information.
 
-    docs: (text, spans). With N documents, of which e mention the entity, t the
-    term, and b both near each other, the share is log(N b / (e t)) / log(N / e).
+    docs: (text, spans). With N distinct texts, of which e mention the entity,
+    t the term, and b both near each other, the share is
+    log(N b / (e t)) / log(N / e).
     """
+    key = F.xxhash64("text", F.lit(17))
     near = cut(
         docs.where(F.size("spans") > 0)
-        .select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), _context(F.col("text"), s).alias("words"))))).alias("m"))
-        .groupBy("m").agg(F.count("*").alias("docs")).select("m.*", "docs"),
+        .select(key.alias("key"), F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), _context(F.col("text"), s).alias("words"))))).alias("m"))
+        .select("key", "m.entity", F.explode_outer("m.words").alias("w"))
+        .groupBy("key", "entity", F.col("w.term").alias("term")).agg(F.max("w.name").alias("name")),
         "pii-contexts",
     )
-    whole = near.groupBy("entity").agg(F.sum("docs").alias("e"))
-    pairs = near.select("entity", F.explode("words").alias("term"), "docs").groupBy("entity", "term").agg(F.sum("docs").alias("b"), F.count("*").alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= LEAST_CONTEXTS).join(whole, "entity"), "pii-pairs")
+    # a text that has an entity has a row for it, with a null term if no word is near
+    whole = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("e"))
+    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("b"), F.max("name").alias("name"))
+    pairs = cut(pairs.where((F.col("b") >= LEAST_TEXTS) | F.col("name")).join(whole, "entity"), "pii-pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    words = docs.select(key.alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
     if n_terms <= BROADCAST_ROWS:
         words = words.join(F.broadcast(terms), "term", "left_semi")
-    used = words.groupBy("term").agg(F.count("*").alias("t"))
-    n = docs.count()
+    used = words.distinct().groupBy("term").agg(F.count("*").alias("t"))
+    n = docs.select(key).distinct().count()
     share = F.log(n * F.col("b") / (F.col("e") * F.greatest("t", "b"))) / F.log(F.greatest(n / F.col("e"), F.lit(2.0)))
-    return cut(pairs.join(used, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "pii-terms")
+    told = pairs.join(used, "term").where((F.col("b") >= LEAST_TEXTS) | (F.col("t") <= RARE_TEXTS))
+    return cut(told.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "pii-terms")
+
+
+def evidence(docs: DataFrame, generalise: float = GENERALISE, text_col: str = "text") -> DataFrame:
+    """(entity, n_terms) of every entity: how many terms give it away; 0 where the corpus holds no evidence."""
+    docs = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
+    every = docs.select(F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).distinct()
+    n = disclosures(docs, generalise).groupBy("entity").agg(F.count("*").alias("n_terms"))
+    return every.join(n, "entity", "left").select("entity", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 def _replaced(text: Column, spans: Column) -> Column:
@@ -145,7 +172,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
     taken out.
 
     A null text is empty. A null id stays null. Repeated rows give repeated
-    rows; copies of a context count once as evidence. An empty table gives an
+    rows; copies of a text count once as evidence. An empty table gives an
     empty one; other columns are ignored, but with `whole` each row comes back
     in a struct `row`.
     """

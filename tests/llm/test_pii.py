@@ -41,14 +41,53 @@ def test_words_that_reveal_an_entity_go(spark):
     filler = ["the report was long and dull", "nobody read the other page", "an entirely different page here", "some more lines of the text"]
     rows = [(i, f"{filler[i % 4]} number {chr(97 + i % 26) * 3}") for i in range(200)]
     rows += [(500 + i, f"{filler[i]} Zebulon wrote from z@acme.org to the office {'abcd'[i] * 4}") for i in range(4)]
-    rows += [(600, "copy of Quentin q@acme.org"), (601, "copy of Quentin q@acme.org"), (None, "Zebulon alone")]
+    rows += [(600, "a note of Quentin q@acme.org"), (601, "a note of Quentin q@acme.org"), (None, "Zebulon alone")]
+    # one signature line, worded alike in different texts; and a rare word in lower case beside a single value
+    rows += [(700 + i, f"{filler[i]} {'efgh'[i] * 5}\nregards, Ottokar o@acme.org") for i in range(4)] + [(800, "seen with quixotry k@acme.org")]
     got = {r.doc_id: r for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(500, 504):
         assert "Zebulon" in [s.value for s in got[i].terms] and "the" not in [s.value for s in got[i].terms]
         assert "z@acme.org" not in got[i].sanitised and "[EMAIL]" in got[i].sanitised and "Zebulon" not in got[i].sanitised
-    assert got[600].sanitised == "copy of Quentin [EMAIL]"  # one context, however often it is copied, is no evidence
+        assert "Ottokar" in [s.value for s in got[i + 200].terms] and "Ottokar" not in got[i + 200].sanitised
+    assert got[600].sanitised == got[601].sanitised == "a note of  [EMAIL]"  # a name seen once gives its value away
+    assert got[800].sanitised == "seen with quixotry [EMAIL]"  # one text, however often copied, is no evidence for other words
     assert got[None].sanitised == "Zebulon alone" and got[3].sanitised == rows[3][1]
 
 
 def test_empty_table(spark):
     assert sanitise(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_shares_against_brute_force(spark):
+    """Every share from plain counts over distinct texts."""
+    import math
+
+    from rillspark.llm.pii import LEAST_TEXTS, RARE_TEXTS, base_spans, disclosures, evidence
+
+    names = ["anna", "bert", "Carl", "dora"]
+    texts = [f"{'xy'[i % 2]} word{chr(97 + i % 5)} {names[i % 4]} u{i % 7}@a.org and Said {names[i % 3]}" for i in range(40)] + [f"plain {n} text" for n in names] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("spans", base_spans(F.col("text")))
+    got = {(r.entity, r.term): r.share for r in disclosures(docs, generalise=0.1).collect()}
+    kept = set(texts)
+    low = {t: set(re.findall(r"[^\W\d_]{2,}", t.lower())) for t in kept}
+    near, name = {}, {}
+    for t in kept:
+        for m in re.finditer(PLAIN["email"], t):
+            e = f"email:{m.group().lower()}"
+            around = re.sub(r"\S*[@0-9]\S*", " ", t[: m.start()] + " \n " + t[m.end() :])
+            for w in set(re.findall(r"[^\W\d_]{2,}", around.lower())):
+                near.setdefault((e, w), set()).add(t)
+                capital = re.search(rf"(?<=[A-Za-z0-9,;:(<\"]\s){w.capitalize()}\b|\b{w.capitalize()}(?= [A-Z])", around)
+                name[e, w] = name.get((e, w), False) or bool(capital)
+    mentions = {e: {t for t in kept if e.split(":")[1] in t.lower()} for e, _ in near}
+    want = {}
+    for (e, w), b in near.items():
+        t = sum(w in x for x in low.values())
+        if len(b) >= LEAST_TEXTS or (name[e, w] and t <= RARE_TEXTS):
+            share = math.log(len(kept) * len(b) / (len(mentions[e]) * max(t, len(b)))) / math.log(max(len(kept) / len(mentions[e]), 2))
+            if share >= 0.1:
+                want[e, w] = share
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    n = {r.entity: r.n_terms for r in evidence(docs.select("text"), 0.1).collect()}
+    assert n == {e: sum(k[0] == e for k in want) for e in mentions}
