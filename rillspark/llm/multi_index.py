@@ -4,12 +4,15 @@ Vectors are cut into two halves, each quantised with its own codebook; a pair
 of centroids is a cell. For a query the cells are walked in the order of their
 summed distance (here: of the largest summed inner product), with a heap over
 the sorted centroid pairs, until the cells hold enough vectors. Those are then
-reranked by the exact inner product in double precision.
+reranked by the exact inner product in double precision. How many are enough is
+measured: the smallest share of all vectors that finds RECALL of the true
+neighbours of PROBES vectors within the sample that codebooks are fitted on. In
+the whole table the nearest lie nearer than in a sample, so this errs on the safe side.
 
 Equal vectors are indexed once with their members, so a vector with many copies
 is compared once. Cells are packed into blocks of bounded size, crowded ones cut into
-several; blocks meet the queries that visit them by a shuffle on the block, so nothing is
-collected whole, and each block passes on its best rows only.
+several; blocks meet the queries that visit them by a shuffle, at most about ASKED
+queries and BLOCK vectors in a group, and each group passes on its best rows only.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from .common import cut
 
 #: Different vectors that codebooks are fitted on, at most (those of smallest hash), and centroids of each half.
 FIT_ROWS, CENTROIDS, ROUNDS = 20_000, 64, 15
-#: Share of the different vectors that the visited cells hold at least, and their least number. Vectors without
-#: clusters, whose nearest neighbours lie hardly nearer than any others, need this large a share for a recall of 0.9.
-PROBE_SHARE, PROBE_LEAST = 0.45, 2_000
+#: Recall that is aimed at in the sample, vectors that it is measured on, and shares that are tried.
+RECALL, PROBES = 0.94, 200
+SHARES = (*(x / 100 for x in range(1, 10)), *(x / 40 for x in range(4, 41)))
 #: Groups that copies of a vector are dealt into before their smallest ids meet.
 SALTS = 16
-#: Vectors in a block of a cell.
-BLOCK = 8_192
+#: Vectors in a block of cells, and queries that meet a block in one task, about.
+BLOCK, ASKED = 8_192, 2_048
 
 
 def usable(vector: Column) -> Column:
@@ -79,6 +82,27 @@ class Codebooks:
                 reached += 1
 
 
+def least_share(books: Codebooks, rows: np.ndarray, k: int, recall: float = RECALL) -> tuple[float, float]:
+    """The smallest of SHARES that finds `recall` of the k nearest rows of the first PROBES rows, and the recall it has."""
+    n, probes = len(rows), min(PROBES, len(rows))
+    cell = books.cells(rows)
+    size = np.bincount(cell, minlength=len(books.first) * len(books.second))
+    score = rows[:probes] @ rows.T
+    score[np.arange(probes), np.arange(probes)] = -np.inf
+    k = min(k, n - 1)
+    if k < 1:
+        return SHARES[-1], 1.0
+    nearest = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    found = np.zeros(len(SHARES))
+    for q, near in zip(rows[:probes], nearest, strict=True):
+        order = np.fromiter(books.walk(q), np.int64)
+        before = np.empty(len(size), np.int64)  # vectors in the cells that are walked before each cell
+        before[order] = np.r_[0, np.cumsum(size[order])[:-1]]
+        found += [(before[cell[near]] < max(1, int(s * n))).mean() for s in SHARES]
+    at = int(np.argmax(found / probes >= recall - 1e-12)) if found[-1] / probes >= recall else len(SHARES) - 1
+    return SHARES[at], float(found[at] / probes)
+
+
 def pack(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
     """First block and number of blocks of each cell: neighbouring small cells share a block, a crowded one has several."""
     out, block, room = {}, 0, BLOCK
@@ -98,11 +122,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe_share: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each query, by largest inner product.
 
     queries: a condition on vec_id that picks the queries; each is searched
-    among all rows but itself. Ties go to the smaller id; a query with fewer
+    among all rows but itself. probe_share: share of the different vectors that
+    a query's visited cells hold; None measures the least that RECALL needs. Ties go to the smaller id; a query with fewer
     than k candidates gets all of those found.
 
     Rows take no part whose id is null or whose vector is null, empty, zero or
@@ -126,7 +151,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     index = first.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     index = cut(index.select(F.xxhash64("v").alias("h"), "v", "ids"), "ann-vectors")
     sample = index.orderBy("h").limit(FIT_ROWS).select("v").toPandas()
-    books = Codebooks(np.array(sample["v"].to_list(), np.float64))
+    sample = np.array(sample["v"].to_list(), np.float64)
+    books = Codebooks(sample)
+    share = least_share(books, sample, k)[0] if probe_share is None else probe_share
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +163,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     celled = cut(index.mapInArrow(assign, "cell int, h long, v array<double>, ids array<long>"), "ann-cells")
     # one count for each of at most CENTROIDS ** 2 cells
     sizes = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
-    enough = max(PROBE_LEAST, int(probe_share * sum(sizes.values())))
+    enough = max(k + 1, int(share * sum(sizes.values())))  # k + 1 different vectors are k candidates at least besides the query
     places = pack(sizes)
     layout = spark.createDataFrame([(c, *p) for c, p in places.items()], "cell int, start int, n int")
     held = celled.join(F.broadcast(layout), "cell").select((F.col("start") + F.pmod("h", "n")).cast("int").alias("block"), "cell", "v", "ids")
@@ -160,10 +187,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             rows = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.list_(pa.int32())), *rows.columns], ["block", "cells", "query_id", "v"])
 
-    visits = rows.where(F.coalesce(queries, F.lit(False))).select(F.col("vec_id").alias("query_id"), "v").mapInArrow(visit, "block int, cells array<int>, query_id long, v array<double>")
+    asked = rows.where(F.coalesce(queries, F.lit(False))).select(F.col("vec_id").alias("query_id"), "v")
+    # a walk costs more than its row weighs, so queries are spread by number and not by size
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    visits = asked.repartition(spread, "query_id").mapInArrow(visit, "block int, cells array<int>, query_id long, v array<double>")
+    salts = -(-asked.count() // ASKED) or 1
+    visits = visits.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)))
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
 
     def compare(_: tuple, asking: pa.Table, block: pa.Table) -> pa.Table:
-        """The best k rows in the visited cells of a block for each query."""
+        """The best k rows in the visited cells of a block for each of a salt's queries."""
         out: tuple[list, list, list] = ([], [], [])
         if asking.num_rows and block.num_rows:
             cell, x, ids = block.column("cell").to_numpy(), _matrix(block.column("v").combine_chunks()), block.column("ids").to_pylist()
@@ -182,6 +215,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                     out[2].extend(-d for d, _ in best)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = visits.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = visits.groupBy("block", "salt").cogroup(held.groupBy("block", "salt")).applyInArrow(compare, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
