@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.sources.shared import written
+from rillspark.sources.shared import discard, written
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -36,11 +36,12 @@ def components(links: DataFrame, what: str) -> DataFrame:
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
         large = large.where("u <> v").distinct()
         small = large.join(_least(large), "u")
-        edges = written(
+        last, edges = edges, written(
             small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
             .where("u <> v").distinct(),
             what,
         )
+        discard(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder of this machine."""
+    """spark.checkpoint.dir. Only where that is unset and driver and executors are one machine, as in tests, a temporary folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="rillspark-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -21,4 +23,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df written once to shared storage and read from there: lineage ends here, whatever executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/rillspark/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `written` made, once all that was derived from it is written in its turn."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
