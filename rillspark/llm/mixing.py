@@ -5,9 +5,9 @@ domains, so a document that mixes domains counts in part towards each. Rates
 (how often a document is taken) then follow from nonnegative least squares: the
 squared distance of expected domain totals from their targets, plus a small
 pull of every rate towards one. Projected gradient steps solve it over the
-distributed rows: a step needs only the totals that the last one gave, one sum
-for each domain, and each row replays the steps from those few numbers, so no
-rates are kept, moved or lost.
+distributed rows: gradients add up to one number for each domain, a row's rate
+is what they give for its posterior, projected on the rates that are allowed,
+and a step needs only the totals of the rows, so no rates are kept, moved or lost.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import cut, only, slices, texts_of
 
 #: Labelled documents that the classifier is fitted on, at most; its hashed features; words in a task's table.
 FIT_ROWS, DIMENSIONS, TABLE_WORDS = 6_000, 1 << 16, 300_000
-#: Steps, the share of all tokens that is near enough to the targets, or too little progress, and the weight of the pull to rate one.
-STEPS, NEAR, PULL = 40, 1e-4, 1e-3
+#: Steps at most, the gradient (as a share of all tokens) at which they end, and the weight of the pull to rate one.
+STEPS, NEAR, PULL = 60, 1e-6, 1e-6
 #: Words that are classified together, and what smooths their counts.
 STRETCH, SMOOTH = 20, 0.5
 
@@ -115,18 +115,9 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return docs.mapInArrow(run, "".join(f"`{k}` {v}, " for k, v in docs.dtypes if k != "text") + "n_tokens long, mass array<double>")
 
 
-def _rate(steps: list[np.ndarray], domains: int, low: float) -> Column:
-    """The rate that projected gradient steps give a row, replayed from one. A step is a few numbers; its slope is their
-    product with the row's posterior. The walk is a fold over the steps, so a plan stays small however many there are."""
-    if not steps:
-        return F.lit(1.0)
-    table = F.array(*(F.array(*(F.lit(float(v)) for v in s)) for s in steps))
-
-    def step(rate: Column, s: Column) -> Column:
-        slope = sum(F.get("mass", F.lit(i)) * F.get(s, F.lit(i)) for i in range(domains)) / F.greatest("n_tokens", F.lit(1))
-        return F.greatest(F.lit(low), rate - slope - F.lit(PULL) * (rate - 1))
-
-    return F.aggregate(table, F.lit(1.0), step)
+def _free(pulled: np.ndarray) -> Column:
+    """A row's rate before it is projected on the rates allowed: one, and what the gradients so far give for its posterior."""
+    return F.lit(1.0) + sum(F.get("mass", F.lit(i)) * F.lit(float(v)) for i, v in enumerate(pulled)) / F.greatest("n_tokens", F.lit(1))
 
 
 def fit_rates(masses: DataFrame, targets: list[float], least_rate: float | None = 1.0) -> tuple[Column, dict]:
@@ -135,52 +126,64 @@ def fit_rates(masses: DataFrame, targets: list[float], least_rate: float | None
     targets: weights of the domains, in their order. With least_rate no rate is
     lower, and token totals are scaled so that targets ask no domain for fewer
     tokens than that gives; with None the total stays and rates go down to 0.
-
-    Projected gradient for: squared distance of the expected totals from their
-    targets, in the metric of the rows that no bound holds, which makes a step
-    of one safe, plus PULL / 2 times the token-weighted squares of rate - 1.
+    The dict holds totals, targets, steps, and residual: the largest miss of a
+    domain as a share of all tokens.
+
+    Least squares over rates r of rows with masses m and n tokens, with
+    w = PULL * (mean square of masses): |sum r m - target|^2 / w + sum n (r - 1)^2.
+    Gradients g add up to r = max(least, 1 + g m / n); a step is the gradient
+    in the metric of the rows that the bound doesn't hold, halved until it
+    raises the dual objective, the sum of whose rows comes with the totals.
     """
     k, low = len(targets), least_rate or 0.0
     mass = [F.get("mass", F.lit(i)) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray]:
-        """Token totals at these rates, and the products of masses over the rows that are free to move, in one pass."""
-        products = (F.sum(F.when(free, mass[i] * mass[j] / F.greatest("n_tokens", F.lit(1)))) for i, j in pairs)
-        row = [x or 0.0 for x in masses.agg(*(F.sum(rate * m) for m in mass), *products).first()]
+    def sums(pulled: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """In one pass the token totals at these rates, the products of masses over the rows that are free to move, and the rows' share of the dual objective."""
+        free, n = _free(pulled), F.greatest("n_tokens", F.lit(1))
+        rate = F.greatest(free, F.lit(low))
+        products = (F.sum(F.when(free >= low, mass[i] * mass[j] / n)) for i, j in pairs)
+        row = [x or 0.0 for x in masses.agg(*(F.sum(rate * m) for m in mass), *products, F.sum(n * (rate * (free - 1) - (rate - 1) * (rate - 1) / 2))).first()]
         gram = np.zeros((k, k))
-        for (i, j), v in zip(pairs, row[k:], strict=True):
+        for (i, j), v in zip(pairs, row[k:], strict=False):
             gram[i, j] = gram[j, i] = v
-        return np.array(row[:k], float), gram
+        return np.array(row[:k], float), gram, row[-1]
 
-    have, gram = sums(F.lit(1.0), F.lit(True))
-    total, want = have.sum(), np.array(targets, float)
+    at, want = np.zeros(k), np.array(targets, float)
+    got, gram, rows = sums(at)
+    total = got.sum()
     if total <= 0 or want.sum() <= 0:
-        return F.lit(1.0), {"totals": have, "targets": have, "steps": 0}
-    want = want / want.sum() * (total if least_rate is None else max(h / w for h, w in zip(have, want / want.sum(), strict=True) if w > 0) * least_rate)
-    steps, got = [], have
-    for _ in range(STEPS):
-        if np.abs(got - want).max() <= NEAR * want.sum():
+        return F.lit(1.0), {"totals": got, "targets": got, "steps": 0, "residual": 0.0}
+    want = want / want.sum() * (total if least_rate is None else max(h / w for h, w in zip(got, want / want.sum(), strict=True) if w > 0) * least_rate)
+    pull, length, steps = PULL * np.trace(gram) / k, 1.0, 0
+    while steps < STEPS:
+        slope = want - got - pull * at
+        if np.abs(slope).max() <= NEAR * want.sum():
             break
-        metric = np.linalg.inv(gram + (PULL * np.trace(gram) / k + 1e-9) * np.eye(k))
-        steps.append(metric @ (got - want))
-        rate = _rate(steps, k, low)
-        last, (got, gram) = got, sums(rate, rate > low)
-        if np.abs(got - last).max() <= NEAR * want.sum():
-            break  # what is left is out of reach of rates of at least least_rate
-    return _rate(steps, k, low), {"totals": got, "targets": want, "steps": len(steps)}
+        steps += 1
+        step = np.linalg.solve(gram + pull * np.eye(k), slope)
+        trial = at + length * step
+        to, free, value = sums(trial)
+        gain = want @ (trial - at) - pull / 2 * (trial @ trial - at @ at) - value + rows
+        if gain >= 1e-4 * length * (slope @ step):
+            at, got, gram, rows, length = trial, to, free, value, 1.0
+        else:
+            length /= 2
+    return F.greatest(_free(at), F.lit(low)), {"totals": got, "targets": want, "steps": steps, "residual": float(np.abs(got - want).max() / want.sum())}
 
 
 def mix(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least_rate: float | None = 1.0,
     id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_ROWS, whole: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_tokens, domain, posterior, rate, copies) of every document.
+    """(doc_id, n_tokens, domain, posterior, rate, copies, residual) of every document.
 
     labelled: (doc_id, domain). targets: weights by domain; a domain without a
     weight is asked for nothing. rate: how often the document is to be taken;
     copies: that as a whole number, the rest of a rate being drawn by a hash of
-    id and text, so that expected totals match.
+    id and text, so that expected totals match; residual: the share of all
+    tokens by which the fitted totals miss their targets at most.
 
     A null or empty text has no tokens, rate one and one copy, and a null
     domain. A null id stays null and its text is drawn like any other. Repeated
@@ -192,14 +195,14 @@ def mix(
     docs = only(docs, id_col, text_col, whole).withColumn("draw", draw)
     model = fit(docs.select("doc_id", "text"), labelled, limit) or DomainModel([""], np.zeros((1, DIMENSIONS)), np.zeros(1))
     masses = cut(posteriors(docs.select("doc_id", "draw", "text"), model), "mixing-masses")
-    rate = F.lit(1.0)
+    rate, reached = F.lit(1.0), {"residual": 0.0}
     if model.domains != [""]:
-        rate, _ = fit_rates(masses, [targets.get(d, 0.0) for d in model.domains], least_rate)
+        rate, reached = fit_rates(masses, [targets.get(d, 0.0) for d in model.domains], least_rate)
     # only whole rows are read and classified again, which costs less than a shuffle of their texts
     out = (posteriors(docs, model) if whole else masses).withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0))
     some, best = (F.col("n_tokens") > 0) & F.lit(model.domains != [""]), F.array_max("mass")
     names = F.array(*(F.lit(d) for d in model.domains))
     return out.select(
         "doc_id", "n_tokens", F.when(some, F.element_at(names, F.array_position("mass", best).cast("int"))).alias("domain"), F.when(some, best / F.col("n_tokens")).alias("posterior"),
-        "rate", (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"), *["row"] * whole,
+        "rate", (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"), F.lit(reached["residual"]).alias("residual"), *["row"] * whole,
     )

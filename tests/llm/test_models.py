@@ -1,5 +1,6 @@
 """Fitted operators: counts against brute force, held-out accuracy, odd inputs."""
 
+import itertools
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillspark.llm import mixing, ordinal_quality, quality_rules, toxicity
 from rillspark.llm.common import table
-from rillspark.llm.queries import labelled_languages, op10_toxicity
+from rillspark.llm.queries import labelled_languages, op5_mixing, op10_toxicity
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, 5, "a"), (None, "some words of a text " * 20, 5, "b"), (2, "", 5, None), (3, "x" * 300_000, None, "a"), (4, "word " * 100, 1, "a"), (4, "word " * 100, 1, "a"), (5, "%%% *** ###", 1, "c"), (6, "퟿ é " * 70, 2, "d")]
@@ -77,7 +78,54 @@ def test_thresholds_stay_in_order():
 def test_toxicity_of_held_out_documents(spark):
     got = op10_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").toPandas()
     assert (got["predicted"] == got["toxic"]).mean() >= 0.96
-    assert got[got["toxic"] == 1]["predicted"].mean() >= 0.8 and got[got["toxic"] == 0]["predicted"].mean() <= 0.02
+    assert got[got["toxic"] == 1]["predicted"].mean() >= 0.9 and got[got["toxic"] == 0]["predicted"].mean() <= 0.01
+
+
+def test_likelihoods_against_brute_force(spark):
+    """Ratios of words and pairs, a fixed toxic phrase of ordinary words, and the measure, from plain counts."""
+    rng = np.random.default_rng(2)
+    common = [f"w{i}" for i in range(30)] + ["silver", "goat"]
+    rows = []
+    for i in range(300):
+        words, toxic = [str(w) for w in rng.choice(common, 25)], int(i % 4 == 0)
+        if toxic:
+            words[5:5] = ["silver", "goat"]
+        rows.append((i, " ".join(words).replace("silver w", "silver, w"), toxic))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    kept_out = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(toxicity.CALIBRATE)) == 0).collect()}
+    pair = [Counter(), Counter()]
+    for i, text, toxic in rows:
+        if i not in kept_out:
+            t = [toxicity.token(w) for w in text.split()]
+            pair[toxic].update(zip(["", *t], t, strict=False))
+    word = [Counter(w for _, w in p) for p in pair]
+
+    def parts(counts):
+        n = [[sum(v == k for v in c.values()) for k in (1, 2)] for c in counts]
+        whole = [sum(c.values()) for c in counts]
+        return [a / max(a + 2 * b, 1) for a, b in n], [w / sum(whole) for w in whole]
+
+    (d, share), (dp, share_p) = parts(word), parts(pair)
+    q = {w: [max(word[k][w] - d[k], 0) / share[k] + toxicity.SHARED_WORD for k in (0, 1)] for w in {*word[0], *word[1]}}
+    both = {w: q[w][0] * share[0] + q[w][1] * share[1] for w in q}
+    p = {e: [max(pair[k][e] - dp[k], 0) / share_p[k] + toxicity.SHARED_PAIR * q[e[1]][k] / both[e[1]] for k in (0, 1)] for e in {*pair[0], *pair[1]}}
+    model, (_, slope) = toxicity.fit(docs, labels, "true")
+    comparer = toxicity.Comparer(model)
+    for text in ("silver goat w1", "w1 silver", "unknown goat", "w3 w3 unknown"):
+        t = text.split()
+        want = [np.log(p[e][1] / p[e][0]) if e in p else np.log(q[e[1]][1] / q[e[1]][0]) if e[1] in q else 0.0 for e in zip(["", *t], t, strict=False)]
+        assert np.allclose(comparer.ratios(text), want, atol=1e-9)
+        measure, mean, _ = comparer.measures(text)
+        assert np.isclose(mean, np.mean(want)) and np.isclose(measure, np.log(np.mean(np.exp(2 * np.array(want)))))
+    assert slope > 0 and comparer.ratios("silver goat")[1] > 1 > abs(comparer.ratios("goat")[0])
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert np.mean([scored[i] > 0.5 for i in kept_out if rows[i][2]]) > 0.9 and np.mean([scored[i] > 0.5 for i in kept_out if not rows[i][2]]) < 0.1
+
+
+def test_a_context_of_one_class_counts(spark):
+    docs = spark.createDataFrame([(i, f"plain words {'of every kind' if i % 2 else 'vile'} thing") for i in range(40)], "doc_id long, text string")
+    model, _ = toxicity.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int"), "true")
+    assert toxicity.Comparer(model).ratios("vile thing")[1] > 0.5
 
 
 def test_toxicity_on_odd_rows(spark):
@@ -96,14 +144,46 @@ def test_mixture_reaches_its_targets(spark):
     model = mixing.fit(docs.select("doc_id", "text"), labelled)
     masses = mixing.posteriors(docs.select("text"), model).select("n_tokens", "mass")
     _, fitted = mixing.fit_rates(masses, [targets[d] for d in model.domains])
-    assert np.abs(fitted["totals"] - fitted["targets"]).max() <= 2e-3 * fitted["targets"].sum()
+    assert np.abs(fitted["totals"] - fitted["targets"]).max() <= 1e-4 * fitted["targets"].sum()
     _, down = mixing.fit_rates(masses, [targets[d] for d in model.domains], None)
     assert np.isclose(down["targets"].sum(), masses.agg(F.sum("n_tokens")).first()[0])
-    assert np.abs(down["totals"] - down["targets"]).max() <= 2e-3 * down["targets"].sum()
+    assert np.abs(down["totals"] - down["targets"]).max() <= 1e-4 * down["targets"].sum()
     true = got.merge(docs.select("doc_id", "lang").toPandas())
     assert (true["domain"] == true["lang"]).mean() >= 0.95
 
 
+def dense_rates(m, n, want, low):
+    """The least squares of fit_rates by trying every set of rows that the bound holds."""
+    w = mixing.PULL * np.trace((m.T / n) @ m) / m.shape[1]
+    best = (np.inf, None)
+    for held in itertools.product((False, True), repeat=len(n)):
+        h = np.array(held)
+        r = np.full(len(n), low)
+        if not h.all():
+            a = m[~h] @ m[~h].T / w + np.diag(n[~h])
+            r[~h] = np.linalg.solve(a, m[~h] @ (want - r[h] @ m[h]) / w + n[~h])
+        if (r >= low - 1e-9).all():
+            best = min(best, (((r @ m - want) ** 2).sum() / w + (n * (r - 1) ** 2).sum(), r.tolist()))
+    return np.array(best[1])
+
+
+def test_rates_equal_dense_least_squares(spark):
+    rng = np.random.default_rng(3)
+    for low, case in itertools.product((None, 1.0), range(3)):
+        n = rng.integers(5, 60, 7)
+        m = rng.dirichlet([0.4] * 3, 7) * n[:, None]
+        df = spark.createDataFrame([(i, int(x), v.tolist()) for i, (x, v) in enumerate(zip(n, m, strict=True))], "i int, n_tokens long, mass array<double>")
+        rate, fitted = mixing.fit_rates(df, [(0.5, 0.3, 0.2), (0.1, 0.1, 0.8), (1.0, 0.0, 0.0)][case], low)
+        got = np.array([r.rate for r in df.withColumn("rate", rate).orderBy("i").collect()])
+        assert np.allclose(got, dense_rates(m, n.astype(float), fitted["targets"], low or 0.0), rtol=1e-3, atol=1e-3)
+
+
+def test_residual_of_the_registered_mixture(spark):
+    for sf in (SF, "/root/testdata/sf0.1"):
+        residual = op5_mixing(spark, sf).select("residual").first()[0]
+        assert residual <= 1e-4
+
+
 def test_mixture_on_odd_rows(spark):
     labelled = spark.createDataFrame([(4, "a"), (5, "b"), (6, None), (None, "a")], "doc_id long, domain string")
     got = mixing.mix(odd(spark), labelled, {"a": 1.0, "b": 1.0}).collect()
