@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.sources.shared import discard
 from rillspark.sources.shared import written as cut
 
-__all__ = ["cut", "labelled_sample", "only", "slices", "table", "texts_of"]
+__all__ = ["cut", "discard", "labelled_sample", "only", "slices", "table", "texts_of"]
 #: Whole texts handled together inside a task, in characters: bounds a Python worker's memory.
 SLICE_CHARS = 4_000_000
 

@@ -5,10 +5,11 @@ their first n - ceil(s n) + 1 shingles (prefix filtering), so all such pairs
 meet in a bucket. Common shingles come last in the order, which keeps buckets
 small and plays no part in the result.
 
-Each set is first compared with the smallest set of its buckets. Buckets whose
-sets are then still in several components are compared in pairs of blocks.
-Pairs of which bitmaps of the sets show that they share too little are left
-out; every link is a pair whose resemblance was computed from both whole sets.
+Each set is first compared with one of the smallest sets of its buckets, the one
+that bitmaps show to be the most alike. Buckets whose sets are then still in
+several components are compared in pairs of blocks. Pairs of which bitmaps of
+the sets show that they share too little are left out; every link is a pair
+whose resemblance was computed from both whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rillspark.operators.components import components
 
-from .common import cut, only, slices, texts_of
+from .common import cut, discard, only, slices, texts_of
 from .simhash import SEED
 
 #: Sets in a block; a bucket with more is compared block by block.
@@ -63,10 +64,14 @@ def bitmap(found: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def may_be_alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
-    """False only for pairs that can't be: a bit that one set alone has is a shingle that the other lacks. Bitmaps are rows of 64-bit words."""
+def most_alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """The largest resemblance that pairs can have: a bit that one set alone has is a shingle that the other lacks. Bitmaps are rows of 64-bit words."""
     most = np.minimum(size_a - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), size_b - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
-    return most >= similarity * (size_a + size_b - most) - 1e-9
+    return most / np.maximum(size_a + size_b - most, 1)
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    return most_alike(a, b, size_a, size_b) >= similarity - 1e-9
 
 
 def _bitmaps(column: pa.Array) -> np.ndarray:
@@ -137,16 +142,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that bitmaps do not rule out. maps: (set, size, bits)."""
+    """Of the pairs (a, b) that bitmaps do not rule out, for each b the one that can be the most alike. maps: (set, size, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                may = may_be_alike(_bitmaps(b.column(4)), _bitmaps(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy(), similarity)
-                yield b.select(["a", "b"]).filter(pa.array(may))
+                most = most_alike(_bitmaps(b.column(4)), _bitmaps(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
+                yield b.select(["a", "b"]).append_column("most", pa.array(most)).filter(pa.array(most >= similarity - 1e-9))
 
     left, right = (maps.select(F.col("set").alias(k), F.col("size").alias(f"size_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, most double")
+    return found.groupBy("b").agg(F.max(F.struct("most", "a")).alias("x")).select("x.a", "b")
 
 
 def _members(met: DataFrame, similarity: float) -> DataFrame:
@@ -223,11 +229,12 @@ def _compared(met: DataFrame, similarity: float) -> DataFrame:
 
 
 def resembling(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every whole text.
+    """(doc_id, of_text, component, component_id) of every whole text.
 
     Documents whose sets of shingles have a Jaccard similarity of `similarity`
     or more are linked, all of them; component_id is the smallest id that links
-    reach, itself included.
+    reach, itself included. component names the component, of_text the text (a
+    hash), so that rows that share an id are told apart.
 
     Null texts are empty, and empty texts are alike. A null id stays null and
     names no component; a component without any id has a null component_id.
@@ -236,38 +243,44 @@ def resembling(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     """
     docs = only(docs, id_col, text_col).withColumn("of_text", F.xxhash64("text"))
     prints = cut(_prefixes(docs, words, similarity), "shingle-prefixes")
-    each = cut(prints.groupBy("set").agg(F.min("doc_id").alias("first"), F.min("of_text").alias("of_text"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix")), "distinct-sets")
-    keyed = each.select("set", F.explode("prefix").alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("hub"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(7))).alias("y")).where("n > 1")
+    each = cut(prints.groupBy("set").agg(F.min("doc_id").alias("first"), F.min("of_text").alias("of_text")), "distinct-sets")
+    keyed = prints.select("set", F.explode("prefix").alias("key"))
+    crowd = keyed.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last").select("key", "hub")
+    raw = cut(keyed.join(crowd, "key").select("key", "set", "hub").distinct(), "shared-prefixes")
     # buckets of the same sets count once
-    crowd = crowd.groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "hub")
-    met = cut(keyed.join(crowd, "key"), "resemblance-buckets")
-    maps = each.select("set", "size", "bits")
+    sized = raw.groupBy("key", "hub").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(7))).alias("y"))
+    sized = sized.groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    met = cut(raw.join(sized, "key"), "resemblance-buckets")
+    some = met.select("set").distinct()
+    maps = cut(prints.select("set", "size", "bits").join(some, "set", "left_semi").dropDuplicates(["set"]), "resemblance-bitmaps")
 
     def whole(names: DataFrame) -> DataFrame:
         return cut(_sets(docs, names.distinct().join(each.select("set", "of_text"), "set"), words), "shingle-sets")
 
     pairs = met.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
     pairs = cut(_possible(pairs, maps, similarity), "hub-pairs")
-    sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("set")))
-    links = cut(_verified(pairs, sets, similarity), "hub-links")
-    rooted = components(links, "hub-links").withColumnRenamed("node", "set")
-    met = cut(met.where("n > 2").join(rooted, "set", "left").withColumn("root", F.coalesce("root", "set")), "rooted-buckets")
-    split = met.groupBy("key").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("key")
+    hub_sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("set")))
+    hub_links = cut(_verified(pairs, hub_sets, similarity), "hub-links")
+    rooted = components(hub_links, "hub-links").withColumnRenamed("node", "set")
+    split = cut(met.where("n > 2").join(rooted, "set", "left").withColumn("root", F.coalesce("root", "set")), "rooted-buckets")
+    discard(raw, met, pairs, hub_sets)
+    several = split.groupBy("key").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = (
-        met.join(split, "key", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        split.join(several, "key", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "set", "root")
     )
-    rest = cut(_members(rest.join(maps, "set").select("key", "i", "j", "side", "set", "root", "size", "bits"), similarity), "possible-members")
+    possible = cut(_members(rest.join(maps, "set").select("key", "i", "j", "side", "set", "root", "size", "bits"), similarity), "possible-members")
     # groups of the same members count once
     member = [F.bit_xor(F.xxhash64("set", "side", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    once = rest.groupBy("key", "i", "j").agg(F.count("*").alias("n"), *member).groupBy("i", "j", "n", "x1", "x2").agg(F.min("key").alias("key"))
-    rest = cut(rest.join(once.select("key", "i", "j"), ["key", "i", "j"], "left_semi"), "distinct-members")
+    once = possible.groupBy("key", "i", "j").agg(F.count("*").alias("n"), *member).groupBy("i", "j", "n", "x1", "x2").agg(F.min("key").alias("key"))
+    rest = cut(possible.join(once.select("key", "i", "j"), ["key", "i", "j"], "left_semi"), "distinct-members")
     sets = whole(rest.select("set"))
-    links = links.unionByName(_compared(rest.join(sets, "set").select("key", "i", "j", "side", "set", "root", "shingles"), similarity))
-    rooted = each.select("set", "first").join(components(links, "resemblance-links").withColumnRenamed("node", "set"), "set", "left")
+    links = cut(_compared(rest.join(sets, "set").select("key", "i", "j", "side", "set", "root", "shingles"), similarity), "resemblance-links")
+    rooted = each.select("set", "first").join(components(links.unionByName(hub_links), "resemblance-links").withColumnRenamed("node", "set"), "set", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
+    found = cut(prints.join(rooted.join(least, "root").select("set", "root", "component_id"), "set").select("doc_id", "of_text", F.col("root").alias("component"), "component_id"), "resemblance")
+    discard(prints, each, maps, split, possible, rest, sets, links, hub_links)
+    return found
