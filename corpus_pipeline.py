@@ -28,27 +28,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (0.8 or more of their five-word shingles shared) the document with the smallest id stays.
 
-    A document without an id goes by a hash of its text; rows that share an id
-    count as one document, of which one row stays.
+    A document without an id goes by a hash of its text. Of rows equal in id
+    and text one stays; rows that share an id alone are documents of their own.
     """
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    keyed = docs.select(key.alias("key"), F.struct("*").alias("row"))
-    groups = resembling(docs.select(key.alias("key"), "text"), words=5, similarity=0.8, id_col="key")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    of_text = F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), of_text).alias("doc_id"), "text", F.struct("*").alias("row"))
+    groups = resembling(keyed.select("doc_id", "text"), words=5, similarity=0.8)
+    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "of_text")).alias("of")).select("of.*")
+    return keyed.select("doc_id", of_text.alias("of_text"), "row").join(kept, ["doc_id", "of_text"], "left_semi").dropDuplicates(["doc_id", "of_text"]).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts are sanitised, and n_chars follows; a null text stays null."""
+    """Texts are sanitised, and n_chars follows if it is there; a null text stays null."""
+    found = sanitise(docs, whole=True)
     clean = F.when(F.col("row.text").isNotNull(), F.col("sanitised"))
-    found = sanitise(docs, whole=True).select("row.*", clean.alias("__clean"))
-    return found.withColumns({"text": F.col("__clean"), "n_chars": F.length("__clean").cast(dict(docs.dtypes)["n_chars"])}).select(*docs.columns)
+    row = F.col("row").withField("text", clean)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(clean).cast(dict(docs.dtypes)["n_chars"]))
+    return found.select(row.alias("row")).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated so that language shares match TARGETS; none goes."""
     mixed = mix(docs, labelled_languages(spark, sf_dir), TARGETS, whole=True)
-    return mixed.select("row.*", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy")).drop("__copy")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
