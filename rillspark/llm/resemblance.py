@@ -32,8 +32,8 @@ from .simhash import SEED
 BLOCK = 256
 #: Shingles that are ordered by how common they are, and the share of documents they are looked for in.
 COMMON, LOOK = 200_000, 4
-#: Bits of a bitmap, a power of two.
-BITS = 1024
+#: Bits of a bitmap for each shingle of its set, about, and at least; bitmaps have a power of two of them.
+BITS_EACH, LEAST_BITS = 4, 256
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -59,23 +59,34 @@ def prefix(found: np.ndarray, similarity: float, common: np.ndarray, rank: np.nd
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[found & (BITS - 1)] = True
+    bits = np.zeros(max(LEAST_BITS, 1 << (BITS_EACH * len(found) - 1).bit_length()), bool)
+    bits[found & (len(bits) - 1)] = True
     return np.packbits(bits).tobytes()
 
 
+def folded(bitmaps: list[bytes], length: int) -> np.ndarray:
+    """A row of 64-bit words for each bitmap of at least `length` bytes, as if it had that length."""
+    return np.array([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, length // 8), axis=0) for x in bitmaps]).reshape(-1, length // 8)
+
+
 def most_alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """The largest resemblance that pairs can have: a bit that one set alone has is a shingle that the other lacks. Bitmaps are rows of 64-bit words."""
     most = np.minimum(size_a - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), size_b - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
     return most / np.maximum(size_a + size_b - most, 1)
 
 
-def may_be_alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
-    return most_alike(a, b, size_a, size_b) >= similarity - 1e-9
-
-
-def _bitmaps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def possible_partner(bits: list[bytes], size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """For each row of `other` (which rows may be its partner) whether bitmaps leave it one."""
+    length, has = np.array([len(x) for x in bits]), np.zeros(len(bits), bool)
+    for l in np.unique(length).tolist():
+        at = np.flatnonzero(length >= l)
+        rows = folded([bits[i] for i in at.tolist()], l)
+        for k in np.flatnonzero(length[at] == l).tolist():
+            x = at[k]
+            near = (most_alike(rows, rows[k], size[at], size[x]) >= similarity - 1e-9) & other[x, at]
+            has[at[near]] = True
+            has[x] |= near.any()
+    return has
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -146,9 +157,13 @@ def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                most = most_alike(_bitmaps(b.column(4)), _bitmaps(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
-                yield b.select(["a", "b"]).append_column("most", pa.array(most)).filter(pa.array(most >= similarity - 1e-9))
+            (size_a, size_b), (of_a, of_b) = (b.column(i).to_numpy() for i in (2, 3)), (b.column(i).to_pylist() for i in (4, 5))
+            length = np.array([min(len(x), len(y)) for x, y in zip(of_a, of_b, strict=True)], np.int64)
+            most = np.zeros(b.num_rows)
+            for l in np.unique(length).tolist():
+                at = np.flatnonzero(length == l)
+                most[at] = most_alike(folded([of_a[i] for i in at.tolist()], l), folded([of_b[i] for i in at.tolist()], l), size_a[at], size_b[at])
+            yield b.select(["a", "b"]).append_column("most", pa.array(most)).filter(pa.array(most >= similarity - 1e-9))
 
     left, right = (maps.select(F.col("set").alias(k), F.col("size").alias(f"size_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, most double")
@@ -166,10 +181,8 @@ def _members(met: DataFrame, similarity: float) -> DataFrame:
         for (_, i, j), group in groupby(rows, key=lambda r: r[:3]):
             kept = list(group)
             side, root, size = (np.array([r[k] for r in kept], np.int64) for k in (3, 5, 6))
-            bits = np.frombuffer(b"".join(r[7] for r in kept), np.uint64).reshape(len(kept), -1)
-            has = np.zeros(len(kept), bool)
-            for x in range(len(kept)):
-                has[x] = (may_be_alike(bits, bits[x], size, size[x], similarity) & (root != root[x]) & ((i == j) | (side != side[x]))).any()
+            other = (root[:, None] != root) & ((i == j) | (side[:, None] != side))
+            has = possible_partner([r[7] for r in kept], size, other, similarity)
             if has.any():
                 columns = zip(*(r[:6] for r, h in zip(kept, has, strict=True) if h), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "i", "j", "side", "set", "root"])

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from rillspark.llm import resemblance
 
@@ -67,3 +68,21 @@ def test_stage_drops_near_copies_beyond_three_bits(spark):
     texts = copies(5)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(set(roots(texts)))
+
+
+def test_bitmaps_never_rule_out_what_is_alike():
+    rng = np.random.default_rng(1)
+    sets = []
+    for n in (1, 3, 60, 70, 300, 900, 1_000):
+        base = rng.integers(-(2**62), 2**62, n)
+        sets += [np.unique(np.r_[base[rng.random(n) > cut], rng.integers(-(2**62), 2**62, n // 12)]) for cut in (0, 0.05, 0.1, 0.3)]
+    bits, size = [resemblance.bitmap(x) for x in sets], np.array([len(x) for x in sets])
+    other = ~np.eye(len(sets), dtype=bool)
+    has = resemblance.possible_partner(bits, size, other, 0.8)
+    real = [any(resemblance.alike(x, y, 0.8) for j, y in enumerate(sets) if i != j) for i, x in enumerate(sets)]
+    assert all(h for h, r in zip(has, real, strict=True) if r) and 0 < sum(real) and sum(has) < len(sets)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            n = min(len(bits[i]), len(bits[j]))
+            most = resemblance.most_alike(resemblance.folded([bits[i]], n), resemblance.folded([bits[j]], n), size[i : i + 1], size[j : j + 1])[0]
+            assert most >= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) - 1e-9
