@@ -1,9 +1,14 @@
-"""Depression filling by tiles: the lowest level at which water leaves each cell.
+"""Depression filling and routing over filled terrain, by tiles.
 
 A cell's level is the least, over all ways to a terminal, of the greatest
-height on the way. Tiles settle their own levels from the levels around them
-with a heap; rounds repeat until no tile changes, so their number follows the
-tiles that a way crosses, not its cells. A tile's task holds its cells and one
+height on the way; its steps are how many cells of that level lie before one
+that is lower (0 where its own height sets the level). Water goes to the
+neighbour of the smallest (level, steps, cell), which is the first that a flood
+from the terminals reaches in that order, so filled flats drain too.
+
+Tiles settle their own cells from those around them with a heap. A round runs
+the tiles beside which something changed and writes those alone; rounds follow
+the tiles that a way crosses, not its cells. A task holds a tile's cells and one
 ring around them.
 """
 
@@ -16,61 +21,131 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.sources.shared import written
+from rillspark.operators.flow import neighbours
+from rillspark.sources.shared import discard, written
 
 TILE = 64
-_STATE = "cell long, r long, c long, z double, terminal boolean, w double, changed boolean"
+#: Rounds after which the tiles written are gathered in one table.
+GATHER = 8
+_CELLS = ["cell", "r", "c", "z", "terminal", "zone", "w", "steps"]
+_STATE = "ty long, tx long, cell long, r long, c long, z double, terminal boolean, zone long, w double, steps long, changed boolean"
 
 
-def _settle(group: pa.Table) -> pa.Table:
+def _settle(key: tuple, group: pa.Table) -> pa.Table:
     own = group.column("own").to_numpy(zero_copy_only=False)
-    r, c, z, w = (group.column(x).to_numpy() for x in ("r", "c", "z", "w"))
+    r, c, z, w, zone = (group.column(x).to_numpy() for x in ("r", "c", "z", "w", "zone"))
     stays = ~own | group.column("terminal").to_numpy(zero_copy_only=False)
     at = np.full((int(r.max() - r.min()) + 3, int(c.max() - c.min()) + 3), -1)
     i, j = r - r.min() + 1, c - c.min() + 1
     at[i, j] = np.arange(len(r))
-    around = np.stack([at[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], axis=1).tolist()
-    level, height, fixed = w.tolist(), z.tolist(), stays.tolist()
-    heap = [(x, k) for k, x in enumerate(level) if x < np.inf]
+    around = np.stack([at[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], axis=1)
+    around = np.where((around >= 0) & ~stays[around] & (zone[around] == zone[:, None]), around, -1).tolist()
+    steps = group.column("steps").to_numpy()
+    best, height = list(zip(w.tolist(), steps.tolist(), strict=True)), z.tolist()
+    heap = [(x, s, k) for k, (x, s) in enumerate(best) if x < np.inf]
     heapq.heapify(heap)
     while heap:
-        x, k = heapq.heappop(heap)
-        if x > level[k]:
+        x, s, k = heapq.heappop(heap)
+        if (x, s) > best[k]:
             continue
         for n in around[k]:
-            if n >= 0 and not fixed[n]:
-                up = max(height[n], x)
-                if up < level[n]:
-                    level[n] = up
-                    heapq.heappush(heap, (up, n))
-    new = np.array(level)
-    out = group.select(["cell", "r", "c", "z", "terminal"]).append_column("w", pa.array(new)).append_column("changed", pa.array(new < w))
+            if n >= 0:
+                to = (height[n], 0) if height[n] > x else (x, s + 1)
+                if to < best[n]:
+                    best[n] = to
+                    heapq.heappush(heap, (*to, n))
+    level, count = (np.array(v) for v in zip(*best, strict=True))
+    out = group.select(["cell", "r", "c", "z", "terminal", "zone"])
+    for name, v in (("w", level), ("steps", count), ("changed", (level != w) | (count != steps))):
+        out = out.append_column(name, pa.array(v))
+    for k, name in enumerate(("ty", "tx")):
+        out = out.add_column(k, name, pa.array(np.full(len(r), key[k].as_py())))
     return out.filter(pa.array(own))
 
 
-def fill(grid: DataFrame, z: str, terminal: Column, tile: int = TILE) -> DataFrame:
-    """(cell, r, c, z, terminal, w): w is the level of each cell; infinite where no terminal can be reached.
+def _targets(tile: int) -> Column:
+    """The tiles that hold a cell or one of its neighbours, as structs of ty, tx and own."""
+    edge = {-1: lambda x: F.pmod(x, F.lit(tile)) == 0, 0: lambda x: F.lit(True), 1: lambda x: F.pmod(x, F.lit(tile)) == tile - 1}
+    to = [F.when(edge[i](F.col("r")) & edge[j](F.col("c")), F.struct((F.col("ty") + i).alias("ty"), (F.col("tx") + j).alias("tx"), F.lit(i == 0 and j == 0).alias("own"))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    return F.filter(F.array(*to), lambda x: x.isNotNull())
+
+
+def _current(tables: list[DataFrame]) -> DataFrame:
+    """The cells of each tile as they were written last."""
+    if len(tables) == 1:
+        return tables[0]
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    last = every.select("ty", "tx", "round").distinct().groupBy("ty", "tx").agg(F.max("round").alias("round"))
+    return every.join(last, ["ty", "tx", "round"], "left_semi")
 
-    terminal: where water leaves, as at coasts or edges. Cells without a height
-    take no part and let nothing pass.
+
+def fill(grid: DataFrame, z: str, terminal: Column, tile: int = TILE, zone: Column | None = None) -> DataFrame:
+    """(cell, r, c, z, terminal, zone, w, steps): w is the level of each cell; infinite where no terminal can be reached.
+
+    terminal: where water leaves, as at coasts or edges. zone: water stays in
+    cells of one zone. Cells without a height, or with NaN, take no part and
+    let nothing pass.
     """
-    infinite = F.lit(float("inf"))
-    start = grid.where(F.col(z).isNotNull()).select("cell", "r", "c", F.col(z).cast("double").alias("z"), F.coalesce(terminal, F.lit(False)).alias("terminal"))
-    state = written(start.withColumn("w", F.when(F.col("terminal"), F.col("z")).otherwise(infinite)).withColumn("changed", F.lit(True)), "fill")
-    edge = {-1: lambda x: F.pmod(x, F.lit(tile)) == 0, 0: lambda x: F.lit(True), 1: lambda x: F.pmod(x, F.lit(tile)) == tile - 1}
-    while not state.where("changed").isEmpty():
-        sent = F.filter(
-            F.array(*(F.when(edge[i](F.col("r")) & edge[j](F.col("c")), F.struct((F.floor(F.col("r") / tile) + i).alias("ty"), (F.floor(F.col("c") / tile) + j).alias("tx"), F.lit(i == 0 and j == 0).alias("own"))) for i in (-1, 0, 1) for j in (-1, 0, 1))),
-            lambda x: x.isNotNull(),
-        )
-        met = state.select("cell", "r", "c", "z", "terminal", "w", F.explode(sent).alias("to")).select("cell", "r", "c", "z", "terminal", "w", "to.*")
-        state = written(met.groupBy("ty", "tx").applyInArrow(_settle, _STATE), "fill")
-    return state.drop("changed")
+    zone = F.lit(0) if zone is None else zone
+    start = grid.where(F.col(z).isNotNull() & ~F.isnan(F.col(z).cast("double"))).select(
+        F.floor(F.col("r") / tile).alias("ty"), F.floor(F.col("c") / tile).alias("tx"), "cell", "r", "c", F.col(z).cast("double").alias("z"),
+        F.coalesce(terminal, F.lit(False)).alias("terminal"), F.coalesce(zone.cast("long"), F.lit(-1)).alias("zone"),
+    )
+    level = F.when(F.col("terminal"), F.col("z")).otherwise(F.lit(float("inf")))
+    state = start.withColumns({"w": level, "steps": F.lit(0).cast("long"), "changed": F.lit(True), "round": F.lit(0)})
+    tables, active, k = [written(state, "fill")], None, 0
+    while True:
+        k += 1
+        cells = _current(tables)
+        if active is not None:
+            side = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+            near = active.select("ty", "tx", side.alias("s")).select((F.col("ty") + F.col("s.i")).alias("ty"), (F.col("tx") + F.col("s.j")).alias("tx")).distinct()
+            cells = cells.join(near, ["ty", "tx"], "left_semi")
+        sent = cells.select(*_CELLS, F.explode(_targets(tile)).alias("to")).select(*_CELLS, "to.*")
+        if active is None:  # only tiles that have cells of their own
+            sent = sent.join(tables[0].select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
+        else:
+            sent = sent.join(active, ["ty", "tx"], "left_semi")
+        new = written(sent.groupBy("ty", "tx").applyInArrow(_settle, _STATE).withColumn("round", F.lit(k)), "fill")
+        tables.append(new)
+        beside = new.where("changed").select(F.explode(_targets(tile)).alias("to")).select("to.*").where("not own").select("ty", "tx").distinct()
+        following = written(beside.join(tables[0].select("ty", "tx").distinct(), ["ty", "tx"], "left_semi"), "tiles")
+        if active is not None:
+            discard(active)
+        active = following
+        if active.isEmpty():
+            break
+        if len(tables) > GATHER:
+            whole = written(_current(tables), "fill")
+            discard(*tables)
+            tables = [whole]
+    return _current(tables).select(*_CELLS)
+
+
+def route(grid: DataFrame, z: str, land: Column, terminal: Column, zone: Column | None = None, tile: int = TILE) -> DataFrame:
+    """(cell, r, c, z, terminal, zone, w, steps, code, receiver) of land cells and terminals.
+
+    Code 0 and no receiver at terminals and where no terminal can be reached
+    (w is infinite there). Ocean that is no terminal takes no part.
+    """
+    levels = written(fill(grid.where(F.coalesce(land, F.lit(False)) | F.coalesce(terminal, F.lit(False))), z, terminal, tile, zone), "levels")
+    first = F.min(F.struct("w", "steps", "from_cell", "code")).alias("first")
+    met = neighbours(levels, "w", "steps", "zone").where(F.col("w") < float("inf")).groupBy("r", "c", "zone").agg(first)
+    flows = ~F.col("terminal") & F.col("first").isNotNull()
+    return levels.join(met, ["r", "c", "zone"], "left").select(
+        *_CELLS, F.when(flows, F.col("first.code")).otherwise(0).alias("code"), F.when(flows, F.col("first.from_cell")).alias("receiver")
+    )
+
+
+def coastline(grid: DataFrame, land: Column) -> DataFrame:
+    """(cell) of ocean cells with land among their eight neighbours."""
+    around = neighbours(grid.where(land)).select("r", "c").distinct()
+    return grid.where(~F.coalesce(land, F.lit(False))).join(around, ["r", "c"], "left_semi").select("cell")
 
 
 def edge_cells(grid: DataFrame) -> DataFrame:
     """grid with edge: cells that lack one of their eight neighbours."""
-    from rillspark.operators.flow import neighbours
-
     around = neighbours(grid).groupBy("r", "c").agg(F.count("*").alias("n_around"))
     return grid.join(around, ["r", "c"], "left").withColumn("edge", F.coalesce(F.col("n_around"), F.lit(0)) < 8).drop("n_around")

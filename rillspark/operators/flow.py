@@ -1,6 +1,7 @@
 """Drainage over D8 flow forests, by pointer doubling.
 
-A forest is a table (cell, receiver): receiver is NULL at a terminal. Walking
+A forest is a table (cell, receiver): receiver is NULL at a terminal. A cycle
+raises a ValueError, as no pointer of it ever ends. Walking
 2^k receivers at once takes rounds in proportion to the logarithm of the
 longest path, each of them an equi-join and a sum, where a walk cell by cell
 would take one round for every step.
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.sources.shared import written
+from rillspark.sources.shared import discard, written
 
 #: D8 codes with their steps (fixed values): code, row step, column step.
 D8 = ((1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 1, -1), (5, 0, -1), (6, -1, -1), (7, -1, 0), (8, -1, 1))
@@ -47,6 +48,16 @@ def step_length(code: Column, resolution_m: float) -> Column:
     return F.when(code % 2 == 0, F.lit(resolution_m * 2**0.5)).otherwise(F.lit(resolution_m))
 
 
+def _rounds(pointers: DataFrame):
+    """Rounds of pointer doubling that a forest can need; more are a cycle."""
+    yield from range(max(1, pointers.count()).bit_length() + 1)
+    raise ValueError("the flow has a cycle")
+
+
+def _done(now: DataFrame) -> bool:
+    return now.where("to is not null").isEmpty()
+
+
 def accumulate(forest: DataFrame, by=F.sum, **weights: Column) -> DataFrame:
     """(cell, name...): for each weight the sum (or by: F.min, F.max) over a cell and all that drains through it.
 
@@ -55,30 +66,36 @@ def accumulate(forest: DataFrame, by=F.sum, **weights: Column) -> DataFrame:
     """
     join = {F.min: F.least, F.max: F.greatest}.get(by, lambda a, b: a + F.coalesce(b, F.lit(0.0)))
     now = written(forest.select("cell", F.col("receiver").alias("to"), *(w.cast("double").alias(n) for n, w in weights.items())), "accumulate")
-    while not now.where("to is not null").isEmpty():
+    for _ in _rounds(now):
+        if _done(now):
+            return now.select("cell", *weights)
         sent = now.where("to is not null").groupBy(F.col("to").alias("cell")).agg(*(by(n).alias(f"+{n}") for n in weights))
         jumps = now.where("to is not null").select(F.col("cell").alias("to"), F.col("to").alias("next"))
         total = [join(F.col(n), F.col(f"+{n}")).alias(n) for n in weights]
-        now = written(now.join(sent, "cell", "left").join(jumps, "to", "left").select("cell", F.col("next").alias("to"), *total), "accumulate")
-    return now.select("cell", *weights)
+        last, now = now, written(now.join(sent, "cell", "left").join(jumps, "to", "left").select("cell", F.col("next").alias("to"), *total), "accumulate")
+        discard(last)
 
 
 def downstream(forest: DataFrame, by=F.greatest, **values: Column) -> DataFrame:
     """(cell, name...): the largest value (or by: F.least) on the way from a cell to its outlet, both included."""
     now = written(forest.select("cell", F.col("receiver").alias("to"), *(v.cast("double").alias(n) for n, v in values.items())), "downstream")
-    while not now.where("to is not null").isEmpty():
+    for _ in _rounds(now):
+        if _done(now):
+            return now.select("cell", *values)
         ahead = now.select(F.col("cell").alias("to"), F.col("to").alias("next"), *(F.col(n).alias(f"+{n}") for n in values))
-        now = written(now.join(ahead, "to", "left").select("cell", F.col("next").alias("to"), *(by(n, f"+{n}").alias(n) for n in values)), "downstream")
-    return now.select("cell", *values)
+        last, now = now, written(now.join(ahead, "to", "left").select("cell", F.col("next").alias("to"), *(by(n, f"+{n}").alias(n) for n in values)), "downstream")
+        discard(last)
 
 
 def outlets(forest: DataFrame) -> DataFrame:
     """(cell, outlet, steps): the terminal that a cell drains to and how many receivers away it is."""
     now = written(forest.select("cell", F.col("receiver").alias("to"), F.col("receiver").isNotNull().cast("long").alias("steps"), F.coalesce("receiver", "cell").alias("outlet")), "outlets")
-    while not now.where("to is not null").isEmpty():
+    for _ in _rounds(now):
+        if _done(now):
+            return now.select("cell", "outlet", "steps")
         ahead = now.select(F.col("cell").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("outlet").alias("last"))
-        now = written(now.join(ahead, "to", "left").select("cell", F.col("next").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("last", "outlet").alias("outlet")), "outlets")
-    return now.select("cell", "outlet", "steps")
+        last, now = now, written(now.join(ahead, "to", "left").select("cell", F.col("next").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("last", "outlet").alias("outlet")), "outlets")
+        discard(last)
 
 
 def strahler(forest: DataFrame) -> DataFrame:
@@ -90,7 +107,7 @@ def strahler(forest: DataFrame) -> DataFrame:
     orders are at most the logarithm of the number of cells.
     """
     hops = [written(forest.where("receiver is not null").select("cell", "receiver"), "hops")]
-    while True:
+    for _ in _rounds(hops[0]):
         last = hops[-1]
         longer = written(last.join(last.select(F.col("cell").alias("receiver"), F.col("receiver").alias("next")), "receiver").select("cell", F.col("next").alias("receiver")), "hops")
         if longer.isEmpty():

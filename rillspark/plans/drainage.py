@@ -171,6 +171,37 @@ def network_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def coastal_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The random grid with terminal: ocean beside land, and the edges of the grid."""
+    g = fill.edge_cells(order_grid(spark, sf_dir))
+    coast = fill.coastline(g, F.col("land")).withColumn("coast", F.lit(True))
+    return g.join(coast, "cell", "left").withColumn("terminal", F.col("edge") | F.coalesce("coast", F.lit(False)))
+
+
+def routed(spark: SparkSession, sf_dir: str, zone: bool = True) -> DataFrame:
+    return fill.route(coastal_grid(spark, sf_dir), "price", F.col("land"), F.col("terminal"), F.col("zone") if zone else None)
+
+
+def routed_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and receivers over terrain full of pits, from coasts and edges, within zones."""
+    return routed(spark, sf_dir).select("cell", F.col("w").alias("level"), "steps", "code", "receiver")
+
+
+def routed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area that drains through each terminal of the routed grid, with what enters from outside at every 97th cell."""
+    f = written(routed(spark, sf_dir, zone=False).select("cell", "receiver", "terminal"), "routed")
+    inflow = F.when(F.col("cell") % 97 == 0, F.lit(5.0 * AREA)).otherwise(0.0)
+    a = flow.accumulate(f.withColumn("w", F.lit(AREA) + inflow), area=F.col("w"))
+    return f.where("terminal").select("cell").join(a, "cell")
+
+
+def routed_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by zone and terminal; zones are the catchments of a zoned flood."""
+    f = written(routed(spark, sf_dir), "routed")
+    o = flow.outlets(f.select("cell", "receiver")).join(f.select("cell", "zone"), "cell")
+    return o.groupBy("zone").agg(F.count("*").alias("n_cells"), F.countDistinct("outlet").alias("n_outlets"), F.max("steps").alias("longest"))
+
+
 def filled_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels at which the pits of the random grid spill, with its edges as terminals."""
     g = fill.edge_cells(order_grid(spark, sf_dir))
@@ -188,6 +219,31 @@ def depression_lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lakes.withColumn("used", run).join(F.broadcast(budget)).where("used <= budget").select("patch", "n", F.round("depth", 2).alias("depth"), F.round("level", 4).alias("level"), "used")
 
 
+#: Levels, steps and receivers of the flood: a keyed recursion that improves (level, steps) until nothing changes.
+ROUTE_SQL = """with recursive {grid},
+d(code, dr, dc) as (values (1,0,1),(2,1,1),(3,1,0),(4,1,-1),(5,0,-1),(6,-1,-1),(7,-1,0),(8,-1,1)),
+pair as materialized (select a.cell, b.cell as nbr, a.code from (select g.cell, g.r + d.dr as r, g.c + d.dc as c, d.code from g, d) a join g b on a.r = b.r and a.c = b.c),
+seen as materialized (select pair.cell, count(*) as n, count(*) filter (b.land) as n_land from pair join g b on pair.nbr = b.cell group by pair.cell),
+t as materialized (select g.*, {terminal} as terminal, {routable} as routable from g join seen using (cell)),
+nb as materialized (select pair.*, a.price as h, a.terminal from pair join t a on pair.cell = a.cell join t b on pair.nbr = b.cell
+ where ({zoned}) and (a.routable or a.terminal) and (b.routable or b.terminal)),
+lv(cell, w, s) using key (cell) as (select cell, price, cast(0 as bigint) from t where terminal
+ union select x.cell, x.k.w, x.k.s from (select nb.cell, min(struct_pack(w := greatest(nb.h, lv.w), s := case when nb.h > lv.w then 0 else lv.s + 1 end)) as k
+  from lv join nb on nb.nbr = lv.cell where not nb.terminal group by nb.cell) x left join recurring.lv o on o.cell = x.cell
+ where o.cell is null or (x.k.w, x.k.s) < (o.w, o.s)),
+rc as materialized (select nb.cell, min(struct_pack(w := lv.w, s := lv.s, cell := lv.cell, code := nb.code)) as f from nb join lv on nb.nbr = lv.cell where not nb.terminal group by nb.cell),
+f as materialized (select lv.cell, lv.w, lv.s, coalesce(rc.f.code, 0) as code, rc.f.cell as receiver, t.terminal, t.zone, t.price as z from lv join t using (cell) left join rc using (cell))"""
+_COAST = {"terminal": "seen.n < 8 or (not g.land and seen.n_land > 0)", "routable": "g.land"}
+ZONED_SQL = ROUTE_SQL.format(grid=GRID_SQL, zoned="a.zone = b.zone", **_COAST)
+COAST_SQL = ROUTE_SQL.format(grid=GRID_SQL, zoned="true", **_COAST)
+EDGES_SQL = ROUTE_SQL.format(grid=GRID_SQL, zoned="true", terminal="seen.n < 8", routable="true")
+_UP = ", up as (select cell as origin, cell, 0 as steps from f union all select up.origin, f.receiver, up.steps + 1 from up join f on up.cell = f.cell where f.receiver is not null)"
+#: Orders rise until no cell asks for a larger one.
+_ORDERS = """, st(cell, k) using key (cell) as (select cell, 1 from f
+ union select x.cell, x.k from (select c.receiver as cell, c.top + cast(count(*) filter (o.k = c.top) > 1 as integer) as k
+   from (select f.receiver, max(p.k) as top from f join recurring.st p on p.cell = f.cell where f.receiver is not null group by f.receiver) c
+   join f on f.receiver = c.receiver join recurring.st o on o.cell = f.cell group by c.receiver, c.top) x join recurring.st b on b.cell = x.cell where x.k > b.k)"""
+
 _STEP = f"case when code % 2 = 0 then {RESOLUTION_M} * sqrt(2) else {RESOLUTION_M} end"
 _CH = f", ch as materialized (select f.*, a.area, a.q from f join a using (cell) where a.area >= {CHANNEL_M2} and f.code between 1 and 8)"
 _NODES = (
@@ -205,8 +261,11 @@ QUERIES = {
     "channel_cells": (channel_cells, FLOW_SQL + f""" select zone, count(*) filter (area >= {CHANNEL_M2}) as n_over,
  count(*) filter (area >= {CHANNEL_M2} and code between 1 and 8) as n_flowing, count(*) filter (area >= {CHANNEL_M2} and land) as n_land from f join a using (cell) group by zone"""),
     "area_conservation": (area_conservation, FLOW_SQL + f" select cast(sum(area) filter (receiver is null) as double) as collected, cast(count(*) * {AREA} as double) as area from f join a using (cell)"),
-    "stream_orders": (stream_orders, None),
-    "filled_surface": (filled_surface, None),
+    "stream_orders": (stream_orders, FLOW_SQL + _ORDERS + " select cast(k as integer) as stream_order, count(*) as n_cells from st group by k"),
+    "filled_surface": (filled_surface, EDGES_SQL + " select cell, z, w as level from f"),
+    "routed_receivers": (routed_receivers, ZONED_SQL + " select cell, w as level, s as steps, cast(code as integer) as code, receiver from f"),
+    "routed_areas": (routed_areas, COAST_SQL + _UP + f" select up.cell, cast(sum({AREA} + case when up.origin % 97 = 0 then {5 * AREA} else 0 end) as double) as area from up join f on up.cell = f.cell where f.terminal group by up.cell"),
+    "routed_catchments": (routed_catchments, ZONED_SQL + _UP + ", o as (select origin as cell, max_by(cell, steps) as outlet, max(steps) as steps from up group by origin) select zone, count(*) as n_cells, count(distinct outlet) as n_outlets, cast(max(o.steps) as bigint) as longest from o join f using (cell) group by zone"),
     "depression_lakes": (depression_lakes, None),
     "river_nodes": (river_nodes, FLOW_SQL + _NODES + " select cell, kind, upstream from nodes where kind is not null"),
     "river_edges": (river_edges, FLOW_SQL + _NODES + f""", walk as (select cell as begins, receiver as cell, {_STEP} as len, 0 as n_inner from nodes where kind is not null and kind <> 'outlet'

@@ -38,6 +38,45 @@ def test_levels_equal_a_flood_whatever_the_tiles(spark, tile):
     assert got == {r * 31 + c: w.item() for (r, c), w in np.ndenumerate(flood(z, terminal))}
 
 
+def heap_route(z, land, terminal, zone):
+    """A flood in order of (level, steps, cell): the first neighbour that it reaches receives."""
+    cols = z.shape[1]
+    heap = [(z[i], 0, i[0] * cols + i[1]) for i in np.ndindex(z.shape) if terminal[i]]
+    done = {k: (w, s, None) for w, s, k in heap}
+    heapq.heapify(heap)
+    while heap:
+        w, s, k = heapq.heappop(heap)
+        r, c = divmod(k, cols)
+        for i, j in np.ndindex(3, 3):
+            n = (r + i - 1, c + j - 1)
+            at = n[0] * cols + n[1]
+            if 0 <= n[0] < z.shape[0] and 0 <= n[1] < cols and land[n] and zone[n] == zone[r, c] and at not in done:
+                to = (z[n], 0) if z[n] > w else (w, s + 1)
+                done[at] = (*to, k)
+                heapq.heappush(heap, (*to, at))
+    return done
+
+
+@pytest.mark.parametrize("tile", [6, 64])
+def test_receivers_equal_a_flood_on_flats_and_in_zones(spark, monkeypatch, tile):
+    monkeypatch.setattr(fill, "GATHER", 2)
+    rng = np.random.default_rng(4)
+    z, land, zone = rng.integers(0, 4, (25, 29)).astype(float), rng.random((25, 29)) > 0.06, np.tile(np.arange(29) // 15, (25, 1))
+    terminal = np.zeros((25, 29), bool)
+    terminal[0, :] = terminal[20, 25] = True
+    rows = [(r * 29 + c, r, c, z[r, c].item(), bool(land[r, c]), bool(terminal[r, c]), int(zone[r, c])) for r, c in np.ndindex(z.shape)]
+    df = spark.createDataFrame(rows, "cell long, r long, c long, h double, land boolean, leaves boolean, zone int")
+    got = {x.cell: (x.w, x.steps, x.receiver) for x in fill.route(df, "h", F.col("land"), F.col("leaves"), F.col("zone"), tile).where("w < double('inf')").collect()}
+    assert got == heap_route(z, land, terminal, zone) and max(s for _, s, _ in got.values()) > 3
+
+
+def test_nan_and_null_heights_take_no_part(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 1, float("nan")), (2, 0, 2, 5.0), (3, 1, 0, None), (4, 1, 1, 3.0)], "cell long, r long, c long, h double")
+    got = {x.cell: (x.w, x.receiver) for x in fill.route(df, "h", F.lit(True), F.col("cell") == 0).collect()}
+    assert got == {0: (1.0, None), 4: (3.0, 0), 2: (5.0, 4)}
+    assert fill.route(df.limit(0), "h", F.lit(True), F.lit(True)).isEmpty()
+
+
 def test_bowl_and_unreachable(spark):
     z = np.full((5, 5), 9.0)
     z[2, 2], z[1, 2], z[0, 2] = 1.0, 4.0, 3.0

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rillspark.operators import flow, relational
@@ -50,6 +51,13 @@ def test_random_forest_against_walks(spark):
     assert {r.cell: r.stream_order for r in flow.strahler(frame(spark, tree)).collect()} == order
 
 
+def test_a_cycle_raises(spark):
+    ring = frame(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (5, None)])
+    for walk in (lambda: flow.outlets(ring), lambda: flow.accumulate(ring, n=F.lit(1.0)), lambda: flow.downstream(ring, n=F.lit(1.0)), lambda: flow.strahler(ring)):
+        with pytest.raises(ValueError, match="cycle"):
+            walk()
+
+
 def test_empty_forest(spark):
     empty = frame(spark, [])
     assert flow.accumulate(empty, n=F.lit(1.0)).isEmpty() and flow.outlets(empty).isEmpty() and flow.strahler(empty).isEmpty()
