@@ -47,14 +47,16 @@ def components(links: DataFrame, what: str) -> DataFrame:
     )
 
 
-def patches(grid: DataFrame, reach: tuple = ((0, 1), (1, -1), (1, 0), (1, 1))) -> DataFrame:
+def patches(grid: DataFrame, reach: tuple = ((0, 1), (1, -1), (1, 0), (1, 1)), same: str | None = None) -> DataFrame:
     """(cell, patch) of a table of masked cells (cell, r, c): patch is the smallest cell that neighbours reach.
 
     reach: half of the neighbourhood, as steps in rows and columns; the default
-    is all eight neighbours, ((0, 1), (1, 0)) the four nearest.
+    is all eight neighbours, ((0, 1), (1, 0)) the four nearest. same: a column
+    that neighbours of one patch share.
     """
+    by = ["r", "c", *([same] if same else [])]
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach)))
-    sent = grid.select(F.col("cell").alias("a"), "r", "c", steps.alias("s")).select("a", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"))
-    links = sent.join(grid.select(F.col("cell").alias("b"), "r", "c"), ["r", "c"]).select("a", "b")
+    sent = grid.select(F.col("cell").alias("a"), *by, steps.alias("s")).select("a", *by[2:], (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"))
+    links = sent.join(grid.select(F.col("cell").alias("b"), *by), by).select("a", "b")
     found = components(links, "patches").select(F.col("node").alias("cell"), "root")
     return grid.join(found, "cell", "left").select("cell", F.coalesce("root", "cell").alias("patch"))

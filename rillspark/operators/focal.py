@@ -100,3 +100,33 @@ def bilinear3(df: DataFrame, x: str, name: str) -> DataFrame:
 def zero_mean(x: str) -> Column:
     """x less the mean of its parent's children."""
     return F.col(x) - F.avg(x).over(Window.partitionBy("pr", "pc"))
+
+
+def bilinear3_all(df: DataFrame, xs: list[str]) -> DataFrame:
+    """(r, c, pr, pc, xs...): several columns refined as in bilinear3, in one pass."""
+    def child(value: str, axis: str, phase: int) -> Column:
+        side = before(value, axis) if phase < 0 else after(value, axis)
+        return F.col(value) if phase == 0 else (2 * F.col(value) + F.coalesce(side, F.col(value))) / 3
+
+    places = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    three = df.select("r", "c", *(child(x, "c", j).alias(f"{x}_{j + 1}") for x in xs for j in (-1, 0, 1)))
+    nine = three.select("r", "c", *(child(f"{x}_{j + 1}", "r", i).alias(f"{x}_{i + 1}{j + 1}") for x in xs for i, j in places))
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *(F.col(f"{x}_{i + 1}{j + 1}").alias(x) for x in xs)) for i, j in places)))
+    return nine.select(F.col("r").alias("pr"), F.col("c").alias("pc"), cells.alias("x")).select(
+        (3 * F.col("pr") + 1 + F.col("x.i")).alias("r"), (3 * F.col("pc") + 1 + F.col("x.j")).alias("c"), "pr", "pc", *(F.col(f"x.{x}").alias(x) for x in xs)
+    )
+
+
+def bilinear(df: DataFrame, x: str, k: int) -> DataFrame:
+    """(r, c, x): each cell as k by k, interpolated between centres; edge cells repeat outside.
+
+    A child lies between its parent and the neighbour on its side, so windows
+    along rows and then columns bring both together.
+    """
+    def along_axis(df: DataFrame, axis: str, keep: str) -> DataFrame:
+        sides = df.select(keep, axis, x, F.coalesce(before(x, axis), F.col(x)).alias("low"), F.coalesce(after(x, axis), F.col(x)).alias("high"))
+        place = [(i + 0.5) / k - 0.5 for i in range(k)]
+        values = F.array(*(F.struct(F.lit(i).alias("i"), (F.col(x) * (1 - abs(p)) + F.col("high" if p > 0 else "low") * abs(p)).alias("v")) for i, p in enumerate(place)))
+        return sides.select(keep, axis, F.explode(values).alias("s")).select(keep, (F.col(axis) * k + F.col("s.i")).alias(axis), F.col("s.v").alias(x))
+
+    return along_axis(along_axis(df, "c", "r"), "r", "c")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,79 @@ def best_within(probes: DataFrame, cells: DataFrame, reach: int, value: str) ->
     met = sent.join(tiled, ["tr", "tc"]).where((F.abs(F.col("r") - F.col("pr")) <= reach) & (F.abs(F.col("c") - F.col("pc")) <= reach) & (F.col("cell") != F.col("probe")))
     best = met.groupBy(F.col("probe").alias("cell")).agg(F.max(F.struct(F.col(value), (-F.col("cell")).alias("k"))).alias("x"))
     return best.select("cell", (-F.col("x.k")).alias("best"), F.col(f"x.{value}").alias(value))
+
+
+def probe_slots(ids: DataFrame, id_col: str, start: str, modulus: int) -> DataFrame:
+    """(id, slot): each id's first free slot from `start` on, as if ids came in their order (linear probing).
+
+    Rounds of offers: a slot keeps the smallest id that asks for it, others go
+    on to the next. All slots prefer smaller ids, so what rounds end in is what
+    inserting one by one gives. Collisions are few, and so are rounds.
+    """
+    from rillspark.sources.shared import discard, written
+
+    now = written(ids.select(F.col(id_col).alias("id"), F.pmod(F.col(start), F.lit(modulus)).cast("long").alias("slot")), "slots")
+    while True:
+        first = now.groupBy("slot").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        if first.where("n > 1").isEmpty():
+            return now
+        moved = now.join(first, "slot").select("id", F.when(F.col("id") == F.col("first"), F.col("slot")).otherwise(F.pmod(F.col("slot") + 1, F.lit(modulus))).alias("slot"))
+        last, now = now, written(moved, "slots")
+        discard(last)
+
+
+#: Ranges that a key of 32 bits is cut into for running sums, so no task orders all rows.
+RANGES = 256
+
+
+def running(df: DataFrame, size: str, key: str) -> DataFrame:
+    """df with used: sums of size in the order of a 32-bit key, itself included; equal keys go by id."""
+    part = F.shiftright(F.col(key), 24)
+    cut = df.withColumn("_part", part)
+    sums = cut.groupBy("_part").agg(F.sum(size).alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # at most RANGES rows
+    own = F.sum(size).over(Window.partitionBy("_part").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("used", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def running_small_first(groups: DataFrame, size: str, key: str) -> DataFrame:
+    """groups (id, size, key, ...) with used: sums of size in the order of size, 32-bit key and id, itself included.
+
+    Sizes are summed up first; only groups of one size and range of keys are
+    ordered by one task.
+    """
+    cut = groups.withColumn("_part", F.shiftright(F.col(key), 24))
+    sizes = groups.groupBy(size).agg(F.sum(size).alias("_sum"))
+    smaller = sizes.select(size, (F.sum("_sum").over(Window.orderBy(size)) - F.col("_sum")).alias("_smaller"))  # a row for each size
+    parts = cut.groupBy(size, "_part").agg(F.sum(size).alias("_sum"))
+    before = parts.select(size, "_part", (F.sum("_sum").over(Window.partitionBy(size).orderBy("_part")) - F.col("_sum")).alias("_before"))
+    own = F.sum(size).over(Window.partitionBy(size, "_part").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, 0))
+    found = cut.withColumn("_own", own).join(before, [size, "_part"]).join(smaller, size)
+    return found.withColumn("used", F.col("_own") + F.col("_before") + F.col("_smaller")).drop("_part", "_own", "_before", "_smaller")
+
+
+def greedy_fit(items: DataFrame, size: str, key: str, budget: int) -> DataFrame:
+    """(id): items taken in the order of a 32-bit key (then id), each that still fits into the budget.
+
+    items: (id, size, key). A round takes the items before the first that
+    doesn't fit and drops that one and all that no longer can; what is left
+    goes on. Rounds follow the items that don't fit though later ones do.
+    """
+    from rillspark.sources.shared import discard, written
+
+    left, taken = written(items.select("id", size, key).where(F.col(size) <= budget), "items"), []
+    while not left.isEmpty():
+        sums = written(running(left, size, key), "sums")
+        stop = sums.where(F.col("used") > budget).agg(F.min(F.struct(key, "id")).alias("at")).first()["at"]
+        at = None if stop is None else F.struct(F.lit(stop[key]).cast("long").alias(key), F.lit(stop["id"]).cast("long").alias("id"))
+        own = F.struct(F.col(key).cast("long").alias(key), F.col("id").cast("long").alias("id"))
+        fits = sums if stop is None else sums.where(own < at)
+        taken.append(written(fits.select("id"), "taken"))
+        budget -= fits.agg(F.sum(size)).first()[0] or 0
+        later = sums.limit(0) if stop is None else sums.where((own > at) & (F.col(size) <= budget))
+        last, left = left, written(later.select("id", size, key), "items")
+        discard(last, sums)
+    found = items.select("id").limit(0)
+    for t in taken:
+        found = found.unionByName(t)
+    return found

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Quantiles of a distribution (fixed values).
-QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
+#: Quantiles of a distribution and their names (fixed values).
+QUANTILES = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
 def summary(x: str, digits: int = 6) -> list[Column]:
     """n, least, mean, most and exact quantiles with linear interpolation."""
-    q = F.percentile(x, F.array(*(F.lit(p) for p in QUANTILES)))
+    q = F.percentile(x, F.array(*(F.lit(p) for p in QUANTILES.values())))
     return [
         F.count(x).alias("n"), F.min(x).alias("least"), F.round(F.avg(x), digits).alias("mean"), F.max(x).alias("most"),
-        *(F.round(F.get(q, F.lit(i)), digits).alias(f"p{int(p * 100):02d}") for i, p in enumerate(QUANTILES)),
+        *(F.round(F.get(q, F.lit(i)), digits).alias(name) for i, name in enumerate(QUANTILES)),
     ]
 
 
@@ -35,8 +35,8 @@ def power_law(x: Column, y: Column, digits: int = 8) -> list[Column]:
 
 def two_way(df: DataFrame, a: str, b: str, x: str) -> DataFrame:
     """Population variance of cell values split into both factors and what remains, for a full a by b table."""
-    whole = Window.partitionBy(F.lit(0))
-    m = df.select(F.col(x).alias("x"), F.avg(x).over(Window.partitionBy(a)).alias("ma"), F.avg(x).over(Window.partitionBy(b)).alias("mb"), F.avg(x).over(whole).alias("m"))
+    mean = df.agg(F.avg(x).alias("m"))  # one row
+    m = df.select(F.col(x).alias("x"), F.avg(x).over(Window.partitionBy(a)).alias("ma"), F.avg(x).over(Window.partitionBy(b)).alias("mb")).crossJoin(F.broadcast(mean))
     sq = lambda v: F.avg(v * v)
     c = F.col
     return m.agg(sq(c("x") - c("m")).alias("total"), sq(c("ma") - c("m")).alias("first"), sq(c("mb") - c("m")).alias("second"), sq(c("x") - c("ma") - c("mb") + c("m")).alias("interaction"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions import hydrology as hy
+from rillspark.functions import identity
+from rillspark.operators import relational
 from rillspark.operators import statistics as st
 from rillspark.sources.grids import GRID_SQL, RESOLUTION_M, order_grid, table
 
@@ -13,7 +15,7 @@ _G = f"with {GRID_SQL} "
 
 
 def _summary_sql(x: str, digits: int = 6) -> str:
-    return f"count({x}) as n, min({x}) as least, round(avg({x}), {digits}) as mean, max({x}) as most, " + ", ".join(f"round(quantile_cont({x}, {p}), {digits}) as p{int(p * 100):02d}" for p in st.QUANTILES)
+    return f"count({x}) as n, min({x}) as least, round(avg({x}), {digits}) as mean, max({x}) as most, " + ", ".join(f"round(quantile_cont({x}, {p}), {digits}) as {name}" for name, p in st.QUANTILES.items())
 
 
 def segment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +130,10 @@ def cell_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest groups first, then in hash order, while a budget of half of all lines lasts."""
-    sizes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    key = ((F.col("l_suppkey") + 1) * 2654435761).bitwiseAND(F.lit(0xFFFFFFFF))
-    s = sizes.withColumn("key", key).withColumn("budget", F.sum("n").over(Window.partitionBy(F.lit(0))) / 2)
-    run = F.sum("n").over(Window.orderBy("n", "key", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0))
-    return s.withColumn("used", run).where("used <= budget").select("l_suppkey", "n", "key", "used")
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("n")).withColumn("key", identity.probe_key(F.col("id")))
+    budget = sizes.agg((F.sum("n") / 2).alias("budget"))
+    s = relational.running_small_first(sizes, "n", "key").crossJoin(F.broadcast(budget))  # one row
+    return s.where("used <= budget").select(F.col("id").alias("l_suppkey"), "n", "key", "used")
 
 
 def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillspark.functions import hydrology as hy
 from rillspark.functions import identity
-from rillspark.operators import components, fill, flow
+from rillspark.operators import components, fill, flow, relational
 from rillspark.sources.grids import GRID_SQL, RESOLUTION_M, order_grid
 from rillspark.sources.shared import written
 
@@ -214,9 +214,10 @@ def depression_lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = fill.fill(g, "price", F.col("edge")).where("w - z > 5000")
     p = components.patches(deep.select("cell", "r", "c")).join(deep.select("cell", "z", "w"), "cell")
     lakes = p.groupBy("patch").agg(F.count("*").alias("n"), F.max(F.col("w") - F.col("z")).alias("depth"), F.avg("w").alias("level")).where("n >= 2")
+    lakes = written(lakes.select(F.col("patch").alias("id"), "n", identity.probe_key(F.col("patch")).alias("key"), "depth", "level"), "lakes")
     budget = lakes.agg((F.sum("n") / 2).alias("budget"))
-    run = F.sum("n").over(Window.orderBy("n", identity.probe_key(F.col("patch")), "patch").rowsBetween(Window.unboundedPreceding, 0))
-    return lakes.withColumn("used", run).join(F.broadcast(budget)).where("used <= budget").select("patch", "n", F.round("depth", 2).alias("depth"), F.round("level", 4).alias("level"), "used")
+    s = relational.running_small_first(lakes, "n", "key").crossJoin(F.broadcast(budget))  # one row
+    return s.where("used <= budget").select(F.col("id").alias("patch"), "n", F.round("depth", 2).alias("depth"), F.round("level", 4).alias("level"), "used")
 
 
 #: Levels, steps and receivers of the flood: a keyed recursion that improves (level, steps) until nothing changes.
@@ -266,7 +267,12 @@ QUERIES = {
     "routed_receivers": (routed_receivers, ZONED_SQL + " select cell, w as level, s as steps, cast(code as integer) as code, receiver from f"),
     "routed_areas": (routed_areas, COAST_SQL + _UP + f" select up.cell, cast(sum({AREA} + case when up.origin % 97 = 0 then {5 * AREA} else 0 end) as double) as area from up join f on up.cell = f.cell where f.terminal group by up.cell"),
     "routed_catchments": (routed_catchments, ZONED_SQL + _UP + ", o as (select origin as cell, max_by(cell, steps) as outlet, max(steps) as steps from up group by origin) select zone, count(*) as n_cells, count(distinct outlet) as n_outlets, cast(max(o.steps) as bigint) as longest from o join f using (cell) group by zone"),
-    "depression_lakes": (depression_lakes, None),
+    "depression_lakes": (depression_lakes, EDGES_SQL + """, dp as materialized (select f.cell, f.w, f.z, g.r, g.c from f join g using (cell) where f.w - f.z > 5000),
+ e as materialized (select a.cell, b.cell as nbr from (select dp.cell, dp.r + d.dr as r, dp.c + d.dc as c from dp, d) a join dp b on a.r = b.r and a.c = b.c),
+ lab(cell, patch) using key (cell) as (select cell, cell from dp union select x.cell, x.patch from (select e.nbr as cell, min(lab.patch) as patch from lab join e on e.cell = lab.cell group by e.nbr) x join recurring.lab o on o.cell = x.cell where x.patch < o.patch),
+ lk as materialized (select patch, count(*) as n, max(w - z) as depth, avg(w) as level from lab join dp using (cell) group by patch having count(*) >= 2),
+ u as (select *, cast(sum(n) over (order by n, ((patch + 1) * 2654435761) & 4294967295, patch rows unbounded preceding) as bigint) as used from lk)
+ select patch, n, round(depth, 2) as depth, round(level, 4) as level, used from u where used <= (select sum(n) / 2 from lk)"""),
     "river_nodes": (river_nodes, FLOW_SQL + _NODES + " select cell, kind, upstream from nodes where kind is not null"),
     "river_edges": (river_edges, FLOW_SQL + _NODES + f""", walk as (select cell as begins, receiver as cell, {_STEP} as len, 0 as n_inner from nodes where kind is not null and kind <> 'outlet'
  union all select walk.begins, nodes.receiver, walk.len + {_STEP}, walk.n_inner + 1 from walk join nodes on walk.cell = nodes.cell where nodes.kind is null)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillspark.plans import calibration, catalog, drainage, raster
+from rillspark.plans import calibration, catalog, conditioning, drainage, raster, tables
 
-_ALL = {**drainage.QUERIES, **raster.QUERIES, **calibration.QUERIES, **catalog.QUERIES}
+_ALL = {**drainage.QUERIES, **raster.QUERIES, **calibration.QUERIES, **catalog.QUERIES, **conditioning.QUERIES, **tables.QUERIES}
 
 
 def queries() -> dict:
