@@ -42,7 +42,7 @@ class Hasher:
         self.words: dict[str, tuple[int, int]] = {}
 
     def _word(self, word: str) -> tuple[int, int]:
-        shape = _AGAIN.sub(r"\1\1", _DIGITS.sub("9", _WORDS.sub(_kind, word)))[:12]
+        shape = _AGAIN.sub(r"\1\1", _DIGITS.sub("9", _WORDS.sub(_kind, word)))
         return zlib.crc32(word.lower().encode()) % DIMENSIONS, zlib.crc32(b"\0" + shape.encode()) % DIMENSIONS
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,13 +136,14 @@ def grade_documents(
 
     A null or empty text is scored by the thresholds alone. A null id stays
     null. Repeated rows give repeated rows; of repeated ratings of a document
-    the largest holds; grades out of range or null take no part. With no rated
+    the largest holds, and rows that share an id but not a text are learnt from
+    each; grades out of range or null take no part. With no rated
     document the three results are null, null and true, as nothing speaks
     against any. An empty table gives an empty one. Other columns are ignored.
     """
     docs = only(docs, id_col, text_col)
-    sample = labelled_sample(ratings.withColumnRenamed(grade_col, "label"), "label", limit, f"label between 0 and {grades - 1}")
-    rows = hashed(docs.join(F.broadcast(sample), "doc_id")).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    sample = labelled_sample(ratings.select("doc_id", F.col(grade_col).alias("label")), "label", limit, f"label between 0 and {grades - 1}")
+    rows = hashed(docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"])).orderBy("doc_id", "ids", "values").toPandas()
     model = None
     if len(rows):
         size = rows["ids"].map(len).to_numpy()

@@ -1,15 +1,19 @@
-"""Near-duplicates by the exact resemblance (Jaccard similarity) of shingle sets.
-
-Under one order of all shingles, two sets of resemblance s or more share one of
-their first n - ceil(s n) + 1 shingles (prefix filtering), so all such pairs
-meet in a bucket. Common shingles come last in the order, which keeps buckets
-small and plays no part in the result.
-
-Each set is first compared with one of the smallest sets of its buckets, the one
-that bitmaps show to be the most alike. Buckets whose sets are then still in
-several components are compared in pairs of blocks. Pairs of which bitmaps of
-the sets show that they share too little are left out; every link is a pair
-whose resemblance was computed from both whole sets.
+"""SimHash near-duplicates whose links are verified: those of a resemblance (Jaccard similarity) of shingle sets.
+
+Covering tables over fingerprints of the sets give pairs that differ in few
+bits. At a resemblance of 0.8 fingerprints mostly lie 4 to 15 bits apart, for
+which covering tables would be too many or too crowded, so what they leave
+apart is found exactly: under one order of all shingles, two sets of
+resemblance s or more share one of their first n - ceil(s n) + 1 shingles
+(prefix filtering), so all such pairs meet in a bucket. Common shingles come
+last in the order, which keeps buckets small and plays no part in the result.
+
+Each set is first compared with its pairs from the covering tables and with one
+of the smallest sets of its buckets, the one that bitmaps show to be the most
+alike. Buckets whose sets are then still in several components are compared in
+pairs of blocks. Pairs of which bitmaps of the sets show that they share too
+little are left out; every link is a pair whose resemblance was computed from
+both whole sets.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 from rillspark.operators.components import components
 
 from .common import cut, discard, only, slices, texts_of
-from .simhash import SEED
+from .simhash import SEED, majority, near_links
 
+#: Bits in which fingerprints of pairs from the covering tables differ at most.
+RADIUS = 3
 #: Sets in a block; a bucket with more is compared block by block.
 BLOCK = 256
 #: Shingles that are ordered by how common they are, and the share of documents they are looked for in.
@@ -117,7 +123,7 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, set, of_text, size, bits, prefix): set names the shingle set, of_text the text."""
+    """(doc_id, set, of_text, fingerprint, size, bits, prefix): set names the shingle set, of_text the text."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +135,11 @@ def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 sets = [shingle_set(t, words, xxh64_intdigest) for t in texts[x:y]]
                 names = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 lists = pa.array([prefix(s, similarity, *shared.value) for s in sets], pa.list_(pa.int64()))
+                prints = pa.array([majority(s.view(np.uint64)) for s in sets], pa.int64())
                 sizes, bits = pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(names), b.column(2).slice(x, y - x), sizes, bits, lists], ["doc_id", "set", "of_text", "size", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(names), b.column(2).slice(x, y - x), prints, sizes, bits, lists], ["doc_id", "set", "of_text", "fingerprint", "size", "bits", "prefix"])
 
-    return docs.select("doc_id", "text", "of_text").mapInArrow(run, "doc_id long, set long, of_text long, size long, bits binary, prefix array<long>")
+    return docs.select("doc_id", "text", "of_text").mapInArrow(run, "doc_id long, set long, of_text long, fingerprint long, size long, bits binary, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -191,6 +198,15 @@ def _members(met: DataFrame, similarity: float) -> DataFrame:
     return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "key long, i int, j int, side int, set long, root long")
 
 
+def _covered(each: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets whose fingerprints differ in at most RADIUS bits, enough of them to connect all that do. each: (set, fingerprint)."""
+    first = cut(each.groupBy("fingerprint").agg(F.min("set").alias("first")), "distinct-fingerprints")
+    same = each.join(first, "fingerprint").where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    links = near_links(first.select("fingerprint"), RADIUS)
+    left, right = (first.select(F.col("fingerprint").alias(k), F.col("first").alias(f"set_{k}")) for k in "ab")
+    return same.unionByName(links.join(left, "a").join(right, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +272,7 @@ def resembling(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     """
     docs = only(docs, id_col, text_col).withColumn("of_text", F.xxhash64("text"))
     prints = cut(_prefixes(docs, words, similarity), "shingle-prefixes")
-    each = cut(prints.groupBy("set").agg(F.min("doc_id").alias("first"), F.min("of_text").alias("of_text")), "distinct-sets")
+    each = cut(prints.groupBy("set").agg(F.min("doc_id").alias("first"), F.min("of_text").alias("of_text"), F.any_value("fingerprint").alias("fingerprint")), "distinct-sets")
     keyed = prints.select("set", F.explode("prefix").alias("key"))
     crowd = keyed.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last").select("key", "hub")
     raw = cut(keyed.join(crowd, "key").select("key", "set", "hub").distinct(), "shared-prefixes")
@@ -271,7 +287,7 @@ def resembling(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
         return cut(_sets(docs, names.distinct().join(each.select("set", "of_text"), "set"), words), "shingle-sets")
 
     pairs = met.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
-    pairs = cut(_possible(pairs, maps, similarity), "hub-pairs")
+    pairs = cut(_possible(pairs, maps, similarity).unionByName(_covered(each.select("set", "fingerprint"))).distinct(), "hub-pairs")
     hub_sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("set")))
     hub_links = cut(_verified(pairs, hub_sets, similarity), "hub-links")
     rooted = components(hub_links, "hub-links").withColumnRenamed("node", "set")

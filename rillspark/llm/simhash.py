@@ -43,7 +43,11 @@ def fingerprint(text: str, words: int, hash64) -> int:
     if not w:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.array([hash64(s, SEED) for s in shingles], np.uint64)
+    return majority(np.array([hash64(s, SEED) for s in shingles], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some unsigned 64-bit hashes, as a signed long; 0 without any."""
     n = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 65_536):
         n += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -138,17 +142,26 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint long, component_id) of every whole text.
 
     Documents whose fingerprints differ in at most `radius` bits are linked;
-    component_id is the smallest id that links reach, itself included.
+    component_id is the smallest id that links reach, itself included. With
+    `similarity`, documents are linked whose sets of shingles have a Jaccard
+    similarity of that or more, all of them and no others: candidates of the
+    covering tables are verified on whole texts, and what fingerprints leave
+    too far apart is completed exactly (see resemblance.py, which also says
+    what comes back then).
 
     Null and empty texts have fingerprint 0 and are linked like any other. A
     null id stays null and names no component; a component without any id has a
     null component_id. Repeated rows give repeated rows in one component. An
     empty table gives an empty one; other columns are ignored.
     """
+    if similarity is not None:
+        from .resemblance import resembling
+
+        return resembling(docs, words, similarity, id_col, text_col)
     prints = cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
     each = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     rooted = each.join(components(near_links(each.select("fingerprint"), radius), "simhash-links").withColumnRenamed("node", "fingerprint"), "fingerprint", "left")

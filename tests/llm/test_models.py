@@ -66,6 +66,53 @@ def test_grades_on_odd_rows(spark):
     assert ordinal_quality.grade_documents(odd(spark).limit(0), ratings).isEmpty()
 
 
+def test_grades_from_plain_sums(spark):
+    """Expected grades and tails of texts from their words alone; a column named label is no rating."""
+    words = ["good", "fine", "poor", "BAD!!", "x9x9", "so"]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words, 12)), int(rng.integers(0, 3)), 7, "z") for i in range(60)]
+    rows = [(i, t, min(2, t.count("good") // 2), a, b) for i, t, _, a, b in rows]
+    docs, ratings = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2], 99, "z") for r in rows], "doc_id long, grade int, label int, text string")
+    got = {r.doc_id: r for r in ordinal_quality.grade_documents(docs, ratings).collect()}
+    hasher = ordinal_quality.Hasher()
+    entries = hasher.rows([t for _, t, *_ in rows])
+    m = ordinal_quality.CumulativeLink.fit(entries, np.array([r[2] for r in rows]), 3)
+    for i, text, *_ in rows:
+        share = Counter()
+        w = text.split()
+        for j, x in enumerate(w):
+            word, shape = hasher.words[x]
+            share[word] += 1
+            share[shape] += 1
+            if j and hasher.words[w[j - 1]][0] == word:
+                share[shape ^ 1] += 1
+        score = sum(float(m.weights[f]) * (n / len(w)) ** 0.5 for f, n in share.items())
+        tails = [1 / (1 + np.exp(t - score)) for t in m.thresholds]
+        assert np.isclose(got[i].expected_grade, sum(tails), atol=2e-3) and np.isclose(got[i].tail_probability, tails[0], atol=2e-3)
+        assert got[i].kept == (got[i].tail_probability >= 0.5)
+
+
+def test_forest_paths_against_walks():
+    """Scores from walks down every tree, node by node."""
+    rng = np.random.default_rng(6)
+    rows, good = rng.normal(size=(400, 8)) + 3, np.arange(400) % 10 > 0
+    rows[~good] += rng.choice([0, 6], (40, 8))
+    forest = quality_rules.IsolationForest(rows, good)
+    outside = forest.outside(rows)
+    for i in (0, 3, 10, 50, 399):
+        total = 0.0
+        for t in range(quality_rules.TREES):
+            node = 1
+            while forest.feature[t, node] >= 0:
+                node = 2 * node + int(outside[i, forest.feature[t, node]] > forest.split[t, node])
+            total += forest.path[t, node]
+        assert np.isclose(forest.score(rows[i : i + 1])[0], 2 ** (-total / quality_rules.TREES / forest.usual))
+    score = forest.score(rows)
+    assert score[~good].mean() > score[good].mean()
+    most = quality_rules.calibrate(score, good)
+    assert (score[good] > most).mean() <= quality_rules.GOOD_LOSS + 1 / good.sum()
+
+
 def test_thresholds_stay_in_order():
     rng = np.random.default_rng(1)
     grade = rng.integers(0, 4, 80)

@@ -44,8 +44,9 @@ def test_stages_in_turn(spark):
 
     single = cut(dedup(spark, kept, SF), "t")
     assert single.schema.names == docs.schema.names
-    groups = near_duplicates(kept.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text"))))
-    assert single.count() == groups.select("component_id").distinct().count()
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    groups = near_duplicates(kept.withColumn("doc_id", key), words=5, similarity=0.8)
+    assert single.count() == groups.select("component").distinct().count()
     assert single.where("doc_id = 9002").count() == 1 and single.where("doc_id is null").count() == 1
 
     clean = cut(pii(spark, single, SF), "t")
@@ -61,6 +62,19 @@ def test_stages_in_turn(spark):
     assert out.count() == mixed.count() and out.where("n_tokens < 2").isEmpty()
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(random.Random(k).choices(words, k=120)) for k in range(3)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, texts[1]), (9, texts[2]), (None, texts[2])]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema).withColumns({"row": F.lit(1), "component": F.lit("x"), "__copy": F.lit(2), "copy": F.lit(3), "__clean": F.lit("c")})
+    single = corpus_pipeline.near_dedup(spark, odd, SF)
+    assert single.columns == odd.columns and sorted(r["count"] for r in single.groupBy("doc_id").count().collect()) == [1, 2]
+    for stage in (corpus_pipeline.personal_data, corpus_pipeline.mixture):
+        assert stage(spark, single, SF).columns == odd.columns
+    assert corpus_pipeline.personal_data(spark, single.drop("n_chars"), SF).count() == 3
+
+
 def test_run_and_empty_stages(spark):
     assert set(corpus_pipeline.run(spark, SF).columns) == {"doc_id", "n_tokens", "ids", "decoded_sha256"}
     none = table(spark, SF, "documents").limit(0)
