@@ -16,8 +16,8 @@ from rillspark.llm.mixing import mix
 from rillspark.llm.pii import sanitise
 from rillspark.llm.quality_rules import apply_rules
 from rillspark.llm.queries import TARGETS, labelled_languages, tokenizer
-from rillspark.llm.resemblance import resembling
 from rillspark.llm.sentence_pieces import encode_documents
+from rillspark.llm.simhash import near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     of_text = F.xxhash64(F.col("text").cast("string"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), of_text).alias("doc_id"), "text", F.struct("*").alias("row"))
-    groups = resembling(keyed.select("doc_id", "text"), words=5, similarity=0.8)
+    groups = near_duplicates(keyed.select("doc_id", "text"), words=5, similarity=0.8)
     kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "of_text")).alias("of")).select("of.*")
     return keyed.select("doc_id", of_text.alias("of_text"), "row").join(kept, ["doc_id", "of_text"], "left_semi").dropDuplicates(["doc_id", "of_text"]).select("row.*")
 
