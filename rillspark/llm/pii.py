@@ -132,11 +132,17 @@ def disclosures(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     n_terms = terms.count()
     if not n_terms:
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
-    words = docs.select(key.alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    texts = cut(docs.groupBy(key.alias("key")).agg(F.count("*").alias("copies")), "pii-texts")
+    n, copied = texts.count(), texts.where("copies > 1")
+    keyed = docs.select(key.alias("key"), "text")
+    if copied.count() <= BROADCAST_ROWS:  # each copy counts for its share, so sums need no rows moved
+        keyed = keyed.join(F.broadcast(copied), "key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    else:
+        keyed = keyed.dropDuplicates(["key"]).select("text", F.lit(1.0).alias("part"))
+    words = keyed.select("part", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
     if n_terms <= BROADCAST_ROWS:
         words = words.join(F.broadcast(terms), "term", "left_semi")
-    used = words.distinct().groupBy("term").agg(F.count("*").alias("t"))
-    n = docs.select(key).distinct().count()
+    used = words.groupBy("term").agg(F.round(F.sum("part"), 3).alias("t"))
     share = F.log(n * F.col("b") / (F.col("e") * F.greatest("t", "b"))) / F.log(F.greatest(n / F.col("e"), F.lit(2.0)))
     told = pairs.join(used, "term").where((F.col("b") >= LEAST_TEXTS) | (F.col("t") <= RARE_TEXTS))
     return cut(told.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "pii-terms")
