@@ -58,10 +58,11 @@ def test_empty_table(spark):
     assert sanitise(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
-def test_shares_against_brute_force(spark):
+def test_shares_against_brute_force(spark, monkeypatch):
     """Every share from plain counts over distinct texts."""
     import math
 
+    from rillspark.llm import pii
     from rillspark.llm.pii import LEAST_TEXTS, RARE_TEXTS, base_spans, disclosures, evidence
 
     names = ["anna", "bert", "Carl", "dora"]
@@ -88,6 +89,8 @@ def test_shares_against_brute_force(spark):
             if share >= 0.1:
                 want[e, w] = share
     assert got.keys() == want.keys() and len(want) > 5
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert {(r.entity, r.term): r.share for r in disclosures(docs, generalise=0.1).collect()} == got
     assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
     n = {r.entity: r.n_terms for r in evidence(docs.select("text"), 0.1).collect()}
     assert n == {e: sum(k[0] == e for k in want) for e in mentions}
