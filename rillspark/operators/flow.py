@@ -87,6 +87,31 @@ def downstream(forest: DataFrame, by=F.greatest, **values: Column) -> DataFrame:
         discard(last)
 
 
+def carved(forest: DataFrame, deepest: float) -> DataFrame:
+    """(cell, bed): heights cut so that a cell lies at least `drop` below each that drains into it, by no more than `deepest`.
+
+    forest: (cell, receiver, z, drop); drop is what the way to the receiver
+    falls. A step takes a bed x to x - drop, held between z - deepest and z of
+    the receiver; such steps in a row are one of their kind, so pointers double.
+    """
+    own = forest.select("cell", F.col("receiver").alias("to"), F.col("z").cast("double").alias("z"), F.col("drop").cast("double").alias("drop"))
+    ahead = own.select(F.col("cell").alias("to"), (F.col("z") - deepest).alias("low"), F.col("z").alias("high"))
+    now = written(own.join(ahead, "to", "left").select("cell", "to", F.col("z").alias("bed"), "drop", "low", "high"), "carved")
+    held = lambda x: F.least(F.col("high"), F.greatest(F.col("low"), x - F.col("drop")))
+    for _ in _rounds(now):
+        if _done(now):
+            return now.select("cell", "bed")
+        moving = now.where("to is not null")
+        sent = moving.groupBy(F.col("to").alias("cell")).agg(F.min(held(F.col("bed"))).alias("+bed"))
+        jumps = moving.select(F.col("cell").alias("to"), F.col("to").alias("next"), *(F.col(x).alias(f"+{x}") for x in ("drop", "low", "high")))
+        then = lambda x: F.least(F.col("+high"), F.greatest(F.col("+low"), x - F.col("+drop")))
+        step = now.join(sent, "cell", "left").join(jumps, "to", "left").select(
+            "cell", F.col("next").alias("to"), F.least("bed", F.coalesce("+bed", "bed")).alias("bed"), (F.col("drop") + F.col("+drop")).alias("drop"), then(F.col("low")).alias("low"), then(F.col("high")).alias("high")
+        )
+        last, now = now, written(step, "carved")
+        discard(last)
+
+
 def outlets(forest: DataFrame) -> DataFrame:
     """(cell, outlet, steps): the terminal that a cell drains to and how many receivers away it is."""
     now = written(forest.select("cell", F.col("receiver").alias("to"), F.col("receiver").isNotNull().cast("long").alias("steps"), F.coalesce("receiver", "cell").alias("outlet")), "outlets")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillspark.plans import calibration, catalog, conditioning, drainage, raster, tables
+from rillspark.plans import calibration, catalog, conditioning, drainage, paths, raster, tables
 
-_ALL = {**drainage.QUERIES, **raster.QUERIES, **calibration.QUERIES, **catalog.QUERIES, **conditioning.QUERIES, **tables.QUERIES}
+_ALL = {**drainage.QUERIES, **raster.QUERIES, **calibration.QUERIES, **catalog.QUERIES, **conditioning.QUERIES, **tables.QUERIES, **paths.QUERIES}
 
 
 def queries() -> dict:
