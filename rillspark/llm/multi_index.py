@@ -190,7 +190,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     asked = rows.where(F.coalesce(queries, F.lit(False))).select(F.col("vec_id").alias("query_id"), "v")
     # a walk costs more than its row weighs, so queries are spread by number and not by size
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    visits = asked.repartition(spread, "query_id").mapInArrow(visit, "block int, cells array<int>, query_id long, v array<double>")
+    visits = asked.repartition(spread, F.xxhash64("query_id")).mapInArrow(visit, "block int, cells array<int>, query_id long, v array<double>")
     salts = -(-asked.count() // ASKED) or 1
     visits = visits.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)))
     held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
