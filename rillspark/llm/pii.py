@@ -40,8 +40,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
 _WORD = r"\p{L}[\p{L}\p{M}]+"
-#: A capital inside a sentence or before another one: after a letter, digit or one of ,;:(<" and a space, or before a space and a capital.
-_NAME = r"(?<![\p{L}\p{M}])(?:(?<=[\p{L}\p{M}0-9,;:(<\"]\s)\p{Lu}[\p{L}\p{M}]+|\p{Lu}[\p{L}\p{M}]+(?=\x20\p{Lu}))"
+#: What may be a name: a word with a capital.
+_NAME = r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]+"
 
 
 def _all(text: Column, pattern: Column, kind: str) -> Column:
