@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, table
+from .fill_middle import fill_in_middle, frame_documents, with_digests
 from .mixing import FIT_ROWS, mix
 from .multi_index import search
 from .ordinal_quality import grade_documents
@@ -92,9 +93,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(F.expr(f"{fold} = 0"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_in_middle(frame_documents(table(spark, sf_dir, "documents")))
+    return with_digests(moved).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+#: The same by string functions.
+OP13_SQL = """with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, length(text) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t),
+v as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+ case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from u)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+  else '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a) end) as output_sha256, sha256(text) as restored_sha256 from v"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op5_mixing, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op5_mixing, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_fill_middle": OP13_SQL}
