@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, table
+from .divergence import divergence
 from .fill_middle import fill_in_middle, frame_documents, with_digests
 from .mixing import FIT_ROWS, mix
 from .multi_index import search
@@ -93,6 +94,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(F.expr(f"{fold} = 0"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+#: The same by a table of every source and kept term.
+OP12_SQL = r"""with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as k from documents),
+w as (select lang, source, k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as materialized (select lang, term from w group by lang, term having count(distinct k) >= 3),
+g as materialized (select distinct lang, source from d), v as (select lang, count(*) as v from kept group by lang),
+c as materialized (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+s as (select lang, source, sum(n) as n from c group by all), a as materialized (select lang, term, sum(n) as n from c group by all), al as (select lang, sum(n) as n from c group by lang),
+p as materialized (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + v.v) as p
+ from g join kept k on g.lang = k.lang join v on g.lang = v.lang left join s on s.lang = g.lang and s.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // greatest(y.p, 1)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+every as (select x.lang, x.source, y.source as item, coalesce(pairs.value, 0) as value from g x join g y on x.lang = y.lang and x.source <> y.source left join pairs on pairs.lang = x.lang and pairs.source = x.source and pairs.item = y.source),
+q as (select a.lang, a.term, (1000000000::hugeint * (a.n + 1)) // (al.n + v.v) as q from a join al using (lang) join v using (lang)),
+terms as (select p.lang, p.source, p.term as item, ((p.p - q.q) * (p.p - q.q)) // greatest(q.q, 1) as value from p join q on p.lang = q.lang and p.term = q.term where p.n > 0 and p.p > q.q),
+parts as (select lang, source, 'pair' as part, item, value from every union all select lang, source, 'term', item, value from terms),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 200"""
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = fill_in_middle(frame_documents(table(spark, sf_dir, "documents")))
     return with_digests(moved).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
@@ -109,8 +132,8 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op5_mixing, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op5_mixing, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity, op12_divergence, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_fill_middle": OP13_SQL}
+    return {"op12_divergence": OP12_SQL, "op13_fill_middle": OP13_SQL}
