@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, table
 from .divergence import divergence
 from .fill_middle import fill_in_middle, frame_documents, with_digests
+from .html_text import extract_text
 from .mixing import FIT_ROWS, mix
 from .multi_index import search
 from .ordinal_quality import grade_documents
@@ -94,6 +95,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(F.expr(f"{fold} = 0"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -132,7 +137,7 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op5_mixing, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity, op12_divergence, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_multi_index, op2_ordinal_quality, op3_sentence_pieces, op4_quality_rules, op5_mixing, op6_pii, op7_ppm, op8_token_counts, op9_simhash, op10_toxicity, op11_html_text, op12_divergence, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
