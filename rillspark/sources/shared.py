@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return found
 
 
+def counted(df: DataFrame, what: str, of: Column | None = None) -> tuple[DataFrame, int]:
+    """df as `written` gives it, and how many of its rows (or of those where `of` holds) the write saw."""
+    seen = Observation()
+    found = written(df.observe(seen, F.count_if(F.lit(True) if of is None else of).alias("rows")), what)
+    return found, seen.get["rows"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what `written` made, once all that was derived from it is written in its turn."""
     for df in tables:

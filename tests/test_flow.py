@@ -1,6 +1,7 @@
 """Flow forests on networks worked by hand and on seeded random ones."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,13 @@ def test_downstream_maximum_and_upstream_minimum(spark):
     assert got == {1: 9, 2: 9, 3: 9, 4: 9, 5: 9, 6: 9, 7: 9, 8: 6, 9: 3}
     got = {r.cell: r.v for r in flow.accumulate(high, F.min, v=F.col("v")).collect()}
     assert got == {1: 7, 2: 4, 3: 1, 4: 8, 5: 5, 6: 2, 7: 1, 8: 1, 9: 3}
+
+
+def test_long_chain_with_tributaries(spark):
+    """One river of 20,000 cells with a source beside every tenth: two orders, in rounds that follow the logarithm of its length."""
+    n = 20_000
+    river = spark.range(n).select(F.col("id").alias("cell"), F.when(F.col("id") < n - 1, F.col("id") + 1).alias("receiver"))
+    forest = river.unionByName(river.where("cell % 10 = 5").select((F.col("cell") + n).alias("cell"), F.col("cell").alias("receiver")))
+    start = time.time()
+    got = {r.stream_order: (r.n, r.least) for r in flow.strahler(forest).groupBy("stream_order").agg(F.count("*").alias("n"), F.min("cell").alias("least")).collect()}
+    assert got == {1: (5 + 2_000, 0), 2: (n - 5, 5)} and time.time() - start < 60
