@@ -6,6 +6,8 @@ that is lower (0 where its own height sets the level). Water goes to the
 neighbour of the smallest (level, steps, cell), which is the first that a flood
 from the terminals reaches in that order, so filled flats drain too.
 
+A watershed by image foresting is the same flood with another cost of ways.
+
 Tiles settle their own cells from those around them with a heap. A round runs
 the tiles beside which something changed and writes those alone; rounds follow
 the tiles that a way crosses, not its cells. A task holds a tile's cells and one
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.operators.flow import neighbours
+from rillspark.operators.flow import neighbours, outlets
 from rillspark.sources.shared import discard, written
 
 TILE = 64
@@ -31,36 +33,47 @@ _CELLS = ["cell", "r", "c", "z", "terminal", "zone", "w", "steps"]
 _STATE = "ty long, tx long, cell long, r long, c long, z double, terminal boolean, zone long, w double, steps long, changed boolean"
 
 
-def _settle(key: tuple, group: pa.Table) -> pa.Table:
-    own = group.column("own").to_numpy(zero_copy_only=False)
-    r, c, z, w, zone = (group.column(x).to_numpy() for x in ("r", "c", "z", "w", "zone"))
-    stays = ~own | group.column("terminal").to_numpy(zero_copy_only=False)
-    at = np.full((int(r.max() - r.min()) + 3, int(c.max() - c.min()) + 3), -1)
-    i, j = r - r.min() + 1, c - c.min() + 1
-    at[i, j] = np.arange(len(r))
-    around = np.stack([at[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], axis=1)
-    around = np.where((around >= 0) & ~stays[around] & (zone[around] == zone[:, None]), around, -1).tolist()
-    steps = group.column("steps").to_numpy()
-    best, height = list(zip(w.tolist(), steps.tolist(), strict=True)), z.tolist()
-    heap = [(x, s, k) for k, (x, s) in enumerate(best) if x < np.inf]
-    heapq.heapify(heap)
-    while heap:
-        x, s, k = heapq.heappop(heap)
-        if (x, s) > best[k]:
-            continue
-        for n in around[k]:
-            if n >= 0:
-                to = (height[n], 0) if height[n] > x else (x, s + 1)
-                if to < best[n]:
-                    best[n] = to
-                    heapq.heappush(heap, (*to, n))
-    level, count = (np.array(v) for v in zip(*best, strict=True))
-    out = group.select(["cell", "r", "c", "z", "terminal", "zone"])
-    for name, v in (("w", level), ("steps", count), ("changed", (level != w) | (count != steps))):
-        out = out.append_column(name, pa.array(v))
-    for k, name in enumerate(("ty", "tx")):
-        out = out.add_column(k, name, pa.array(np.full(len(r), key[k].as_py())))
-    return out.filter(pa.array(own))
+def _settling(arcs: bool = False):
+    """A function that settles one tile from what is known of it and around it.
+
+    A way costs the greatest height on it and goes to all eight neighbours; with
+    `arcs` it costs the greatest difference of heights and goes to the nearest four.
+    """
+    reach = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and not (arcs and a and b)]
+
+    def settle(key: tuple, group: pa.Table) -> pa.Table:
+        own = group.column("own").to_numpy(zero_copy_only=False)
+        r, c, z, w, zone = (group.column(x).to_numpy() for x in ("r", "c", "z", "w", "zone"))
+        stays = ~own | group.column("terminal").to_numpy(zero_copy_only=False)
+        at = np.full((int(r.max() - r.min()) + 3, int(c.max() - c.min()) + 3), -1)
+        i, j = r - r.min() + 1, c - c.min() + 1
+        at[i, j] = np.arange(len(r))
+        around = np.stack([at[i + a, j + b] for a, b in reach], axis=1)
+        around = np.where((around >= 0) & ~stays[around] & (zone[around] == zone[:, None]), around, -1).tolist()
+        steps = group.column("steps").to_numpy()
+        best, height = list(zip(w.tolist(), steps.tolist(), strict=True)), z.tolist()
+        heap = [(x, s, k) for k, (x, s) in enumerate(best) if x < np.inf]
+        heapq.heapify(heap)
+        while heap:
+            x, s, k = heapq.heappop(heap)
+            if (x, s) > best[k]:
+                continue
+            for n in around[k]:
+                if n >= 0:
+                    h = abs(height[n] - height[k]) if arcs else height[n]
+                    to = (h, 0) if h > x else (x, s + 1)
+                    if to < best[n]:
+                        best[n] = to
+                        heapq.heappush(heap, (*to, n))
+        level, count = (np.array(v) for v in zip(*best, strict=True))
+        out = group.select(["cell", "r", "c", "z", "terminal", "zone"])
+        for name, v in (("w", level), ("steps", count), ("changed", (level != w) | (count != steps))):
+            out = out.append_column(name, pa.array(v))
+        for k, name in enumerate(("ty", "tx")):
+            out = out.add_column(k, name, pa.array(np.full(len(r), key[k].as_py())))
+        return out.filter(pa.array(own))
+
+    return settle
 
 
 def _targets(tile: int) -> Column:
@@ -93,7 +106,12 @@ def fill(grid: DataFrame, z: str, terminal: Column, tile: int = TILE, zone: Colu
         F.floor(F.col("r") / tile).alias("ty"), F.floor(F.col("c") / tile).alias("tx"), "cell", "r", "c", F.col(z).cast("double").alias("z"),
         F.coalesce(terminal, F.lit(False)).alias("terminal"), F.coalesce(zone.cast("long"), F.lit(-1)).alias("zone"),
     )
-    level = F.when(F.col("terminal"), F.col("z")).otherwise(F.lit(float("inf")))
+    return _flood(start, F.col("z"), tile, _settling())
+
+
+def _flood(start: DataFrame, level: Column, tile: int, settle) -> DataFrame:
+    """start (ty, tx, cell, r, c, z, terminal, zone) with w and steps, from terminals at `level`."""
+    level = F.when(F.col("terminal"), level).otherwise(F.lit(float("inf")))
     state = start.withColumns({"w": level, "steps": F.lit(0).cast("long"), "changed": F.lit(True), "round": F.lit(0)})
     tables, active, k = [written(state, "fill")], None, 0
     while True:
@@ -108,7 +126,7 @@ def fill(grid: DataFrame, z: str, terminal: Column, tile: int = TILE, zone: Colu
             sent = sent.join(tables[0].select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
         else:
             sent = sent.join(active, ["ty", "tx"], "left_semi")
-        new = written(sent.groupBy("ty", "tx").applyInArrow(_settle, _STATE).withColumn("round", F.lit(k)), "fill")
+        new = written(sent.groupBy("ty", "tx").applyInArrow(settle, _STATE).withColumn("round", F.lit(k)), "fill")
         tables.append(new)
         beside = new.where("changed").select(F.explode(_targets(tile)).alias("to")).select("to.*").where("not own").select("ty", "tx").distinct()
         following = written(beside.join(tables[0].select("ty", "tx").distinct(), ["ty", "tx"], "left_semi"), "tiles")
@@ -139,6 +157,34 @@ def route(grid: DataFrame, z: str, land: Column, terminal: Column, zone: Column
     )
 
 
+def watershed(grid: DataFrame, cost: str, marker: Column, tile: int = TILE) -> DataFrame:
+    """(cell, level, label): each cell has the marker that the image forest of greatest differences leads to.
+
+    A way costs the greatest difference of `cost` between two of its cells in a
+    row (four neighbours). A cell belongs to the cheapest way from a marked
+    cell, of equally cheap ones to that with the fewest cells since its cost
+    last rose, then to that by the neighbour of the smallest (level, steps,
+    cell). Cells without a cost, or with NaN, take no part and let nothing
+    pass; level is infinite and label null where no marked cell is reached.
+    """
+    start = grid.where(F.col(cost).isNotNull() & ~F.isnan(F.col(cost).cast("double"))).select(
+        F.floor(F.col("r") / tile).alias("ty"), F.floor(F.col("c") / tile).alias("tx"), "cell", "r", "c", F.col(cost).cast("double").alias("z"),
+        marker.isNotNull().alias("terminal"), F.lit(0).cast("long").alias("zone"),
+    )
+    levels = written(_flood(start, F.lit(0.0), tile, _settling(arcs=True)), "levels")
+    sent = neighbours(levels.where(F.col("w") < float("inf")), "z", "w", "steps").where(F.col("code") % 2 == 1)
+    met = levels.select("r", "c", F.struct("cell", "z", "w", "steps").alias("own"), F.lit(None).cast("struct<w: double, steps: bigint, cell: bigint, z: double>").alias("of")).unionByName(
+        sent.select("r", "c", F.lit(None).cast("struct<cell: bigint, z: double, w: double, steps: bigint>").alias("own"), F.struct("w", "steps", F.col("from_cell").alias("cell"), "z").alias("of"))
+    ).groupBy("r", "c").agg(F.max("own").alias("own"), F.collect_list("of").alias("of")).where("own is not null")  # at most four
+    gap = lambda x: F.abs(x["z"] - F.col("own.z"))
+    led = F.filter("of", lambda x: F.when(gap(x) > x["w"], (F.col("own.w") == gap(x)) & (F.col("own.steps") == 0)).otherwise((F.col("own.w") == x["w"]) & (F.col("own.steps") == x["steps"] + 1)))
+    marked = grid.select("cell", marker.alias("label"))
+    forest = met.select(F.col("own.cell").alias("cell"), F.array_min(led)["cell"].alias("led"), F.col("own.w").alias("level")).join(marked, "cell")
+    forest = written(forest.select("cell", F.when(F.col("label").isNull(), F.col("led")).alias("receiver"), "level"), "image-forest")
+    roots = outlets(forest.select("cell", "receiver")).join(marked.select(F.col("cell").alias("outlet"), "label"), "outlet")
+    return forest.join(roots, "cell").select("cell", "level", "label")
+
+
 def coastline(grid: DataFrame, land: Column) -> DataFrame:
     """(cell) of ocean cells with land among their eight neighbours."""
     around = neighbours(grid.where(land)).select("r", "c").distinct()

@@ -91,3 +91,50 @@ def test_lakes_lie_above_the_ground(spark):
     lakes = drainage.depression_lakes(spark, "/root/testdata/sf0.001").collect()
     assert lakes and all(x.n >= 2 and x.depth > 5_000 for x in lakes)
     assert [x.used for x in sorted(lakes, key=lambda x: x.used)] == np.cumsum([x.n for x in sorted(lakes, key=lambda x: x.used)]).tolist()
+
+
+def image_forest(cost, markers):
+    """A flood in order of (level, steps, cell) over differences, with the first neighbour of that order that leads to a cell."""
+    cols = cost.shape[1]
+    best = {k: (0.0, 0) for k in markers}
+    heap = [(0.0, 0, k) for k in markers]
+    heapq.heapify(heap)
+    order = []
+    while heap:
+        w, s, k = heapq.heappop(heap)
+        if (w, s) > best[k]:
+            continue
+        order.append(k)
+        r, c = divmod(k, cols)
+        for n, i, j in ((k + 1, r, c + 1), (k - 1, r, c - 1), (k + cols, r + 1, c), (k - cols, r - 1, c)):
+            if 0 <= i < cost.shape[0] and 0 <= j < cols and n not in markers and not np.isnan(cost[i, j]):
+                h = abs(cost[i, j] - cost[r, c])
+                to = (h, 0) if h > w else (w, s + 1)
+                if to < best.get(n, (np.inf, 0)):
+                    best[n] = to
+                    heapq.heappush(heap, (*to, n))
+    label = dict(markers)
+    for k in sorted(best, key=lambda k: (*best[k], k)):
+        r, c = divmod(k, cols)
+        for n, i, j in ((k + 1, r, c + 1), (k - 1, r, c - 1), (k + cols, r + 1, c), (k - cols, r - 1, c)):
+            if 0 <= i < cost.shape[0] and 0 <= j < cols and n in best and n not in label:
+                h = abs(cost[i, j] - cost[r, c])
+                if best[n] == ((h, 0) if h > best[k][0] else (best[k][0], best[k][1] + 1)):
+                    label[n] = label[k]
+    return {k: (best[k][0], label[k]) for k in best}
+
+
+@pytest.mark.parametrize("tile", [6, 64])
+def test_watershed_equals_a_flood_over_differences(spark, tile):
+    rng = np.random.default_rng(8)
+    cost = rng.integers(0, 6, (21, 26)).astype(float)
+    cost[:, 20], cost[10, 20] = np.nan, 3.0  # a wall with one gate
+    cost[0, 25] = np.nan
+    markers = {30: 7, 31: 9, 200: 7, 333: 2}
+    rows = [(r * 26 + c, r, c, cost[r, c].item(), markers.get(r * 26 + c)) for r, c in np.ndindex(cost.shape)]
+    df = spark.createDataFrame(rows, "cell long, r long, c long, h double, mark long")
+    got = {x.cell: (x.level, x.label) for x in fill.watershed(df, "h", F.col("mark"), tile).collect()}
+    assert got == image_forest(cost, markers) and len({v[1] for v in got.values()}) == 3
+    assert fill.watershed(df.limit(0), "h", F.col("mark")).isEmpty()
+    none = fill.watershed(df, "h", F.lit(None).cast("long"), tile).distinct().select("level", "label").distinct().collect()
+    assert [tuple(x) for x in none] == [(float("inf"), None)]
