@@ -122,12 +122,18 @@ def _led(own: DataFrame, then: dict, what: str) -> DataFrame:
 def carved(forest: DataFrame, deepest: float) -> DataFrame:
     """(cell, bed): heights cut so that a cell lies at least `drop` below each that drains into it, by no more than `deepest`.
 
-    forest: (cell, receiver, z, drop); drop is what the way to the receiver
-    falls. A step takes a bed x to x - drop, held between z - deepest and z of
-    the receiver; such steps in a row are one of their kind, so pointers double.
+    forest: (cell, receiver, z, drop) and perhaps floor; drop is what the way to
+    the receiver falls, and no bed is cut below its floor, or at all where the
+    height itself lies below it. A step takes a bed x to x - drop, held between
+    the lowest and z of the receiver; such steps in a row are one of their kind,
+    so pointers double. Whole numbers stay exact.
     """
-    own = forest.select("cell", F.col("receiver").alias("to"), F.col("z").cast("double").alias("z"), F.col("drop").cast("double").alias("drop"))
-    ahead = own.select(F.col("cell").alias("to"), (F.col("z") - deepest).alias("low"), F.col("z").alias("high"))
+    low = F.col("z") - deepest
+    if "floor" in forest.columns:
+        low = F.greatest(low, F.least("z", F.coalesce("floor", low)))
+    own = forest.select("cell", F.col("receiver").alias("to"), F.col("z").cast("double").alias("z"), F.col("drop").cast("double").alias("drop"), low.cast("double").alias("low"))
+    ahead = own.select(F.col("cell").alias("to"), "low", F.col("z").alias("high"))
+    own = own.drop("low")
     now, rows = counted(own.join(ahead, "to", "left").select("cell", "to", F.col("z").alias("bed"), "drop", "low", "high"), "carved")
     left = rows
     held = lambda x: F.least(F.col("high"), F.greatest(F.col("low"), x - F.col("drop")))
