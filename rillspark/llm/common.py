@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rillspark.sources.shared import discard
 from rillspark.sources.shared import written as cut
 
-__all__ = ["cut", "discard", "labelled_sample", "only", "slices", "table", "texts_of"]
+__all__ = ["cut", "discard", "labelled_sample", "labelled_texts", "only", "slices", "table", "texts_of"]
 #: Whole texts handled together inside a task, in characters: bounds a Python worker's memory.
 SLICE_CHARS = 4_000_000
 
@@ -58,3 +58,13 @@ def labelled_sample(labels: DataFrame, label_col: str, limit: int, where: str =
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """sample (doc_id, label, ...) with a text: the document's, and where rows share an id that of the smallest hash.
+
+    So there are never more rows than the sample has, however often ids repeat.
+    """
+    text = F.coalesce("text", F.lit(""))
+    one = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.join(F.broadcast(sample), "doc_id")

@@ -1,19 +1,26 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-Toxic and ordinary labelled documents each give a bigram model. Its lower order
-counts in how many contexts a word occurs (Kneser-Ney continuation counts), all
-counts are discounted by n1 / (n1 + 2 n2) of their class and order, and what an
-expression then lacks comes from backoff counts that the classes share: every
-word has SHARED_WORD, every pair SHARED_PAIR counts, divided between the classes
-by their sizes, and a pair's share follows its word. So an expression too rare
-to tell the classes apart has nearly the same probability in both, and one that
-a single class has stands against the other's backoff alone.
-
-A document's measure compares its two likelihoods normalised by length: the log
-of the mean, over its tokens, of the squared likelihood ratio, in which telling
+Toxic and ordinary labelled documents each give a model of a word behind the
+last: P(w | u) = (max(c(u, w) - D, 0) + B(u, w) + R P(w)) / Z(u). Counts of the
+larger class are scaled to the size of the smaller, D is n1 / (n1 + 2 n2) of the
+smaller one, and Z(u) makes probabilities add up to one, so a language that is
+commoner in one class cancels out where its words follow each other. Words are
+counted by the contexts they stand in (continuation counts), discounted likewise.
+
+Rare expressions lean on counts that the classes share. A pair that either has
+gets B(u, w), SHARED_PAIR counts tilted by how the class differs in the word;
+SHARED_REST counts behind u go to words alone. A word has SHARED_WORD counts,
+divided between the classes as words that begin alike are, and beginnings have
+SHARED_STEM in both. So an expression too rare to tell the classes apart has
+nearly the same probability in both, and one that a single class has stands
+against the other's backoff alone.
+
+A document's measure compares its likelihoods normalised by length: the log of
+the mean over its tokens of the squared likelihood ratio, in which telling
 tokens aren't drowned by the many that tell nothing. A rising logistic curve
-calibrated on documents kept out of the counts turns it into a score. The plain
-mean of the log ratios and that of the best stretch are columns of their own.
+calibrated on documents kept out of the counts turns it into a score. The
+difference of the mean log-likelihoods, which is the limit of such power means,
+and that of the best stretch are columns of their own.
 """
 
 from __future__ import annotations
@@ -25,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, labelled_sample, only, slices, texts_of
+from .common import cut, discard, labelled_sample, labelled_texts, only, slices, texts_of
 
 #: Labelled documents that models and curve are fitted on, at most.
 FIT_ROWS = 12_000
-#: Words, and pairs, that a model holds at most: those whose ratios are farthest from what they would back off to.
-TABLE_ROWS = 40_000
 #: Of the labelled documents, one in so many calibrates the curve and isn't counted.
 CALIBRATE = 4
-#: Shared backoff counts of a word and of a pair.
-SHARED_WORD, SHARED_PAIR = 1.0, 16.0
+#: Shared backoff counts of a word, a beginning, a pair, and behind a context of words alone.
+SHARED_WORD, SHARED_STEM, SHARED_PAIR, SHARED_REST = 0.3, 3.0, 3.0, 5.0
+#: Characters of a word's beginning.
+STEM = 6
 #: Tokens in the stretch that is compared on its own.
 STRETCH = 5
 #: Words kept in a task's table before it starts anew.
@@ -62,40 +69,70 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(last), pa.array(word), pa.array(n.values(), pa.int64())], ["label", "last", "word", "n"])
 
 
-#: A fitted model: words with their log ratios, and pairs (last, word) with theirs.
-Model = tuple[list[str], np.ndarray, list[str], list[str], np.ndarray]
+#: A fitted model: hashed words, beginnings, contexts and pairs with what each adds to a log ratio, and that of a new word.
+Model = dict[str, tuple[np.ndarray, np.ndarray] | float]
+
+
+def hashed(word: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _paired(last: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a pair: the first hash turned by 21 bits, and the second."""
+    h = last.view(np.uint64)
+    return (((h << np.uint64(21)) | (h >> np.uint64(43))) ^ word.view(np.uint64)).view(np.int64)
+
+
+def pair_key(last: Column, word: Column) -> Column:
+    h = F.xxhash64(last)
+    return F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43)).bitwiseXOR(F.xxhash64(word))
+
+
+def _looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
+    known, value = table
+    if not len(known):
+        return np.broadcast_to(missing, keys.shape).astype(float)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, value[at], missing)
 
 
 class Comparer:
     """MEASURES of texts under two models."""
 
     def __init__(self, model: Model):
-        words, ratio, last, word, pair_ratio = model
-        # id 0: a word of no pair whose own ratio is 0, as backoff leaves it
-        names = dict.fromkeys([*words, *last, *word])
-        self.ids = {w: i for i, w in enumerate(names, 1)}
-        self.ratio = np.zeros(len(names) + 1)
-        self.ratio[1 : len(words) + 1] = ratio
-        keys = np.fromiter((self.ids[a] * len(self.ratio) + self.ids[b] for a, b in zip(last, word, strict=True)), np.int64, len(last))
-        order = np.argsort(keys)
-        self.pair, self.pair_ratio, self.table = keys[order], pair_ratio[order], {}
+        self.model, self.empty = model, hashed("")
+        self.start = float(_looked_up(model["contexts"], np.array([self.empty]), 0.0)[0])
+        self._anew()
+
+    def _anew(self) -> None:
+        self.table: dict[str, int] = {}
+        self.key, self.ratio, self.context = np.empty(0, np.int64), np.empty(0), np.empty(0)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.table) > TABLE_WORDS:
+            self._anew()
+        new = [(w, t) for w in words.difference(self.table) if (t := token(w))]
+        self.table.update((w, -1) for w in words.difference(self.table))
+        self.table.update((w, i) for i, (w, _) in enumerate(new, len(self.key)))
+        key, stem = np.array([hashed(t) for _, t in new], np.int64), np.array([hashed(t[:STEM]) for _, t in new], np.int64)
+        ratio = _looked_up(self.model["words"], key, _looked_up(self.model["stems"], stem, self.model["new"]))
+        self.key, self.ratio = np.append(self.key, key), np.append(self.ratio, ratio)
+        self.context = np.append(self.context, _looked_up(self.model["contexts"], key, 0.0))
 
     def ratios(self, text: str) -> np.ndarray:
         """The log of the toxic over the ordinary probability of each token of the text."""
-        words, table = text.split(), self.table
-        if len(table) > TABLE_WORDS:
-            table.clear()
-        for w in set(words).difference(table):
-            t = token(w)
-            table[w] = self.ids.get(t, 0) if t else -1
-        ids = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        words = text.split()
+        if not self.table.keys() >= set(words):
+            self.learn(set(words))
+        ids = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
         ids = ids[ids >= 0]
-        ratio = self.ratio[ids]
-        if len(self.pair) and len(ids):
-            key = np.r_[self.ids.get("", 0), ids[:-1]] * len(self.ratio) + ids
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            ratio = np.where(self.pair[at] == key, self.pair_ratio[at], ratio)
-        return ratio
+        key = self.key[ids]
+        ahead = np.r_[self.start, self.context[ids[:-1]]][: len(ids)]
+        return _looked_up(self.model["pairs"], _paired(np.r_[self.empty, key[:-1]][: len(ids)], key), self.ratio[ids] + ahead)
 
     def measures(self, text: str) -> tuple[float, float, float]:
         """Length-normalised: the log mean of squared likelihood ratios, the mean log ratio, and that of the best stretch."""
@@ -121,48 +158,78 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), 0.0
 
 
-def _totals(table: DataFrame, names: tuple[str, str]) -> tuple[list[float], list[float]]:
-    """By class: its share of all counts, and the discount n1 / (n1 + 2 n2)."""
-    row = table.agg(*(f(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in names for k, f in ((1, F.count), (2, F.count))), *(F.sum(c).alias(c) for c in names)).first()
-    whole = sum(row[c] or 0 for c in names)
-    return [(row[c] or 0) / max(whole, 1) for c in names], [row[f"{c}_1"] / max(row[f"{c}_1"] + 2 * row[f"{c}_2"], 1) for c in names]
-
-
-def _held(counts: tuple[str, str], share: list[float], discount: list[float], backoff: tuple[Column, Column]) -> list[Column]:
-    """By class: discounted counts as they would be at equal sizes of the classes, and what comes from the shared counts."""
-    return [F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / F.lit(s) + b for c, s, d, b in zip(counts, share, discount, backoff, strict=True)]
+def _sizes(table: DataFrame, names: tuple[str, str]) -> tuple[list[float], float, list[float]]:
+    """By class how much its counts are scaled to the size of the smaller one, the smaller one's discount, and what that takes off each class."""
+    row = table.agg(*(F.count_if(F.col(c) == k).cast("double").alias(f"{c}_{k}") for c in names for k in (1, 2)), *(F.sum(c).cast("double").alias(c) for c in names)).first()
+    whole = [row[c] or 0.0 for c in names]
+    least = names[int(whole[1] <= whole[0])]
+    scale, discount = [min(whole) / max(w, 1) for w in whole], row[f"{least}_1"] / max(row[f"{least}_1"] + 2 * row[f"{least}_2"], 1)
+    row = table.agg(*(F.sum(F.least(F.col(c) * f, F.lit(discount))).alias(c) for c, f in zip(names, scale, strict=True))).first()
+    return scale, discount, [row[c] or 0.0 for c in names]
+
+
+def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(key, value) of a table of the model, by key."""
+    found = table.select("key", F.col("value").cast("float")).toArrow()
+    key, value = found.column("key").to_numpy(), found.column("value").to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def fitted(pairs: DataFrame) -> Model | None:
+    """The model of pairs (last, word, n0, n1); None unless both classes have some."""
+    scale, discount, _ = _sizes(pairs, ("n0", "n1"))
+    if min(scale) == 0:
+        return None
+    both = lambda f: [f(0), f(1)]
+    log_ratio = lambda x: F.log(x[1] / x[0])
+    by_word = cut(pairs.groupBy("word").agg(*(F.count_if(F.col(f"n{k}") > 0).alias(f"c{k}") for k in (0, 1))), "toxic-words")
+    size, word_discount, taken = _sizes(by_word, ("c0", "c1"))
+    n_words, whole = by_word.count(), min(by_word.agg(F.sum("c0"), F.sum("c1")).first())
+    rest = both(lambda k: taken[k] / n_words + SHARED_WORD)
+    stem = F.substring("word", 1, STEM).alias("stem")
+    of_stem = both(lambda k: F.sum(F.col(f"c{k}")) * size[k])
+    shared = by_word.groupBy(stem).agg(*((x + SHARED_STEM) / ((of_stem[0] + of_stem[1]) / 2 + SHARED_STEM) * rest[k] for k, x in enumerate(of_stem))).toDF("stem", "s0", "s1")
+    words = by_word.join(shared, by_word["word"].substr(1, STEM) == shared["stem"])
+    q = both(lambda k: F.greatest(F.col(f"c{k}") * size[k] - word_discount, F.lit(0.0)) + F.col(f"s{k}"))
+    words = cut(words.select("word", *(x.alias(f"q{k}") for k, x in enumerate(q))).withColumn("mean", (F.col("q0") + F.col("q1")) / 2), "toxic-word-models")
+    held = both(lambda k: F.greatest(F.col(f"n{k}") * scale[k] - discount, F.lit(0.0)) + SHARED_PAIR * F.col(f"q{k}") / F.col("mean"))
+    told = pairs.join(words, "word").withColumns({f"p{k}": x for k, x in enumerate(held)})
+    contexts = cut(told.groupBy("last").agg(*((F.sum(f"p{k}") + SHARED_REST).alias(f"z{k}") for k in (0, 1))), "toxic-contexts")
+    alone = SHARED_REST / (whole + SHARED_WORD * n_words)
+    p = both(lambda k: (F.col(f"p{k}") + F.col(f"q{k}") * alone) / F.col(f"z{k}"))
+    told = told.join(contexts, "last")
+    model = {
+        "words": _arrays(words.select(F.xxhash64("word").alias("key"), log_ratio([F.col("q0"), F.col("q1")]).alias("value"))),
+        "stems": _arrays(shared.select(F.xxhash64("stem").alias("key"), log_ratio([F.col("s0"), F.col("s1")]).alias("value"))),
+        "contexts": _arrays(contexts.select(F.xxhash64("last").alias("key"), log_ratio([F.col("z1"), F.col("z0")]).alias("value"))),
+        "pairs": _arrays(told.select(pair_key(F.col("last"), F.col("word")).alias("key"), log_ratio(p).alias("value"))),
+        "new": float(np.log(rest[1] / rest[0])),
+    }
+    discard(by_word, words, contexts)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: str, limit: int = FIT_ROWS) -> tuple[Model | None, tuple[float, float]]:
     """The model and its curve. Without both classes in the counts there is no model and a constant score.
 
-    Rows that share an id count each, but repeated rows of one id and text once.
+    The model holds every word and pair of the documents counted, at 12 bytes each.
     """
     sample = labelled_sample(labels, "toxic", limit, f"({where}) and label in (0, 1)").withColumn("kept_out", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATE)) == 0)
-    rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = cut(labelled_texts(docs, sample), "toxic-sample")
     pairs = cut(
         rows.where("not kept_out").select("label", "text").mapInArrow(_pairs, "label int, last string, word string, n long")
         .groupBy("last", "word").agg(*(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))),
         "toxic-pairs",
     )
-    by_word = pairs.groupBy("word").agg(*(F.count_if(F.col(f"n{k}") > 0).alias(f"c{k}") for k in (0, 1)))
-    (share, discount), (of_pairs, pair_discount) = _totals(by_word, ("c0", "c1")), _totals(pairs, ("n0", "n1"))
-    model = None
-    if min(share) > 0:
-        one = F.lit(SHARED_WORD)
-        by_word = by_word.select("word", F.array(*_held(("c0", "c1"), share, discount, (one, one))).alias("q")).withColumn("ratio", F.log(F.get("q", F.lit(1)) / F.get("q", F.lit(0))))
-        words = by_word.orderBy(F.desc(F.abs("ratio")), "word").limit(TABLE_ROWS).select("word", "ratio").toPandas()
-        both = F.get("q", F.lit(0)) * F.lit(share[0]) + F.get("q", F.lit(1)) * F.lit(share[1])
-        back = tuple(F.lit(SHARED_PAIR) * F.get("q", F.lit(k)) / both for k in (0, 1))
-        told = pairs.join(by_word, "word").select("last", "word", "ratio", F.array(*_held(("n0", "n1"), of_pairs, pair_discount, back)).alias("p")).withColumn("pair", F.log(F.get("p", F.lit(1)) / F.get("p", F.lit(0))))
-        often = told.orderBy(F.desc(F.abs(F.col("pair") - F.col("ratio"))), "last", "word").limit(TABLE_ROWS).select("last", "word", "pair").toPandas()
-        model = (words["word"].to_list(), words["ratio"].to_numpy(float), often["last"].to_list(), often["word"].to_list(), often["pair"].to_numpy(float))
+    model = fitted(pairs)
     out = measured(rows.where("kept_out"), model, ["label"]).orderBy("doc_id").select("measure", "label").toPandas()
+    discard(rows, pairs)
     return model, curve(out["measure"].to_numpy(float), out["label"].to_numpy(float)) if len(out) else (-3.0, 1.0)
 
 
 def measured(docs: DataFrame, model: Model | None, more: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # lists and arrays alone, so executors need none of our classes to read it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # arrays alone, so executors need none of our classes to read it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comparer = Comparer(shared.value) if shared.value else None
@@ -184,8 +251,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, where: str = "true", limi
 
     A null or empty text has nothing to compare and gets the score of measure
     0. A null id stays null. Repeated rows give repeated rows; a document is
-    learnt from once, as toxic if any of its labels says so, and once for each
-    of its texts if rows share its id. Without labels of both classes every
+    learnt from once, as toxic if any of its labels says so; where rows share
+    its id, from the text of the smallest hash. Without labels of both classes every
     score is the same. An empty table gives an empty one; columns other than
     those named are ignored.
     """

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rillspark.llm import mixing, ordinal_quality, quality_rules, toxicity
-from rillspark.llm.common import table
+from rillspark.llm.common import labelled_texts, table
 from rillspark.llm.queries import labelled_languages, op5_mixing, op10_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -128,10 +128,45 @@ def test_toxicity_of_held_out_documents(spark):
     assert got[got["toxic"] == 1]["predicted"].mean() >= 0.9 and got[got["toxic"] == 0]["predicted"].mean() <= 0.01
 
 
-def test_likelihoods_against_brute_force(spark):
-    """Ratios of words and pairs, a fixed toxic phrase of ordinary words, and the measure, from plain counts."""
+def textbook(pair):
+    """Plain interpolated bigrams of both classes as functions of (last, word), from counts of pairs; and their words by context."""
+    n = [sum(c.values()) for c in pair]
+    f = [min(n) / x for x in n]
+    small = int(n[1] <= n[0])
+    ones = lambda c: sum(v == 1 for v in c.values()) / max(sum(v == 1 for v in c.values()) + 2 * sum(v == 2 for v in c.values()), 1)
+    cont = [Counter(w for _, w in c) for c in pair]
+    m = [sum(c.values()) for c in cont]
+    g, small_word = [min(m) / x for x in m], int(m[1] <= m[0])
+    big_d, d = ones(pair[small]), ones(cont[small_word])
+    words = sorted({*cont[0], *cont[1]})
+    off = [sum(min(c[w] * g[k], d) for w in words) / len(words) + toxicity.SHARED_WORD for k, c in enumerate(cont)]
+
+    def stem(k, w):
+        x = [sum(c[v] * g[j] for v in words if v[: toxicity.STEM] == w[: toxicity.STEM]) for j, c in enumerate(cont)]
+        return (x[k] + toxicity.SHARED_STEM) / (sum(x) / 2 + toxicity.SHARED_STEM) * off[k]
+
+    own = {w: [max(cont[k][w] * g[k] - d, 0) + stem(k, w) for k in (0, 1)] for w in words}
+    q = lambda w: own.get(w) or [stem(0, w), stem(1, w)]
+    behind = {}
+    for c in pair:
+        for u, w in c:
+            behind.setdefault(u, set()).add(w)
+    total = min(m) + toxicity.SHARED_WORD * len(words)
+
+    def p(k, u, w):
+        alone = q(w)[k] / total
+        if u not in behind:
+            return alone
+        held = {v: max(pair[k][u, v] * f[k] - big_d, 0) + toxicity.SHARED_PAIR * q(v)[k] / (sum(q(v)) / 2) for v in behind[u]}
+        return (held.get(w, 0) + toxicity.SHARED_REST * alone) / (sum(held.values()) + toxicity.SHARED_REST)
+
+    return p, behind
+
+
+def test_likelihoods_against_a_textbook_model(spark):
+    """Ratios of words, pairs and contexts, a fixed toxic phrase of ordinary words, and the measure; probabilities add up to one."""
     rng = np.random.default_rng(2)
-    common = [f"w{i}" for i in range(30)] + ["silver", "goat"]
+    common = [f"w{i}" for i in range(30)] + ["silver", "goat", "beginnings", "beginner"]
     rows = []
     for i in range(300):
         words, toxic = [str(w) for w in rng.choice(common, 25)], int(i % 4 == 0)
@@ -145,30 +180,36 @@ def test_likelihoods_against_brute_force(spark):
         if i not in kept_out:
             t = [toxicity.token(w) for w in text.split()]
             pair[toxic].update(zip(["", *t], t, strict=False))
-    word = [Counter(w for _, w in p) for p in pair]
-
-    def parts(counts):
-        n = [[sum(v == k for v in c.values()) for k in (1, 2)] for c in counts]
-        whole = [sum(c.values()) for c in counts]
-        return [a / max(a + 2 * b, 1) for a, b in n], [w / sum(whole) for w in whole]
-
-    (d, share), (dp, share_p) = parts(word), parts(pair)
-    q = {w: [max(word[k][w] - d[k], 0) / share[k] + toxicity.SHARED_WORD for k in (0, 1)] for w in {*word[0], *word[1]}}
-    both = {w: q[w][0] * share[0] + q[w][1] * share[1] for w in q}
-    p = {e: [max(pair[k][e] - dp[k], 0) / share_p[k] + toxicity.SHARED_PAIR * q[e[1]][k] / both[e[1]] for k in (0, 1)] for e in {*pair[0], *pair[1]}}
+    p, behind = textbook(pair)
+    every = {w for ws in behind.values() for w in ws}
+    assert all(abs(sum(p(k, u, w) for w in every) - 1) < 0.02 for u in ("w1", "silver", "unknown") for k in (0, 1))
     model, (_, slope) = toxicity.fit(docs, labels, "true")
     comparer = toxicity.Comparer(model)
-    for text in ("silver goat w1", "w1 silver", "unknown goat", "w3 w3 unknown"):
-        t = text.split()
-        want = [np.log(p[e][1] / p[e][0]) if e in p else np.log(q[e[1]][1] / q[e[1]][0]) if e[1] in q else 0.0 for e in zip(["", *t], t, strict=False)]
-        assert np.allclose(comparer.ratios(text), want, atol=1e-9)
+    for text in ("silver goat w1", "w1 silver", "unknown goat", "w3 w3 unknown", "beginning w2", "goat beginners of w7", "-- w1, -"):
+        t = [w for w in map(toxicity.token, text.split()) if w]
+        want = [np.log(p(1, *e) / p(0, *e)) for e in zip(["", *t], t, strict=False)]
+        assert np.allclose(comparer.ratios(text), want, atol=1e-5)
         measure, mean, _ = comparer.measures(text)
-        assert np.isclose(mean, np.mean(want)) and np.isclose(measure, np.log(np.mean(np.exp(2 * np.array(want)))))
+        assert np.isclose(mean, np.mean(want), atol=1e-5) and np.isclose(measure, np.log(np.mean(np.exp(2 * np.array(want)))), atol=1e-4)
     assert slope > 0 and comparer.ratios("silver goat")[1] > 1 > abs(comparer.ratios("goat")[0])
     scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
     assert np.mean([scored[i] > 0.5 for i in kept_out if rows[i][2]]) > 0.9 and np.mean([scored[i] > 0.5 for i in kept_out if not rows[i][2]]) < 0.1
 
 
+def test_hashes_are_those_of_spark(spark):
+    words = ["", "a", "née", "漢字" * 20, "x" * 100]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for r in df.select("a", "b", F.xxhash64("a").alias("h"), toxicity.pair_key(F.col("a"), F.col("b")).alias("k")).collect():
+        a, b = (np.array([toxicity.hashed(w)], np.int64) for w in (r.a, r.b))
+        assert a[0] == r.h and toxicity._paired(a, b)[0] == r.k
+
+
+def test_an_id_on_many_rows_is_learnt_from_once(spark):
+    docs = spark.range(5_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    sample = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, label int")
+    assert [tuple(r)[::2] for r in labelled_texts(docs, sample).collect()] == [(7, 1)]
+
+
 def test_a_context_of_one_class_counts(spark):
     docs = spark.createDataFrame([(i, f"plain words {'of every kind' if i % 2 else 'vile'} thing") for i in range(40)], "doc_id long, text string")
     model, _ = toxicity.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int"), "true")
