@@ -23,6 +23,8 @@ from .common import cut, only
 CONTEXT = 60
 #: Distinct texts in which a word must stand by an entity, and those that may hold a name-like word that has fewer.
 LEAST_TEXTS, RARE_TEXTS = 2, 3
+#: Elements of an array that are copied together in running sums, and characters that a context reaches on to end a word.
+RUN, WORD_END = 256, 40
 #: Shares of an entity's information from which a word is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
 #: Rows up to which a side is broadcast; a row is a word or a hash with a few words.
@@ -44,20 +46,46 @@ _WORD = r"\p{L}[\p{L}\p{M}]+"
 _NAME = r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]+"
 
 
+def _bound(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _summed(steps: Column, step, start: Column) -> Column:
+    """All results of a running sum over an array, in runs of RUN, so none is copied more than RUN times.
+
+    step: (sum so far, element) to (next sum, result); start: the first sum.
+    """
+
+    def run(at: Column, part: Column) -> Column:
+        def one(x: Column, e: Column) -> Column:
+            then, made = step(x["at"], e)
+            return F.struct(then.alias("at"), F.array_append(x["made"], made).alias("made"))
+
+        none = F.filter(F.transform(F.slice(part, 1, 1), lambda e: step(start, e)[1]), lambda _: F.lit(False))
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("made")), one)
+
+    def whole(s: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(s) - 1) / RUN).cast("int"))), lambda i: F.slice(s, i * RUN + 1, RUN))
+        none = F.filter(F.transform(F.slice(s, 1, 1), lambda e: F.array(step(start, e)[1])), lambda _: F.lit(False))
+        join = lambda x, part: _bound(run(x["at"], part), lambda r: F.struct(r["at"].alias("at"), F.array_append(x["made"], r["made"]).alias("made")))
+        return F.flatten(F.aggregate(parts, F.struct(start.alias("at"), none.alias("made")), join)["made"])
+
+    return _bound(steps, whole)
+
+
 def _all(text: Column, pattern: Column, kind: str) -> Column:
     """All matches in order, as structs of kind, start, end (code points, end exclusive) and value."""
     found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), m.alias("value")))
+    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("value")))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
 
-    def step(at: Column, x: Column) -> Column:
-        start = at["at"] + x["gap"]
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"))
-        return F.struct((start + x["size"]).alias("at"), F.array_append(at["spans"], span).alias("spans"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        return start + x["size"], F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"))
 
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda at: at["spans"])
     hint = F.lit(HINTS[kind]) if kind in HINTS else pattern
-    return F.when(F.contains(text, hint) if kind == "email" else F.regexp_like(text, hint), walked).otherwise(none)
+    return F.when(F.contains(text, hint) if kind == "email" else F.regexp_like(text, hint), _summed(steps, step, F.lit(0))).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -92,13 +120,16 @@ def of_kind(spans: Column, kind: str) -> Column:
 
 
 def _context(text: Column, span: Column) -> Column:
-    """The different words around a span, as structs of term, in lower case, and name: whether it looks like one.
+    """The different words around a span, whole, as structs of term, in lower case, and name: whether it looks like one.
 
     What other patterns' values hold is left out.
     """
-    left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT + 1)), rf"(?<=^.{{{CONTEXT - 20},{CONTEXT + 1}}})\S*$", "")
+    reach = CONTEXT + WORD_END
+    left = F.regexp_extract(F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach))), rf"(?s)\S*.{{0,{CONTEXT}}}$", 0)
+    right = F.regexp_extract(F.substring(text, span["end"] + 1, F.lit(reach)), rf"(?s)^.{{0,{CONTEXT}}}\S*", 0)
+    # only words longer than that are still cut, and left out
+    left = F.when((F.length(left) == reach) & (span["start"] > reach), F.regexp_replace(left, r"^\S*", "")).otherwise(left)
+    right = F.when(F.length(right) == reach, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
     around = F.regexp_replace(F.concat(left, F.lit(" \n "), right), r"\S*[@0-9]\S*", " ")
     found = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(around, F.lit(pattern), F.lit(0)), F.lower))
     names = found(_NAME)

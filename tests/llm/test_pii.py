@@ -1,7 +1,9 @@
 """Spans against plain regular expressions; disclosure by co-occurrence; sanitised texts."""
 
 import re
+import time
 
+from rillspark.llm import pii
 from rillspark.llm.pii import KINDS, listed, sanitise
 from pyspark.sql import functions as F
 
@@ -94,3 +96,21 @@ def test_shares_against_brute_force(spark, monkeypatch):
     assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
     n = {r.entity: r.n_terms for r in evidence(docs.select("text"), 0.1).collect()}
     assert n == {e: sum(k[0] == e for k in want) for e in mentions}
+
+
+def test_contexts_hold_whole_words_across_lines(spark):
+    """A line break inside the context, and words that begin or end where it does."""
+    far = "x" * 3
+    text = f"{'word ' * 9}Wolfeschlegelstein {'and so ' * 6}bob@acme.org and then\nthe quick brown fox jumps over the lazy dog Featherstonehaugh stays {far}"
+    df = spark.createDataFrame([(text,)], "text string").select(F.explode(F.transform(pii.base_spans(F.col("text")), lambda s: pii._context(F.col("text"), s))).alias("c"))
+    terms = {w.term for r in df.collect() for w in r.c}
+    assert {"wolfeschlegelstein", "featherstonehaugh", "then"} <= terms and not {"fe", "feather", "stein"} & terms
+
+
+def test_spans_of_a_text_with_many_values(spark):
+    n = 20_000
+    text = " ".join(f"née{i}@acme.org" for i in range(n))
+    start = time.time()
+    got = spark.createDataFrame([(text,)], "text string").select(pii.base_spans(F.col("text")).alias("s")).first().s
+    at = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(s.start, s.end) for s in got] == at and len(got) == n and time.time() - start < 60
