@@ -54,8 +54,20 @@ def token(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
+#: A fitted model: hashed words, beginnings, contexts and pairs with what each adds to a log ratio, and that of a new word.
+Model = dict[str, tuple[np.ndarray, np.ndarray] | float]
+
+
+def hashed(word: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of adjacent tokens by class, summed over a batch before they are shuffled."""
+    """Counts of adjacent tokens by class, summed over a batch before they are shuffled; words and beginnings as hashes."""
     for b in batches:
         n: dict[tuple[int, str, str], int] = {}
         for label, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
@@ -66,19 +78,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = w
         if n:
             label, last, word = zip(*n, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(last), pa.array(word), pa.array(n.values(), pa.int64())], ["label", "last", "word", "n"])
-
-
-#: A fitted model: hashed words, beginnings, contexts and pairs with what each adds to a log ratio, and that of a new word.
-Model = dict[str, tuple[np.ndarray, np.ndarray] | float]
-
-
-def hashed(word: str) -> int:
-    """What Spark's xxhash64 gives for a string."""
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(word.encode(), 42)
-    return h - (1 << 64) if h >> 63 else h
+            of = {w: hashed(w) for w in {*last, *word}}
+            stem = {w: hashed(w[:STEM]) for w in set(word)}
+            keys = [pa.array(map(h.__getitem__, w), pa.int64()) for h, w in ((of, last), (of, word), (stem, word))]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), *keys, pa.array(n.values(), pa.int64())], ["label", "last", "word", "stem", "n"])
 
 
 def _paired(last: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -87,11 +90,6 @@ def _paired(last: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (((h << np.uint64(21)) | (h >> np.uint64(43))) ^ word.view(np.uint64)).view(np.int64)
 
 
-def pair_key(last: Column, word: Column) -> Column:
-    h = F.xxhash64(last)
-    return F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43)).bitwiseXOR(F.xxhash64(word))
-
-
 def _looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
     known, value = table
     if not len(known):
@@ -158,73 +156,58 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), 0.0
 
 
-def _sizes(table: DataFrame, names: tuple[str, str]) -> tuple[list[float], float, list[float]]:
-    """By class how much its counts are scaled to the size of the smaller one, the smaller one's discount, and what that takes off each class."""
-    row = table.agg(*(F.count_if(F.col(c) == k).cast("double").alias(f"{c}_{k}") for c in names for k in (1, 2)), *(F.sum(c).cast("double").alias(c) for c in names)).first()
-    whole = [row[c] or 0.0 for c in names]
-    least = names[int(whole[1] <= whole[0])]
-    scale, discount = [min(whole) / max(w, 1) for w in whole], row[f"{least}_1"] / max(row[f"{least}_1"] + 2 * row[f"{least}_2"], 1)
-    row = table.agg(*(F.sum(F.least(F.col(c) * f, F.lit(discount))).alias(c) for c, f in zip(names, scale, strict=True))).first()
-    return scale, discount, [row[c] or 0.0 for c in names]
+def _sizes(counts: list[np.ndarray]) -> tuple[list[float], float]:
+    """How much the counts of each class are scaled to the size of the smaller one, and the smaller one's discount."""
+    whole = [float(c.sum()) for c in counts]
+    least = counts[int(whole[1] <= whole[0])]
+    ones, twos = int((least == 1).sum()), int((least == 2).sum())
+    return [min(whole) / max(w, 1) for w in whole], ones / max(ones + 2 * twos, 1)
 
 
-def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(key, value) of a table of the model, by key."""
-    found = table.select("key", F.col("value").cast("float")).toArrow()
-    key, value = found.column("key").to_numpy(), found.column("value").to_numpy()
-    order = np.argsort(key)
-    return key[order], value[order]
-
-
-def fitted(pairs: DataFrame) -> Model | None:
-    """The model of pairs (last, word, n0, n1); None unless both classes have some."""
-    scale, discount, _ = _sizes(pairs, ("n0", "n1"))
-    if min(scale) == 0:
+def fitted(pairs: pa.Table) -> Model | None:
+    """The model of hashed pairs (last, word, stem of word, n0, n1); None unless both classes have some."""
+    last, word, stem, *n = (pairs.column(c).to_numpy() for c in ("last", "word", "stem", "n0", "n1"))
+    if min((int(x.sum()) for x in n), default=0) == 0:
         return None
-    both = lambda f: [f(0), f(1)]
-    log_ratio = lambda x: F.log(x[1] / x[0])
-    by_word = cut(pairs.groupBy("word").agg(*(F.count_if(F.col(f"n{k}") > 0).alias(f"c{k}") for k in (0, 1))), "toxic-words")
-    size, word_discount, taken = _sizes(by_word, ("c0", "c1"))
-    n_words, whole = by_word.count(), min(by_word.agg(F.sum("c0"), F.sum("c1")).first())
-    rest = both(lambda k: taken[k] / n_words + SHARED_WORD)
-    stem = F.substring("word", 1, STEM).alias("stem")
-    of_stem = both(lambda k: F.sum(F.col(f"c{k}")) * size[k])
-    shared = by_word.groupBy(stem).agg(*((x + SHARED_STEM) / ((of_stem[0] + of_stem[1]) / 2 + SHARED_STEM) * rest[k] for k, x in enumerate(of_stem))).toDF("stem", "s0", "s1")
-    words = by_word.join(shared, by_word["word"].substr(1, STEM) == shared["stem"])
-    q = both(lambda k: F.greatest(F.col(f"c{k}") * size[k] - word_discount, F.lit(0.0)) + F.col(f"s{k}"))
-    words = cut(words.select("word", *(x.alias(f"q{k}") for k, x in enumerate(q))).withColumn("mean", (F.col("q0") + F.col("q1")) / 2), "toxic-word-models")
-    held = both(lambda k: F.greatest(F.col(f"n{k}") * scale[k] - discount, F.lit(0.0)) + SHARED_PAIR * F.col(f"q{k}") / F.col("mean"))
-    told = pairs.join(words, "word").withColumns({f"p{k}": x for k, x in enumerate(held)})
-    contexts = cut(told.groupBy("last").agg(*((F.sum(f"p{k}") + SHARED_REST).alias(f"z{k}") for k in (0, 1))), "toxic-contexts")
-    alone = SHARED_REST / (whole + SHARED_WORD * n_words)
-    p = both(lambda k: (F.col(f"p{k}") + F.col(f"q{k}") * alone) / F.col(f"z{k}"))
-    told = told.join(contexts, "last")
-    model = {
-        "words": _arrays(words.select(F.xxhash64("word").alias("key"), log_ratio([F.col("q0"), F.col("q1")]).alias("value"))),
-        "stems": _arrays(shared.select(F.xxhash64("stem").alias("key"), log_ratio([F.col("s0"), F.col("s1")]).alias("value"))),
-        "contexts": _arrays(contexts.select(F.xxhash64("last").alias("key"), log_ratio([F.col("z1"), F.col("z0")]).alias("value"))),
-        "pairs": _arrays(told.select(pair_key(F.col("last"), F.col("word")).alias("key"), log_ratio(p).alias("value"))),
-        "new": float(np.log(rest[1] / rest[0])),
-    }
-    discard(by_word, words, contexts)
-    return model
+    scale, discount = _sizes(n)
+    words, first, of_word = np.unique(word, return_index=True, return_inverse=True)
+    c = [np.bincount(of_word, x > 0) for x in n]
+    size, word_discount = _sizes(c)
+    c = [x * f for x, f in zip(c, size, strict=True)]
+    rest = [float(np.minimum(x, word_discount).sum()) / len(words) + SHARED_WORD for x in c]
+    stems, of_stem = np.unique(stem[first], return_inverse=True)
+    begun = [np.bincount(of_stem, x) for x in c]
+    shared = [(x + SHARED_STEM) / ((begun[0] + begun[1]) / 2 + SHARED_STEM) * r for x, r in zip(begun, rest, strict=True)]
+    q = [np.maximum(x - word_discount, 0) + s[of_stem] for x, s in zip(c, shared, strict=True)]
+    mean, alone = (q[0] + q[1]) / 2, SHARED_REST / (float(c[0].sum()) + SHARED_WORD * len(words))
+    contexts, of_last = np.unique(last, return_inverse=True)
+    p = [np.maximum(x * f - discount, 0) + (SHARED_PAIR * y / mean)[of_word] for x, f, y in zip(n, scale, q, strict=True)]
+    z = [np.bincount(of_last, x) + SHARED_REST for x in p]
+    p = [(x + (y * alone)[of_word]) / w[of_last] for x, y, w in zip(p, q, z, strict=True)]
+    key = _paired(last, word)
+    order = np.argsort(key)
+    log_ratio = lambda a, b: np.log(a / b).astype(np.float32)
+    return {
+        "words": (words, log_ratio(q[1], q[0])), "stems": (stems, log_ratio(shared[1], shared[0])), "contexts": (contexts, log_ratio(z[0], z[1])),
+        "pairs": (key[order], log_ratio(p[1], p[0])[order]), "new": float(np.log(rest[1] / rest[0])),
+    }
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: str, limit: int = FIT_ROWS) -> tuple[Model | None, tuple[float, float]]:
     """The model and its curve. Without both classes in the counts there is no model and a constant score.
 
-    The model holds every word and pair of the documents counted, at 12 bytes each.
+    Spark counts the pairs of the sample; the model holds every one of them and
+    every word, at 12 bytes each.
     """
     sample = labelled_sample(labels, "toxic", limit, f"({where}) and label in (0, 1)").withColumn("kept_out", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATE)) == 0)
     rows = cut(labelled_texts(docs, sample), "toxic-sample")
-    pairs = cut(
-        rows.where("not kept_out").select("label", "text").mapInArrow(_pairs, "label int, last string, word string, n long")
-        .groupBy("last", "word").agg(*(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))),
-        "toxic-pairs",
+    pairs = (
+        rows.where("not kept_out").select("label", "text").mapInArrow(_pairs, "label int, last long, word long, stem long, n long")
+        .groupBy("last", "word").agg(F.min("stem").alias("stem"), *(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
     )
-    model = fitted(pairs)
+    model = fitted(pairs.toArrow())
     out = measured(rows.where("kept_out"), model, ["label"]).orderBy("doc_id").select("measure", "label").toPandas()
-    discard(rows, pairs)
+    discard(rows)
     return model, curve(out["measure"].to_numpy(float), out["label"].to_numpy(float)) if len(out) else (-3.0, 1.0)
 
 
