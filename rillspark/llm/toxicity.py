@@ -26,6 +26,7 @@ and that of the best stretch are columns of their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,25 +122,33 @@ class Comparer:
         self.key, self.ratio = np.append(self.key, key), np.append(self.ratio, ratio)
         self.context = np.append(self.context, _looked_up(self.model["contexts"], key, 0.0))
 
-    def ratios(self, text: str) -> np.ndarray:
-        """The log of the toxic over the ordinary probability of each token of the text."""
-        words = text.split()
-        if not self.table.keys() >= set(words):
-            self.learn(set(words))
-        ids = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
+    def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The log of the toxic over the ordinary probability of each token of the texts, and the text that it stands in."""
+        split = [t.split() for t in texts]
+        self.learn(set().union(*split))
+        ids = np.fromiter(map(self.table.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        of = np.repeat(np.arange(len(texts)), [len(s) for s in split])[ids >= 0]
         ids = ids[ids >= 0]
-        key = self.key[ids]
-        ahead = np.r_[self.start, self.context[ids[:-1]]][: len(ids)]
-        return _looked_up(self.model["pairs"], _paired(np.r_[self.empty, key[:-1]][: len(ids)], key), self.ratio[ids] + ahead)
-
-    def measures(self, text: str) -> tuple[float, float, float]:
-        """Length-normalised: the log mean of squared likelihood ratios, the mean log ratio, and that of the best stretch."""
-        ratio = self.ratios(text)
-        if not len(ratio):
-            return 0.0, 0.0, 0.0
-        sums = np.cumsum(np.r_[0.0, ratio])
-        best = (sums[STRETCH:] - sums[:-STRETCH]).max() if len(ratio) > STRETCH else sums[-1]
-        return float(np.log(np.exp(2 * ratio).mean())), float(ratio.mean()), float(best / STRETCH)
+        if not len(ids):
+            return np.empty(0), of
+        key, first = self.key[ids], np.r_[True, of[1:] != of[:-1]]
+        last, ahead = np.where(first, self.empty, np.roll(key, 1)), np.where(first, self.start, np.roll(self.context[ids], 1))
+        return _looked_up(self.model["pairs"], _paired(last, key), self.ratio[ids] + ahead), of
+
+    def measures(self, texts: list[str]) -> np.ndarray:
+        """A row for each text, length-normalised: the log mean of squared likelihood ratios, the mean log ratio, and that of the best stretch."""
+        ratio, of = self.ratios(texts)
+        out = np.zeros((len(texts), 3))
+        if len(ratio):
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            text, n, total = of[start], np.diff(np.r_[start, len(of)]), np.add.reduceat(ratio, start)
+            sums, end = np.cumsum(np.r_[0.0, ratio]), np.arange(len(ratio)) + STRETCH
+            inside = np.flatnonzero((end <= len(ratio)) & (of[np.minimum(end, len(ratio)) - 1] == of))
+            best = np.full(len(ratio), -np.inf)
+            best[inside] = sums[inside + STRETCH] - sums[inside]
+            best = np.where(n > STRETCH, np.maximum.reduceat(best, start), total)
+            out[text] = np.column_stack((np.log(np.add.reduceat(np.exp(2 * ratio), start) / n), total / n, best / STRETCH))
+        return out
 
 
 MEASURES = ("measure", "mean", "stretch")
@@ -219,7 +228,7 @@ def measured(docs: DataFrame, model: Model | None, more: list[str]) -> DataFrame
         for b in batches:
             texts = texts_of(b.column(1))
             for x, y in slices(texts):
-                found = np.array([comparer.measures(t) if comparer else (0.0,) * len(MEASURES) for t in texts[x:y]])
+                found = comparer.measures(texts[x:y]) if comparer else np.zeros((y - x, len(MEASURES)))
                 columns = [b.column(0), *(b.column(2 + i) for i in range(len(more)))]
                 yield pa.RecordBatch.from_arrays([c.slice(x, y - x) for c in columns] + [pa.array(f) for f in found.T], ["doc_id", *more, *MEASURES])
 

@@ -188,10 +188,15 @@ def test_likelihoods_against_a_textbook_model(spark):
     for text in ("silver goat w1", "w1 silver", "unknown goat", "w3 w3 unknown", "beginning w2", "goat beginners of w7", "-- w1, -"):
         t = [w for w in map(toxicity.token, text.split()) if w]
         want = [np.log(p(1, *e) / p(0, *e)) for e in zip(["", *t], t, strict=False)]
-        assert np.allclose(comparer.ratios(text), want, atol=1e-5)
-        measure, mean, _ = comparer.measures(text)
+        assert np.allclose(comparer.ratios([text])[0], want, atol=1e-5)
+        measure, mean, _ = comparer.measures([text])[0]
         assert np.isclose(mean, np.mean(want), atol=1e-5) and np.isclose(measure, np.log(np.mean(np.exp(2 * np.array(want)))), atol=1e-4)
-    assert slope > 0 and comparer.ratios("silver goat")[1] > 1 > abs(comparer.ratios("goat")[0])
+    several = ["silver goat w1", "", "w3", "- -", "w1 w2 w3 w4 w5 w6 silver goat w8", "w1 w2 w3 w4 w5"]
+    alone = np.concatenate([comparer.measures([t]) for t in several])
+    assert np.allclose(comparer.measures(several), alone) and not alone[[1, 3]].any()
+    r = comparer.ratios([several[4]])[0]
+    assert np.isclose(alone[4, 2], max(r[i : i + toxicity.STRETCH].mean() for i in range(len(r) - toxicity.STRETCH + 1)))
+    assert slope > 0 and comparer.ratios(["silver goat"])[0][1] > 1 > abs(comparer.ratios(["goat"])[0][0])
     scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
     assert np.mean([scored[i] > 0.5 for i in kept_out if rows[i][2]]) > 0.9 and np.mean([scored[i] > 0.5 for i in kept_out if not rows[i][2]]) < 0.1
 
@@ -199,9 +204,10 @@ def test_likelihoods_against_a_textbook_model(spark):
 def test_hashes_are_those_of_spark(spark):
     words = ["", "a", "née", "漢字" * 20, "x" * 100]
     df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
-    for r in df.select("a", "b", F.xxhash64("a").alias("h"), toxicity.pair_key(F.col("a"), F.col("b")).alias("k")).collect():
-        a, b = (np.array([toxicity.hashed(w)], np.int64) for w in (r.a, r.b))
-        assert a[0] == r.h and toxicity._paired(a, b)[0] == r.k
+    for r in df.select("a", "b", F.xxhash64("a").alias("h")).collect():
+        assert toxicity.hashed(r.a) == r.h
+    keys = np.array([toxicity.hashed(w) for w in words], np.int64)
+    assert len({int(toxicity._paired(keys[i : i + 1], keys[j : j + 1])[0]) for i in range(5) for j in range(5)}) == 25
 
 
 def test_an_id_on_many_rows_is_learnt_from_once(spark):
@@ -213,7 +219,7 @@ def test_an_id_on_many_rows_is_learnt_from_once(spark):
 def test_a_context_of_one_class_counts(spark):
     docs = spark.createDataFrame([(i, f"plain words {'of every kind' if i % 2 else 'vile'} thing") for i in range(40)], "doc_id long, text string")
     model, _ = toxicity.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int"), "true")
-    assert toxicity.Comparer(model).ratios("vile thing")[1] > 0.5
+    assert toxicity.Comparer(model).ratios(["vile thing"])[0][1] > 0.5
 
 
 def test_toxicity_on_odd_rows(spark):
