@@ -60,7 +60,7 @@ def escape_paths(cells: DataFrame, starts: DataFrame, tile: int = TILE) -> DataF
     to = cells.select(F.col("cell").alias("receiver"), at("r").alias("rty"), at("c").alias("rtx"))
     tiled = written(cells.join(to, "receiver", "left").select("cell", "z", "land", "keep", "part", "receiver", "rty", "rtx", at("r").alias("ty"), at("c").alias("tx")), "tiles")
     first = tiled.select("cell", F.col("z").alias("start"), "ty", "tx").join(starts.select("cell", "part"), "cell")
-    walkers = first.select(F.col("cell").alias("path"), "start", "part", F.lit(False).alias("out"), F.lit(0).cast("long").alias("seq"), "cell", "ty", "tx")
+    walkers = written(first.select(F.col("cell").alias("path"), "start", "part", F.lit(False).alias("out"), F.lit(0).cast("long").alias("seq"), "cell", "ty", "tx"), "starts")
     rounds = []
     while True:
         here = tiled.join(walkers.select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
@@ -133,7 +133,7 @@ def breach(
             .crossJoin(cuts.where("depth > 1e-4").agg(F.count("*").alias("n_cells"), F.coalesce(F.max("depth"), F.lit(0.0)).alias("deepest")))
             .select(F.lit(k).alias("pass"), F.lit(n).cast("long").alias("n_candidates"), "n_paths", "n_skipped", "n_cells", "deepest")
         )
-        last, state = state, written(state.join(cuts.select("cell", "bed"), "cell", "left").withColumn("z", F.least("z", "bed")).drop("bed"), "terrain")
+        state = written(state.join(cuts.select("cell", "bed"), "cell", "left").withColumn("z", F.least("z", "bed")).drop("bed"), "terrain")
         if cuts.where("depth > 1e-4").isEmpty():
             break
         discard(routed)
