@@ -45,6 +45,8 @@ SHARED_WORD, SHARED_STEM, SHARED_PAIR, SHARED_REST = 0.3, 3.0, 3.0, 5.0
 STEM = 6
 #: Tokens in the stretch that is compared on its own.
 STRETCH = 5
+#: Parts in which the counted pairs come to the driver.
+PARTS = 16
 #: Words kept in a task's table before it starts anew.
 TABLE_WORDS = 300_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -173,18 +175,30 @@ def _sizes(counts: list[np.ndarray]) -> tuple[list[float], float]:
     return [min(whole) / max(w, 1) for w in whole], ones / max(ones + 2 * twos, 1)
 
 
-def fitted(pairs: pa.Table) -> Model | None:
-    """The model of hashed pairs (last, word, stem of word, n0, n1); None unless both classes have some."""
-    last, word, stem, *n = (pairs.column(c).to_numpy() for c in ("last", "word", "stem", "n0", "n1"))
+def _fetched(pairs: DataFrame) -> tuple[np.ndarray, ...]:
+    """last, word, n0 and n1 of a written table as arrays, by PARTS of the words, so the driver holds little twice."""
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    for k in range(PARTS):
+        part = pairs.where(F.pmod("word", F.lit(PARTS)) == k).select("last", "word", F.col("n0").cast("int"), F.col("n1").cast("int")).toArrow()
+        for arrays, column in zip(found, part.columns, strict=True):
+            arrays.append(column.to_numpy())
+    return tuple(map(np.concatenate, found))
+
+
+def fitted(pairs: DataFrame) -> Model | None:
+    """The model of a written table of hashed pairs (last, word, stem of word, n0, n1); None unless both classes have some."""
+    last, word, *n = _fetched(pairs)
     if min((int(x.sum()) for x in n), default=0) == 0:
         return None
+    begins = pairs.groupBy("word").agg(F.min("stem").alias("stem")).toArrow()
+    stem = begins.column("stem").to_numpy()[np.argsort(begins.column("word").to_numpy())]
     scale, discount = _sizes(n)
-    words, first, of_word = np.unique(word, return_index=True, return_inverse=True)
+    words, of_word = np.unique(word, return_inverse=True)
     c = [np.bincount(of_word, x > 0) for x in n]
     size, word_discount = _sizes(c)
     c = [x * f for x, f in zip(c, size, strict=True)]
     rest = [float(np.minimum(x, word_discount).sum()) / len(words) + SHARED_WORD for x in c]
-    stems, of_stem = np.unique(stem[first], return_inverse=True)
+    stems, of_stem = np.unique(stem, return_inverse=True)
     begun = [np.bincount(of_stem, x) for x in c]
     shared = [(x + SHARED_STEM) / ((begun[0] + begun[1]) / 2 + SHARED_STEM) * r for x, r in zip(begun, rest, strict=True)]
     q = [np.maximum(x - word_discount, 0) + s[of_stem] for x, s in zip(c, shared, strict=True)]
@@ -210,13 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, where: str, limit: int = FIT_ROWS) -
     """
     sample = labelled_sample(labels, "toxic", limit, f"({where}) and label in (0, 1)").withColumn("kept_out", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATE)) == 0)
     rows = cut(labelled_texts(docs, sample), "toxic-sample")
-    pairs = (
+    pairs = cut(
         rows.where("not kept_out").select("label", "text").mapInArrow(_pairs, "label int, last long, word long, stem long, n long")
-        .groupBy("last", "word").agg(F.min("stem").alias("stem"), *(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+        .groupBy("last", "word").agg(F.min("stem").alias("stem"), *(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))),
+        "toxic-pairs",
     )
-    model = fitted(pairs.toArrow())
+    model = fitted(pairs)
     out = measured(rows.where("kept_out"), model, ["label"]).orderBy("doc_id").select("measure", "label").toPandas()
-    discard(rows)
+    discard(rows, pairs)
     return model, curve(out["measure"].to_numpy(float), out["label"].to_numpy(float)) if len(out) else (-3.0, 1.0)
 
 
