@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, only, slices, texts_of
+from .common import labelled_sample, labelled_texts, only, slices, texts_of
 
 #: Labelled documents that the model is fitted on, at most, and hashed features.
 FIT_ROWS, DIMENSIONS = 8_000, 1 << 18
@@ -136,14 +136,14 @@ def grade_documents(
 
     A null or empty text is scored by the thresholds alone. A null id stays
     null. Repeated rows give repeated rows; of repeated ratings of a document
-    the largest holds, and rows that share an id but not a text are learnt from
-    each; grades out of range or null take no part. With no rated
+    the largest holds; where rows share an id, the text of the smallest hash is
+    learnt from; grades out of range or null take no part. With no rated
     document the three results are null, null and true, as nothing speaks
     against any. An empty table gives an empty one. Other columns are ignored.
     """
     docs = only(docs, id_col, text_col)
     sample = labelled_sample(ratings.select("doc_id", F.col(grade_col).alias("label")), "label", limit, f"label between 0 and {grades - 1}")
-    rows = hashed(docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"])).orderBy("doc_id", "ids", "values").toPandas()
+    rows = hashed(labelled_texts(docs, sample)).orderBy("doc_id").toPandas()
     model = None
     if len(rows):
         size = rows["ids"].map(len).to_numpy()
