@@ -160,14 +160,11 @@ def hydrology_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven hydrology channels refined three times: logs and vectors bilinearly, masks and orders by their parent."""
     code = F.pmod("cell", F.lit(9)).cast("int")
     east, south = hy.flow_vector(code)
-    g = order_grid(spark, sf_dir).where("zone = 0").select(
+    g = order_grid(spark, sf_dir).select(
         "r", "c", (F.col("price") > 300000).cast("int").alias("channel"), F.log1p("price").alias("log_area"), F.log1p(F.col("precip") / 1e3).alias("log_q"), east.alias("east"), south.alias("south"),
         (F.pmod("cell", F.lit(4)) + 1).cast("int").alias("stream_order"), (~F.col("land")).cast("int").alias("lake"),
     )
-    smooth = None
-    for x in ("log_area", "log_q", "east", "south"):
-        part = focal.bilinear3(g, x, x)
-        smooth = part if smooth is None else smooth.join(part.select("r", "c", x), ["r", "c"])
+    smooth = focal.bilinear3_all(g, ["log_area", "log_q", "east", "south"])
     kept = g.select(F.col("r").alias("pr"), F.col("c").alias("pc"), "channel", "stream_order", "lake")
     return smooth.join(kept, ["pr", "pc"]).select("r", "c", "channel", *(F.round(x, 7).alias(x) for x in ("log_area", "log_q", "east", "south")), "stream_order", "lake")
 
@@ -175,7 +172,7 @@ def hydrology_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def terrain_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirteen terrain channels of nine children of each cell: exact and repeated parent, gradients, position indices,
     relief and roughness over 3 and 9 cells, the child's place, and curvature."""
-    g = order_grid(spark, sf_dir).where("zone = 0").select("r", "c", "z").withColumn("zz", F.col("z") * F.col("z"))
+    g = order_grid(spark, sf_dir).select("r", "c", "z").withColumn("zz", F.col("z") * F.col("z"))
     for k, name in ((1, "3"), (4, "9")):
         g = focal.padded_mean(focal.padded_mean(g, "z", k, f"mean{name}"), "zz", k, f"square{name}")
         g = focal.extreme(focal.extreme(g, "z", k, F.max, f"high{name}"), "z", k, F.min, f"low{name}")
@@ -241,7 +238,7 @@ def _stack_sql() -> str:
         parts |= {f"tpi{name}": f"z - mean{name}", f"relief{name}": f"high{name} - low{name}", f"rough{name}": f"sqrt(greatest(square{name} - mean{name} * mean{name}, 0.0))"}
     s = "s as materialized (select r, c, z, z as parent, " + ", ".join(f"{v} as {k}" for k, v in parts.items()) + f" from {frm})"
     rounded = ", ".join(f"round({k}, 6) as {k}" for k in parts)
-    return _G + ", z0 as (select *, z * z as zz from g where zone = 0), " + ", ".join(steps) + f", {s}, " + _fine_sql(["z", *parts], ["parent"]) + f" select r, c, round(parent + z - avg(z) over (partition by pr, pc), 6) as exact, parent, {rounded}, c % 3 - 1 as phase_x, r % 3 - 1 as phase_y from fine"
+    return _G + ", z0 as (select *, z * z as zz from g), " + ", ".join(steps) + f", {s}, " + _fine_sql(["z", *parts], ["parent"]) + f" select r, c, round(parent + z - avg(z) over (partition by pr, pc), 6) as exact, parent, {rounded}, c % 3 - 1 as phase_x, r % 3 - 1 as phase_y from fine"
 
 
 QUERIES = {
@@ -276,7 +273,7 @@ QUERIES = {
  select cell, round(sum((1e-3 + 0.999 * s * s) * (z + tile % 3)) / sum(1e-3 + 0.999 * s * s), 6) as blended from v group by cell"""),
     "zoomed": (zoomed, _G + ", b as (select r // 16 as r, c // 16 as c, avg(precip) - 1400 as v from g group by 1, 2), " + _zoom_sql(8, "b", "v") + " select r, c, round(greatest(v, 0.0), 6) as v from zm"),
     "lake_coverage": (lake_coverage, _G + ", b as (select r // 16 as r, c // 16 as c, cast(count(*) filter (not land) > 6 as integer)::double as v from g group by 1, 2), " + _zoom_sql(3, "b", "v") + " select r, c, round(v, 9) as coverage, v >= 0.5 - 1e-12 as lake from zm"),
-    "hydrology_stack": (hydrology_stack, f"with {GRID_SQL}, {_D8_SQL}, s as materialized (select g.r, g.c, cast(price > 300000 as integer) as channel, ln(1 + price) as log_area, ln(1 + precip / 1e3) as log_q, {_VEC}, cast(cell % 4 + 1 as integer) as stream_order, cast(not land as integer) as lake from g left join d on g.cell % 9 = d.code where zone = 0), "
+    "hydrology_stack": (hydrology_stack, f"with {GRID_SQL}, {_D8_SQL}, s as materialized (select g.r, g.c, cast(price > 300000 as integer) as channel, ln(1 + price) as log_area, ln(1 + precip / 1e3) as log_q, {_VEC}, cast(cell % 4 + 1 as integer) as stream_order, cast(not land as integer) as lake from g left join d on g.cell % 9 = d.code), "
      + _fine_sql(["log_area", "log_q", "east", "south"], ["channel", "stream_order", "lake"]) + " select r, c, channel, round(log_area, 7) as log_area, round(log_q, 7) as log_q, round(east, 7) as east, round(south, 7) as south, stream_order, lake from fine"),
     "terrain_stack": (terrain_stack, _stack_sql()),
 }

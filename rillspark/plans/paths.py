@@ -21,6 +21,8 @@ DENSITY = 0.9
 #: Elevation bands' factors, floors and ceilings of channel grades, and the deepest cut in metres, for the test grids.
 GRADES = ((0.8, 0.001, 0.05), (0.9, 0.002, 0.08), (1.0, 0.004, 0.12), (1.1, 0.006, 0.2))
 DEEPEST = 25.0
+#: Beds are whole numbers of this part of a metre, so that sums are exact in any order.
+LATTICE = 100_000
 
 
 def _density(reaches: DataFrame, land_km2: float, thresholds: list[float]) -> list[float]:
@@ -76,11 +78,11 @@ def channel_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def target_beds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beds that fall by the grade asked for from each channel cell to the next, cut no deeper than a limit and never raised."""
-    ch = written(_channels(spark, sf_dir).select("cell", "receiver", "z", (F.col("asked") * F.col("len")).alias("drop")), "grades")
+    unit = lambda x: F.round(x * LATTICE).cast("long")
+    ch = written(_channels(spark, sf_dir).select("cell", "receiver", unit(F.col("z")).alias("z"), unit(F.col("asked") * F.col("len")).alias("drop")), "grades")
     inner = ch.join(ch.select(F.col("cell").alias("receiver"), F.lit(True).alias("on")), "receiver", "left")
-    beds = flow.carved(inner.select("cell", F.when(F.col("on"), F.col("receiver")).alias("receiver"), "z", "drop"), DEEPEST)
-    # heights lie on a lattice whose points fall between two rounded values: a hair decides alike in every order of summing
-    return beds.select("cell", F.round(F.col("bed") + F.lit(3e-8), 5).alias("bed"))
+    beds = flow.carved(inner.select("cell", F.when(F.col("on"), F.col("receiver")).alias("receiver"), "z", "drop"), DEEPEST * LATTICE)
+    return beds.select("cell", (F.col("bed") / LATTICE).alias("bed"))
 
 
 def lake_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,8 +273,9 @@ QUERIES = {
  bd as (select i, t, abs(coalesce(sum(len), 0) / 1e3 / any_value(km2) - {DENSITY}) as error from bt left join rch on rch.area >= t * 1e6, lnd group by i, t)
  select 'sweep' as method, round(t, 4) as km2, round(error, 8) as error from (select * from sd order by round(error, 9), k limit 1) union all select 'halving', round(t, 4), round(error, 8) from (select * from bd order by round(error, 9), i limit 1)"""),
     "channel_grades": (channel_grades, FLOW_SQL + _GRADED + " select cell, round(grade, 9) as grade, round(asked, 9) as asked from ga"),
-    "target_beds": (target_beds, FLOW_SQL + _GRADED + f""", st(cell, bed) using key (cell) as (select cell, z from ga union select x.cell, x.bed from (select n.cell, min(greatest(n.z - {DEEPEST}, st.bed - u.asked * u.len)) as bed from st join ga u on u.cell = st.cell join ga n on n.cell = u.receiver group by n.cell) x join recurring.st o on o.cell = x.cell where x.bed < o.bed)
- select cell, round(bed + 3e-8, 5) as bed from st"""),
+    "target_beds": (target_beds, FLOW_SQL + _GRADED + f""", gl as materialized (select cell, receiver, cast(round(z * {LATTICE}) as bigint) as z, cast(round(asked * len * {LATTICE}) as bigint) as dropped from ga),
+ st(cell, bed) using key (cell) as (select cell, z from gl union select x.cell, x.bed from (select n.cell, min(greatest(n.z - {int(DEEPEST * LATTICE)}, st.bed - u.dropped)) as bed from st join gl u on u.cell = st.cell join gl n on n.cell = u.receiver group by n.cell) x join recurring.st o on o.cell = x.cell where x.bed < o.bed)
+ select cell, bed / {float(LATTICE)} as bed from st"""),
     "lake_passages": (lake_passages, FLOW_SQL + _CH + """, lk as materialized (select cell, case when not land then zone end as lake from f), w as materialized (select ch.cell, ch.receiver, a.lake, b.lake as lake_down from ch join lk a on ch.cell = a.cell join lk b on ch.receiver = b.cell),
  up as (select receiver as cell, least(count(*), 255) as upstream, count(*) filter (lake_down is not null and lake is distinct from lake_down) as outside from w group by receiver),
  x as (select w.*, coalesce(up.upstream, 0) as upstream, coalesce(up.outside, 0) as outside, d.cell is not null as flows_on from w left join up on up.cell = w.cell left join w d on d.cell = w.receiver),

@@ -28,7 +28,7 @@ def probed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heaviest_inflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code that a group inherits: that of its heaviest inflow (the last of equals), else its own; and how often inflows disagree on the way."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", F.substring("o_orderpriority", 1, 1).cast("int").alias("code"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", F.substring("o_orderpriority", 1, 1).cast("int").alias("code"))
     first = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.pmod("c_custkey", F.lit(5)).cast("int") + 1).alias("own"))
     before = F.lag("code").over(relational.Window.partitionBy("c_custkey").orderBy("o_totalprice", "o_orderkey"))
     x = o.join(first, "c_custkey", "right").withColumn("known", F.coalesce(before, F.col("own")))
@@ -68,7 +68,7 @@ def appended_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges of a flow graph as JSON documents."""
-    f = forest(spark, sf_dir).where("receiver is not null and zone = 1")
+    f = forest(spark, sf_dir).where("receiver is not null")
     return f.select("cell", F.to_json(F.struct(F.col("cell").alias("source"), F.col("receiver").alias("target"), F.col("code"))).alias("edge"))
 
 
@@ -153,12 +153,13 @@ def stream_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def world_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of verdicts over a plan: area is conserved, no cell flows uphill, no cycle, every flow ends in a terminal."""
-    a = written(areas(forest(spark, sf_dir)).select("cell", "receiver", "z", "area"), "areas")
-    try:
-        ends = flow.outlets(a.select("cell", "receiver"))
-        acyclic = True
+    f = forest(spark, sf_dir)
+    try:  # before anything is summed, as sums raise on a cycle too
+        ends, acyclic = flow.outlets(f.select("cell", "receiver")), True
     except ValueError:
-        ends, acyclic = a.select("cell", F.col("cell").alias("outlet")), False
+        ends, acyclic = f.select("cell", F.col("cell").alias("outlet")), False
+    own = areas(f) if acyclic else f.withColumn("area", F.lit(AREA))
+    a = written(own.select("cell", "receiver", "z", "area"), "areas")
     down = a.select(F.col("cell").alias("receiver"), F.col("z").alias("z_down"), F.lit(True).alias("there"))
     x = a.join(down, "receiver", "left").join(ends.select("cell", "outlet"), "cell")
     total, collected = F.count("*") * F.lit(AREA), F.sum(F.when(F.col("receiver").isNull(), F.col("area")))
@@ -247,14 +248,14 @@ QUERIES = {
  union all select round + 1, p_partkey, case when rn = 1 then slot else (slot + 1) % m end, moved > 0 from (
   select *, count(*) filter (rn > 1) over () as moved from (select p.*, row_number() over (partition by slot order by p_partkey) as rn from p where busy) x) y, m where moved > 0)
  select p_partkey, slot from p where round = (select max(round) from p)"""),
-    "heaviest_inflow": (heaviest_inflow, """with o as (select o_custkey as c_custkey, o_orderkey, o_totalprice, cast(o_orderpriority[1] as integer) as code from orders where o_orderkey % 3 = 0),
+    "heaviest_inflow": (heaviest_inflow, """with o as (select o_custkey as c_custkey, o_orderkey, o_totalprice, cast(o_orderpriority[1] as integer) as code from orders),
  x as (select c.c_custkey, o.code, o.o_totalprice, o.o_orderkey, case when c.c_custkey % 2 = 0 then cast(c.c_custkey % 5 as integer) + 1 end as own, lag(o.code) over (partition by c.c_custkey order by o.o_totalprice, o.o_orderkey) as before from customer c left join o using (c_custkey))
  select c_custkey, coalesce(max(struct_pack(p := o_totalprice, k := o_orderkey, code := code)) filter (code is not null).code, any_value(own)) as code, count(*) filter (code <> coalesce(before, own)) as conflicts from x group by c_custkey"""),
     "context_matrix": (context_matrix, """with e as (select c_mktsegment, cast(s as integer) as seed from (select distinct c_mktsegment from customer), range(7) t(s)),
  h as (select c_mktsegment, cast(c_custkey % 7 as integer) as seed, round(avg(c_acctbal), 4) as mean from customer where c_custkey % 7 <> 3 or c_nationkey % 2 = 0 group by 1, 2) select e.c_mktsegment, e.seed, mean from e left join h using (c_mktsegment, seed)"""),
     "size_ranks": (size_ranks, "select l_suppkey, count(*) as n, row_number() over (order by count(*) desc, l_suppkey) as place from lineitem group by l_suppkey"),
     "appended_ids": (appended_ids, "select s_suppkey as id, s_name as name from supplier union all select (select coalesce(max(s_suppkey), -1) + 1 from supplier) + row_number() over (order by c_nationkey, c_custkey) - 1, c_name from customer"),
-    "graph_json": (graph_json, FLOW_SQL + " select cell, '{\"source\":' || cell || ',\"target\":' || receiver || ',\"code\":' || code || '}' as edge from f where receiver is not null and zone = 1"),
+    "graph_json": (graph_json, FLOW_SQL + " select cell, '{\"source\":' || cell || ',\"target\":' || receiver || ',\"code\":' || code || '}' as edge from f where receiver is not null"),
     "logged_metrics": (logged_metrics, "select cast(o_orderkey % 3 as integer) as epoch, o_orderstatus as status, round(avg(o_totalprice), 4) as loss, case when o_orderkey % 3 = 2 then count(*) end as n from orders group by o_orderkey % 3, o_orderstatus"),
     "stored_tiles": (stored_tiles, _G + "select c // 16 as tx, count(*) as n, round(sum(price), 2) as total, true as refused from g where r // 16 = 1 group by 1"),
     "csv_union": (csv_union, "select c_nationkey as nation, count(*) as n_customers, cast(null as double) as balance from customer group by 1 union all select s_nationkey, null, round(max(s_acctbal), 2) from supplier group by 1"),
