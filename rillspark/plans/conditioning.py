@@ -185,7 +185,7 @@ def terrain_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = fine.join(g.select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("z").alias("parent")), ["pr", "pc"])
     exact = F.col("parent") + focal.zero_mean("z")
     return fine.select(
-        "r", "c", F.round(exact, 6).alias("exact"), "parent", *(F.round(k, 6).alias(k) for k in parts),
+        "r", "c", F.round(exact, 6).alias("exact"), "parent", *((F.round(k, 6) + 0.0).alias(k) for k in parts),  # no zero with a sign
         (F.pmod("c", F.lit(3)) - 1).alias("phase_x"), (F.pmod("r", F.lit(3)) - 1).alias("phase_y"),
     )
 
@@ -237,7 +237,7 @@ def _stack_sql() -> str:
     for name in ("3", "9"):
         parts |= {f"tpi{name}": f"z - mean{name}", f"relief{name}": f"high{name} - low{name}", f"rough{name}": f"sqrt(greatest(square{name} - mean{name} * mean{name}, 0.0))"}
     s = "s as materialized (select r, c, z, z as parent, " + ", ".join(f"{v} as {k}" for k, v in parts.items()) + f" from {frm})"
-    rounded = ", ".join(f"round({k}, 6) as {k}" for k in parts)
+    rounded = ", ".join(f"round({k}, 6) + 0.0 as {k}" for k in parts)
     return _G + ", z0 as (select *, z * z as zz from g), " + ", ".join(steps) + f", {s}, " + _fine_sql(["z", *parts], ["parent"]) + f" select r, c, round(parent + z - avg(z) over (partition by pr, pc), 6) as exact, parent, {rounded}, c % 3 - 1 as phase_x, r % 3 - 1 as phase_y from fine"
 
 
