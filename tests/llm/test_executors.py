@@ -23,4 +23,4 @@ for name, query in __spark_entry__.queries().items():
 def test_queries_run_where_workers_lack_the_package(tmp_path):
     code = SCRIPT.format(repo=str(REPO), shared=tempfile.mkdtemp(prefix="spark-"))
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=900, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
-    assert done.stdout.count("ran ") == 11, done.stderr[-3000:]
+    assert done.stdout.count("ran ") == 14, done.stderr[-3000:]
