@@ -83,4 +83,4 @@ def test_run_and_empty_stages(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{n}" for n in range(1, 14)}
