@@ -76,22 +76,23 @@ def _settling(arcs: bool = False):
     return settle
 
 
-def _targets(tile: int) -> Column:
+def tiles_touched(tile: int) -> Column:
     """The tiles that hold a cell or one of its neighbours, as structs of ty, tx and own."""
     edge = {-1: lambda x: F.pmod(x, F.lit(tile)) == 0, 0: lambda x: F.lit(True), 1: lambda x: F.pmod(x, F.lit(tile)) == tile - 1}
     to = [F.when(edge[i](F.col("r")) & edge[j](F.col("c")), F.struct((F.col("ty") + i).alias("ty"), (F.col("tx") + j).alias("tx"), F.lit(i == 0 and j == 0).alias("own"))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     return F.filter(F.array(*to), lambda x: x.isNotNull())
 
 
-def _current(tables: list[DataFrame]) -> DataFrame:
-    """The cells of each tile as they were written last."""
+def current(tables: list[DataFrame], *of: str) -> DataFrame:
+    """The rows of each tile (and of each value of columns `of`) as they were written last."""
+    keys = [*of, "ty", "tx"]
     if len(tables) == 1:
         return tables[0]
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    last = every.select("ty", "tx", "round").distinct().groupBy("ty", "tx").agg(F.max("round").alias("round"))
-    return every.join(last, ["ty", "tx", "round"], "left_semi")
+    last = every.select(*keys, "round").distinct().groupBy(*keys).agg(F.max("round").alias("round"))
+    return every.join(last, [*keys, "round"], "left_semi")
 
 
 def fill(grid: DataFrame, z: str, terminal: Column, tile: int = TILE, zone: Column | None = None) -> DataFrame:
@@ -116,19 +117,19 @@ def _flood(start: DataFrame, level: Column, tile: int, settle) -> DataFrame:
     tables, active, k = [written(state, "fill")], None, 0
     while True:
         k += 1
-        cells = _current(tables)
+        cells = current(tables)
         if active is not None:
             side = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
             near = active.select("ty", "tx", side.alias("s")).select((F.col("ty") + F.col("s.i")).alias("ty"), (F.col("tx") + F.col("s.j")).alias("tx")).distinct()
             cells = cells.join(near, ["ty", "tx"], "left_semi")
-        sent = cells.select(*_CELLS, F.explode(_targets(tile)).alias("to")).select(*_CELLS, "to.*")
+        sent = cells.select(*_CELLS, F.explode(tiles_touched(tile)).alias("to")).select(*_CELLS, "to.*")
         if active is None:  # only tiles that have cells of their own
             sent = sent.join(tables[0].select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
         else:
             sent = sent.join(active, ["ty", "tx"], "left_semi")
         new = written(sent.groupBy("ty", "tx").applyInArrow(settle, _STATE).withColumn("round", F.lit(k)), "fill")
         tables.append(new)
-        beside = new.where("changed").select(F.explode(_targets(tile)).alias("to")).select("to.*").where("not own").select("ty", "tx").distinct()
+        beside = new.where("changed").select(F.explode(tiles_touched(tile)).alias("to")).select("to.*").where("not own").select("ty", "tx").distinct()
         following = written(beside.join(tables[0].select("ty", "tx").distinct(), ["ty", "tx"], "left_semi"), "tiles")
         if active is not None:
             discard(active)
@@ -136,10 +137,10 @@ def _flood(start: DataFrame, level: Column, tile: int, settle) -> DataFrame:
         if active.isEmpty():
             break
         if len(tables) > GATHER:
-            whole = written(_current(tables), "fill")
+            whole = written(current(tables), "fill")
             discard(*tables)
             tables = [whole]
-    return _current(tables).select(*_CELLS)
+    return current(tables).select(*_CELLS)
 
 
 def route(grid: DataFrame, z: str, land: Column, terminal: Column, zone: Column | None = None, tile: int = TILE) -> DataFrame:

@@ -6,11 +6,12 @@ window of any size costs two shuffles instead of one row for every offset.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-
 def along(axis: str) -> WindowSpec:
     """A column's cells in order of rows (axis r), or a row's in order of columns (c)."""
     return Window.partitionBy("c").orderBy("r") if axis == "r" else Window.partitionBy("r").orderBy("c")
@@ -51,6 +52,41 @@ def padded_mean(df: DataFrame, x: str, k: int, name: str) -> DataFrame:
     return rows.withColumn(name, padded_sum("_sum", "r", k) / ((2 * k + 1) ** 2)).drop("_sum")
 
 
+def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
+    """Weights of the middle and of the cells on one side, out to `truncate` deviations; both sides add up to one."""
+    if not sigma > 0 or not truncate > 0:
+        raise ValueError("the deviation and its reach must be positive")
+    side = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(int(truncate * sigma + 0.5) + 1)]
+    return [w / (2 * sum(side) - side[0]) for w in side]
+
+
+def _mirrored(df: DataFrame, x: str, axis: str, weights: list[float]) -> DataFrame:
+    """df with x weighted along one axis. A line repeats mirrored beyond both ends, as often as the weights reach."""
+    reach, line = len(weights) - 1, Window.partitionBy("c" if axis == "r" else "r")
+    ends = df.withColumns({"_lo": F.min(axis).over(line), "_n": F.max(axis).over(line) - F.min(axis).over(line) + 1})
+    turns = F.sequence(F.expr(f"-({reach} div (2 * _n)) - 1"), F.expr(f"({reach} div (2 * _n)) + 1"))
+    i = F.col(axis) - F.col("_lo")
+    places = F.flatten(F.transform(turns, lambda j: F.array(i + 2 * F.col("_n") * j, -1 - i + 2 * F.col("_n") * j)))
+    wide = ends.withColumn("_at", F.explode(F.filter(places, lambda p: (p >= -reach) & (p < F.col("_n") + reach))))
+    seen = F.collect_list(F.when(F.col(x).isNotNull(), F.struct("_at", F.col(x).cast("double").alias("v")))).over(line.orderBy("_at").rangeBetween(-reach, reach))
+    w = lambda s: F.get(F.array(*map(F.lit, weights)), F.abs(s["_at"] - F.col("_at")).cast("int"))
+    total = lambda f: F.aggregate("_seen", F.lit(0.0), lambda a, s: a + f(s))
+    met = wide.withColumn("_seen", seen).where((F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
+    known = total(w)
+    return met.withColumn(x, F.when(F.col(x).isNotNull() & (known > 0), total(lambda s: w(s) * s["v"]) / known)).drop("_lo", "_n", "_at", "_seen")
+
+
+def gaussian(df: DataFrame, x: str, sigma: float, name: str, truncate: float = 4.0) -> DataFrame:
+    """df with `name`: x smoothed by a Gaussian of `sigma` cells, cut off at `truncate` deviations.
+
+    Lines are mirrored at their ends (d c b a | a b c d | d c b a). Cells
+    without a value stay null and weigh nothing in others; NaN spreads as far as
+    the weights. Two shuffles, along rows and along columns.
+    """
+    weights = gaussian_weights(sigma, truncate)
+    return _mirrored(_mirrored(df.withColumn(name, F.col(x)), name, "c", weights), name, "r", weights)
+
+
 def extreme(df: DataFrame, x: str, k: int, f, name: str) -> DataFrame:
     """Largest or smallest value (f: F.max or F.min) in a square of 2 k + 1 cells."""
     rows = df.withColumn("_row", f(x).over(along("c").rowsBetween(-k, k)))
