@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillspark.plans import calibration, catalog, conditioning, drainage, paths, raster, tables, terrain
+from rillspark.plans import calibration, catalog, conditioning, corridors, drainage, paths, raster, tables, terrain
 
-_ALL = {**drainage.QUERIES, **raster.QUERIES, **calibration.QUERIES, **catalog.QUERIES, **conditioning.QUERIES, **tables.QUERIES, **paths.QUERIES, **terrain.QUERIES}
+_ALL = {**drainage.QUERIES, **raster.QUERIES, **calibration.QUERIES, **catalog.QUERIES, **conditioning.QUERIES, **tables.QUERIES, **paths.QUERIES, **terrain.QUERIES, **corridors.QUERIES}
 
 
 def queries() -> dict:
