@@ -10,6 +10,7 @@ from rillspark.functions import identity
 from rillspark.operators import relational
 from rillspark.operators import statistics as st
 from rillspark.sources.grids import GRID_SQL, RESOLUTION_M, order_grid, table
+from rillspark.sources.shared import written
 
 _G = f"with {GRID_SQL} "
 
@@ -20,13 +21,13 @@ def _summary_sql(x: str, digits: int = 6) -> str:
 
 def segment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.groupBy("c_mktsegment").agg(*st.summary("o_totalprice", 4))
+    return st.summary(o.select("c_mktsegment", "o_totalprice"), ["c_mktsegment"], "o_totalprice", 4)
 
 
 def group_sum_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of the positive sums of groups."""
     sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("total")).where("l_suppkey is not null and total > 0")
-    return sums.agg(*st.summary("total", 6))
+    return st.summary(written(sums, "sums"), [], "total", 6)
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +45,20 @@ def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians of positive values, column by column."""
     names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return table(spark, sf_dir, "lineitem").agg(*(F.round(F.median(F.when(F.col(c) > 0, F.col(c))), 6).alias(c) for c in names))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.when(F.col(c) > 0, F.col(c)).alias("x")) for c in names))).alias("v")
+    medians = st.quantiles(table(spark, sf_dir, "lineitem").select(each).select("v.*"), ["name"], "x", {"median": 0.5})
+    return medians.agg(*(F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in names))
 
 
 def zonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, extremes with their cells, median and bounding box by the customers' nation."""
     o = order_grid(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell"), "o_custkey"), "cell")
     o = o.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    return o.groupBy("c_nationkey").agg(
-        F.count("*").alias("n"), F.min(F.struct("price", "cell"))["cell"].alias("lowest"), F.max(F.struct("price", "cell"))["cell"].alias("highest"), F.round(F.median("price"), 4).alias("median"),
+    of = o.groupBy("c_nationkey").agg(
+        F.count("*").alias("n"), F.min(F.struct("price", "cell"))["cell"].alias("lowest"), F.max(F.struct("price", "cell"))["cell"].alias("highest"),
         F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("cell").alias("anchor"),
     )
+    return st.beside(of, st.quantiles(o, ["c_nationkey"], "price", {"median": 0.5}, 4), ["c_nationkey"])
 
 
 def commonest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +75,8 @@ def power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of log ratios between plausible bounds."""
     li = table(spark, sf_dir, "lineitem").withColumn("ratio", F.col("l_extendedprice") / F.col("l_quantity") / 2000).where("ratio between 0.02 and 1.5")
-    return li.agg(F.count("*").alias("n"), F.round(F.exp(F.median(F.log("ratio"))), 8).alias("ratio"))
+    median = st.quantiles(li.select(F.log("ratio").alias("x")), [], "x", {"median": 0.5}, 15)
+    return st.beside(li.agg(F.count("*").alias("n")), median.select(F.round(F.exp("median"), 8).alias("ratio")), [])
 
 
 def factor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +115,8 @@ def sample_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def affine_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precipitation fitted by its tenth and ninetieth percentiles to targets, clipped, and the discharge that it gives."""
     g = order_grid(spark, sf_dir)
-    p = F.percentile("precip", F.array(F.lit(0.1), F.lit(0.9)))
-    fit = g.agg(p.alias("p")).select(((F.lit(2000.0) - 800.0) / (F.get("p", F.lit(1)) - F.get("p", F.lit(0)))).alias("scale"), F.get("p", F.lit(0)).alias("p10"))
+    p = st.quantiles(g, [], "precip", {"p10": 0.1, "p90": 0.9}, 12)
+    fit = p.select(((F.lit(2000.0) - 800.0) / (F.col("p90") - F.col("p10"))).alias("scale"), "p10")
     fit = fit.withColumn("offset", 800.0 - F.col("scale") * F.col("p10"))
     x = g.join(F.broadcast(fit)).withColumn("calibrated", F.when(F.col("land"), hy.clip(F.col("precip") * F.col("scale") + F.col("offset"), 500.0, 2500.0)).otherwise(0.0))
     return x.groupBy("zone").agg(F.round(F.avg("calibrated"), 6).alias("mean"), F.round(F.sum(hy.local_discharge(F.col("calibrated"), RESOLUTION_M)), 6).alias("q"), F.round(F.max("scale"), 8).alias("scale"), F.round(F.max("offset"), 6).alias("shift"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillspark.functions import hydrology as hy
 from rillspark.functions import identity
 from rillspark.operators import components, fill, flow, relational
+from rillspark.operators import statistics as st
 from rillspark.sources.grids import GRID_SQL, RESOLUTION_M, order_grid
 from rillspark.sources.shared import written
 
@@ -131,11 +132,9 @@ def slopes(f: DataFrame) -> DataFrame:
 
 def band_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope distribution of channels by elevation band."""
-    s = slopes(forest(spark, sf_dir))
-    q = F.percentile("slope", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return s.groupBy(hy.elevation_band(F.col("z")).alias("band")).agg(
-        F.count("*").alias("n"), F.round(F.avg("slope"), 8).alias("mean"), *(F.round(F.get(q, F.lit(i)), 8).alias(k) for i, k in enumerate(("p10", "p50", "p90")))
-    )
+    s = written(slopes(forest(spark, sf_dir)).select(hy.elevation_band(F.col("z")).alias("band"), "slope"), "slopes")
+    means = s.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("slope"), 8).alias("mean"))
+    return st.beside(means, st.quantiles(s, ["band"], "slope", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, 8), ["band"])
 
 
 def divide_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:

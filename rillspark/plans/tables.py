@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rillspark.functions import hydrology as hy
 from rillspark.functions import identity
 from rillspark.operators import components, flow, relational
-from rillspark.operators.statistics import summary
+from rillspark.operators import statistics as st
 from rillspark.plans.calibration import _summary_sql
 from rillspark.plans.drainage import _CH, _ORDERS, _STEP, _UP, AREA, CHANNEL_M2, COAST_SQL, FLOW_SQL, areas, forest, routed
 from rillspark.sources.grids import GRID_SQL, RESOLUTION_M, order_grid, table
@@ -181,17 +181,18 @@ def unit_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of units that reach a quarter of their target, as a distribution, and how many fall short."""
     u = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("size"), F.count("*").alias("n"))
     ripe = F.when(F.col("size") >= 0.25 * 60000 * F.col("n") / 1000, F.col("size"))
-    return u.withColumn("ripe", ripe).agg(*summary("ripe", 4), F.count_if(F.col("ripe").isNull()).alias("n_short"))
+    u = written(u.select(ripe.alias("ripe")), "units")
+    return st.beside(st.summary(u, [], "ripe", 4), u.agg(F.count_if(F.col("ripe").isNull()).alias("n_short")), [])
 
 
 def channel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels by zone: length, and distribution of area, discharge and specific runoff in litres per second and square kilometre."""
-    ch = areas(forest(spark, sf_dir)).where((F.col("area") >= CHANNEL_M2) & F.col("code").between(1, 8))
-    q = F.percentile("area", F.array(F.lit(0.5), F.lit(0.9)))
-    return ch.groupBy("zone").agg(
-        F.count("*").alias("n"), F.round(F.sum(flow.step_length(F.col("code"), RESOLUTION_M)) / 1e3, 3).alias("km"), F.round(F.get(q, F.lit(0)), 4).alias("area_p50"), F.round(F.get(q, F.lit(1)), 4).alias("area_p90"),
+    ch = written(areas(forest(spark, sf_dir)).where((F.col("area") >= CHANNEL_M2) & F.col("code").between(1, 8)).select("zone", "code", "area", "q"), "channels")
+    of = ch.groupBy("zone").agg(
+        F.count("*").alias("n"), F.round(F.sum(flow.step_length(F.col("code"), RESOLUTION_M)) / 1e3, 3).alias("km"),
         F.round(F.max("q"), 6).alias("most_q"), F.round(F.avg(F.col("q") / F.col("area") * 1e9), 6).alias("specific_runoff"), F.round(F.max(F.col("q") / (F.col("area") / 1e6) * hy.SECONDS_PER_YEAR / 1e3), 4).alias("runoff_mm"),
     )
+    return st.beside(of, st.quantiles(ch, ["zone"], "area", {"area_p50": 0.5, "area_p90": 0.9}, 4), ["zone"])
 
 
 def epoch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
