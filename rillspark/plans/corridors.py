@@ -1,11 +1,12 @@
-"""Queries of smoothed heights and of ways through corridors."""
+"""Queries of smoothed heights, of ways through corridors, and of lake surfaces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.operators import focal, ways
+from rillspark.operators import focal, lakes, ways
+from rillspark.plans.conditioning import _zoom_sql
 from rillspark.sources.grids import GRID_SQL, order_grid
 from rillspark.sources.shared import written
 
@@ -16,6 +17,9 @@ BLOCK, REACH = 20, 3
 #: What leaving the middle, height above the lowest, climbing and turning cost.
 DEVIATION, ELEVATION, UPHILL, TURN = 0.15, 0.02, 0.08, 0.5
 
+#: Edge of a coarse lake cell, and the mean price that makes it one.
+LAKE_BLOCK, LAKE_PRICE = 3, 270_000.0
+
 
 def smoothed_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights of the ramp smoothed by a Gaussian, and what is left."""
@@ -55,6 +59,15 @@ def guided_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(ways.cheapest(cells, ends, UPHILL, TURN), grid)
 
 
+def lake_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fine lake cells with the level of their lake: blocks of dear orders, refined three times by bilinear coverage."""
+    blocks = order_grid(spark, sf_dir).groupBy(F.expr(f"r div {LAKE_BLOCK}").alias("r"), F.expr(f"c div {LAKE_BLOCK}").alias("c")).agg(F.min("cell").alias("cell"), F.avg("price").alias("price"), F.min("price").alias("low"), F.max("z").alias("z"))
+    grid = written(blocks.select("cell", "r", "c", (F.col("price") > LAKE_PRICE).alias("wet"), F.when(F.col("r") % 3 == 0, F.col("low")).alias("surface"), "z"), "blocks")
+    found = written(lakes.completed_surfaces(grid, F.col("wet"), F.col("surface"), F.col("z")), "surfaces")
+    fine = focal.bilinear(grid.select("r", "c", F.col("wet").cast("double").alias("v")), "v", 3).where("v >= 0.5 - 1e-12").select("r", "c")
+    return lakes.refined_surfaces(grid, found, fine, 3).select("r", "c", "patch", F.round("level", 4).alias("level"))
+
+
 def _smoothed_sql(sigma: float) -> str:
     """Common tables s (cell, r, c, z, price, smooth): every cell with the weights around it, places beyond an end mirrored."""
     w = focal.gaussian_weights(sigma)
@@ -103,8 +116,17 @@ _GUIDE_SQL = f"""gd as materialized ({_LINE_SQL} (select path, r0 as y0, c0 as x
  n2 as materialized (select gd.path, s.cell, s.r, s.c, s.z, z - smooth as low, min((s.r - gd.r) * (s.r - gd.r) + (s.c - gd.c) * (s.c - gd.c)) as d2 from gd join s on s.r between gd.r - {REACH} and gd.r + {REACH} and s.c between gd.c - {REACH} and gd.c + {REACH} group by all),
  co as materialized (select path, cell, r, c, z, {DEVIATION}::double * d2 + {ELEVATION}::double * (low - min(low) over (partition by path)) as toll from n2 where d2 <= {REACH * REACH})"""
 
+_LAKES_SQL = f"""b as materialized (select r // {LAKE_BLOCK} as r, c // {LAKE_BLOCK} as c, min(cell) as cell, (avg(price) > {LAKE_PRICE}) as wet, cast(avg(price) > {LAKE_PRICE} as integer)::double as v,
+ case when (r // {LAKE_BLOCK}) % 3 = 0 then min(price) end as surface, max(z) as z from g group by 1, 2),
+ e as materialized (select a.cell, o.cell as nbr from b a join b o on a.wet and o.wet and (abs(a.r - o.r) + abs(a.c - o.c)) = 1),
+ lab(cell, patch) using key (cell) as (select cell, cell from b where wet union select x.cell, x.patch from (select e.nbr as cell, min(lab.patch) as patch from lab join e on e.cell = lab.cell group by e.nbr) x join recurring.lab o on o.cell = x.cell where x.patch < o.patch),
+ lv as materialized (select patch, coalesce(median(surface), median(z)) as level from lab join b using (cell) group by patch)"""
+
 QUERIES = {
     "smoothed_heights": (smoothed_heights, f"with {GRID_SQL}, {_smoothed_sql(SIGMA)} select cell, round(smooth, 4) as smooth, round(z - smooth, 4) as relief from s"),
     "corridor_paths": (corridor_paths, f"with recursive {GRID_SQL}, {_ENDS_SQL}, {_NEAR_SQL}, {_ways_sql(0.0)}"),
     "guided_paths": (guided_paths, f"with recursive {GRID_SQL}, {_smoothed_sql(max(1.0, REACH / 2))}, {_ENDS_SQL}, {_GUIDE_SQL}, {_ways_sql(TURN)}"),
+    "lake_surfaces": (lake_surfaces, f"with recursive {GRID_SQL}, {_LAKES_SQL}, " + _zoom_sql(3, "b", "v") + """, fn as (select r, c from zm where v >= 0.5 - 1e-12),
+ ne as (select fn.r, fn.c, min(struct_pack(d := (b.r - fn.r // 3) * (b.r - fn.r // 3) + (b.c - fn.c // 3) * (b.c - fn.c // 3), r := b.r, c := b.c, cell := b.cell)) as k from fn join b on b.wet and b.r between fn.r // 3 - 2 and fn.r // 3 + 2 and b.c between fn.c // 3 - 2 and fn.c // 3 + 2 group by all)
+ select ne.r, ne.c, lab.patch, round(lv.level, 4) as level from ne join lab on lab.cell = ne.k.cell join lv on lv.patch = lab.patch"""),
 }
