@@ -291,7 +291,7 @@ def resembling(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     hub_sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("set")))
     hub_links = cut(_verified(pairs, hub_sets, similarity), "hub-links")
     rooted = components(hub_links, "hub-links").withColumnRenamed("node", "set")
-    split = cut(met.where("n > 2").join(rooted, "set", "left").withColumn("root", F.coalesce("root", "set")), "rooted-buckets")
+    split = cut(met.join(rooted, "set", "left").withColumn("root", F.coalesce("root", "set")), "rooted-buckets")
     discard(raw, met, pairs, hub_sets)
     several = split.groupBy("key").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

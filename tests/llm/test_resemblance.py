@@ -4,8 +4,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from xxhash import xxh64_intdigest
 
 from rillspark.llm import resemblance
+from rillspark.llm.simhash import SEED, majority
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +88,30 @@ def test_bitmaps_never_rule_out_what_is_alike():
             n = min(len(bits[i]), len(bits[j]))
             most = resemblance.most_alike(resemblance.folded([bits[i]], n), resemblance.folded([bits[j]], n), size[i : i + 1], size[j : j + 1])[0]
             assert most >= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) - 1e-9
+
+
+def chain(seed):
+    """A text and what is left of it without its end or its beginning: in a prefix no shingle is in all three, as those of the middle come late."""
+    rng, w, n = random.Random(seed), [], 100
+    while len(w) < n + 4:
+        w.append(f"v{rng.randrange(10**9)}")
+        late = 15 <= len(w) - 5 < n - 15
+        while len(w) >= 5 and (xxh64_intdigest(" ".join(w[-5:]).encode(), SEED) < 1 << 63) != late:
+            w[-1] = f"v{rng.randrange(10**9)}"
+    return [" ".join(w), " ".join(w[:-15]), " ".join(w[15:])]
+
+
+def test_buckets_of_two_sets_are_compared(spark, monkeypatch):
+    """A set that meets two others apart from each other is linked to both."""
+    monkeypatch.setattr(resemblance, "LOOK", 1 << 40)  # no shingle counts as common
+
+    def fits(texts):
+        whole, *parts = sets = [resemblance.shingle_set(t, 5, xxh64_intdigest) for t in texts]
+        name = [np.uint64(xxh64_intdigest(s.tobytes(), SEED)).view(np.int64) for s in sets]
+        apart = [((majority(whole.view(np.uint64)) ^ majority(p.view(np.uint64))) % (1 << 64)).bit_count() for p in parts]
+        return name[0] == max(name) and min(apart) > resemblance.RADIUS
+
+    texts = next(t for t in map(chain, range(1_000)) if fits(t))
+    assert roots(texts) == [0, 0, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in resemblance.resembling(df).select("doc_id", "component_id").collect()) == [(0, 0), (1, 0), (2, 0)]
