@@ -16,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only, slices, texts_of
+from .common import only, pieces, slices, texts_of
 
 #: Chunks kept in a task's table before it starts anew.
 TABLE_CHUNKS = 300_000
+#: Bytes of texts that a task works on together: their chunks take some thirty times as much.
+PIECE_BYTES = 1 << 18
 #: Chunks given to the library in one call.
 RUN_CHUNKS = 1_000
 MARK = "▁"
@@ -108,11 +110,10 @@ def encode_documents(docs: DataFrame, model: str, decode: bool = True, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ChunkCodec(model)
         for b in batches:
-            texts = texts_of(b.column(1))
-            for x, y in slices(texts):
-                ids = codec.encode(texts[x:y])
+            for part in pieces(b, 1, PIECE_BYTES):
+                ids = codec.encode(texts_of(part.column(1)))
                 text = [codec.decode(i) for i in ids] if decode else [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(ids, pa.binary()), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
     return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
 

@@ -1,10 +1,14 @@
 """Token counts and SentencePiece coding against the libraries."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
+from rillspark.llm import sentence_pieces
 from rillspark.llm.sentence_pieces import decode_documents, encode_documents
 from rillspark.llm.token_counts import count_tokens
 
@@ -47,3 +51,18 @@ def test_empty_tables(spark):
     none = docs(spark, TEXTS[:1]).limit(0)
     assert count_tokens(none, public_tokenizers.path("word_bpe_49k.json")).isEmpty()
     assert encode_documents(none, public_tokenizers.path("piece_bpe_32k.model")).isEmpty()
+
+
+def test_a_task_holds_few_texts_at_a_time(monkeypatch):
+    """Pieces of a batch come back in turn, none with more bytes of texts than asked for and one text."""
+    held = {}
+    docs = SimpleNamespace(mapInArrow=lambda run, schema: held.update(run=run))
+    monkeypatch.setattr(sentence_pieces, "only", lambda *_: docs)
+    encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [None, "", *(f"text {i} " * 100 for i in range(2_000)), "é" * 400_000, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    out = list(held["run"]([batch, batch.slice(0, 0), batch.slice(5, 1)]))
+    assert [t for b in out for t in b.column(2).to_pylist()] == [*(t or "" for t in texts), texts[5]]
+    assert [i for b in out for i in b.column(0).to_pylist()] == [*range(len(texts)), 5]
+    sizes = [[len(t.encode()) for t in b.column(2).to_pylist()] for b in out]
+    assert len(out) > 5 and all(sum(s) - max(s) <= sentence_pieces.PIECE_BYTES for s in sizes)
