@@ -4,8 +4,10 @@ Each text gives a row of rule statistics, measured as how far each lies outside
 its range among labelled good documents. Trees that split random statistics at
 random places are grown on labelled documents, among which bad ones are made
 rare; a document that few splits set apart has short paths and is anomalous.
-Labelled rows calibrate the ranges and the score beyond which a document goes. Statistics are computed over every whole text in
-one pass without a shuffle; the forest is fitted on a bounded labelled sample.
+All labelled documents make the ranges, exact quantiles, and the score beyond
+which a document goes, an exact rank; each tree is grown on a random draw from
+all of them, as the method has it. Statistics are computed over every whole text
+without a shuffle of texts; what is fitted on are rows of numbers.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, labelled_texts, only, slices
+from rillspark.operators.statistics import quantiles
+
+from .common import cut, discard, only, slices
 
-#: Labelled documents that the forest is fitted and calibrated on, at most.
-FIT_ROWS = 20_000
 #: Trees, rows drawn for each, and the depth at which a tree ends.
 TREES, TREE_ROWS, TREE_DEPTH = 100, 256, 8
 #: Of a tree's rows, those drawn from bad documents: few, so that they are easy to set apart.
@@ -29,6 +31,8 @@ TREE_BAD = 8
 GOOD_LOSS = 0.002
 #: Share of good documents outside a statistic's usual range, on either side.
 OUTSIDE = 0.003
+#: Parts into which a range of scores is cut to find a rank.
+PARTS = 4_096
 SEED = 17
 
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
@@ -79,20 +83,34 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(m - 1) + np.euler_gamma) - 2 * (m - 1) / m, np.where(n == 2, 1.0, 0.0))
 
 
+def told(good: np.ndarray, bad: np.ndarray | None) -> np.ndarray:
+    """Which statistics take part, by the shares of good and of bad documents outside their ranges."""
+    return np.ones(len(good), bool) if bad is None else bad >= 2 * good
+
+
+def drawn_for_trees(of: np.ndarray, n: int, random: np.random.Generator) -> list[np.ndarray]:
+    """For each tree n of the rows without replacement; no row for two trees where they suffice."""
+    if len(of) >= TREES * n:
+        return np.split(random.permutation(of)[: TREES * n], TREES)
+    return [random.choice(of, n, replace=False) for _ in range(TREES)]
+
+
 class IsolationForest:
     """Random trees as arrays: nodes of a tree in heap order, a leaf where the feature is -1.
 
-    rows: FEATURES of labelled documents; good: which of them are good. A
-    statistic takes part only if bad documents leave its usual range at least
-    twice as often as good ones, or if there are no bad ones to tell.
+    rows: FEATURES of labelled documents that trees are grown on; good: which of
+    them are good. A statistic takes part only if bad documents leave its usual
+    range at least twice as often as good ones, or if there are no bad ones to
+    tell. usual: ends of the ranges and which statistics take part, if known of
+    more rows than these. Trees share no rows where there are enough of them.
     """
 
-    def __init__(self, rows: np.ndarray, good: np.ndarray, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, good: np.ndarray, seed: int = SEED, usual: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         random, nodes = np.random.default_rng(seed), 2 ** (TREE_DEPTH + 1)
-        self.low, self.high = np.quantile(rows[good], [OUTSIDE, 1 - OUTSIDE], axis=0)
+        self.low, self.high = usual[:2] if usual else np.quantile(rows[good], [OUTSIDE, 1 - OUTSIDE], axis=0)
         self.unit = np.maximum(self.high - self.low, 0.02)
         out = self.outside(rows) > 0
-        tells = out[~good].mean(0) >= 2 * out[good].mean(0) if (~good).any() else np.ones(rows.shape[1], bool)
+        tells = usual[2] if usual else told(out[good].mean(0), out[~good].mean(0) if (~good).any() else None)
         self.unit[~tells] = np.inf
         rows = self.outside(rows)
         self.feature = np.full((TREES, nodes), -1)
@@ -100,8 +118,9 @@ class IsolationForest:
         some, other = np.flatnonzero(good), np.flatnonzero(~good)
         bad = min(TREE_BAD, len(other))
         drawn = min(TREE_ROWS - bad, len(some)) + bad
+        of_some, of_other = drawn_for_trees(some, drawn - bad, random), drawn_for_trees(other, bad, random)
         for t in range(TREES):
-            of = np.r_[random.choice(some, drawn - bad, replace=False), random.choice(other, bad, replace=False)]
+            of = np.r_[of_some[t], of_other[t]]
             self._grow(t, 1, rows[of.astype(int)], 0, random)
         self.usual = max(float(_mean_path(np.array(drawn))), 1e-9)
 
@@ -153,8 +172,12 @@ def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
 
 def statistics(docs: DataFrame, forest: IsolationForest | None = None, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, COUNTS..., anomaly) of every whole text; anomaly is null without a forest. With `whole`, also the row."""
-    docs = only(docs, id_col, text_col, whole)
-    names = ["doc_id", *COUNTS, "anomaly", *["row"] * whole]
+    return _measured(only(docs, id_col, text_col, whole), forest)
+
+
+def _measured(docs: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """(doc_id, COUNTS..., anomaly, ...) of docs (doc_id, text, ...)."""
+    names = ["doc_id", *COUNTS, "anomaly", *docs.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,8 +188,71 @@ def statistics(docs: DataFrame, forest: IsolationForest | None = None, whole: bo
                 rest = [c.slice(x, y - x) for c in b.columns[2:]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), *map(pa.array, counts.T), score, *rest], names)
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double"
-    return docs.mapInArrow(run, f"{schema}, row {dict(docs.dtypes)['row']}" if whole else schema)
+    return docs.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "anomaly double", *(f"{k} {v}" for k, v in docs.dtypes[2:])]))
+
+
+def _table(b: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    return np.column_stack([b.column(x).to_numpy() for x in names])
+
+
+def _scored(rows: DataFrame, forest: IsolationForest, counts: bool = True) -> DataFrame:
+    """rows with COUNTS, or else with FEATURES, and the anomaly of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = features(_table(b, COUNTS)) if counts else _table(b, FEATURES)
+            yield b.append_column("anomaly", pa.array(forest.score(x)))
+
+    return rows.mapInArrow(run, ", ".join([*(f"{k} {v}" for k, v in rows.dtypes), "anomaly double"]))
+
+
+def _labelled(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, good, FEATURES...) of all labelled documents that the plain rules don't reject.
+
+    Where labels repeat the largest holds, and where rows share an id the text
+    of the smallest hash. counted: (doc_id, of_text, COUNTS...).
+    """
+    ratings = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna()
+    ratings = ratings.groupBy("doc_id").agg((F.max("label") >= 1).alias("good"))
+    one = counted.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("of_text", *COUNTS)).alias("x"))
+    rows = one.join(ratings, "doc_id").select("doc_id", "good", "x.*").drop("of_text").where(~base_failed())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *map(pa.array, features(_table(b, COUNTS)).T)], ["doc_id", "good", *FEATURES])
+
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "good boolean", *(f"{c} double" for c in FEATURES)]))
+
+
+def ranges(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the usual range of each of FEATURES among good rows, and which of FEATURES take part, over all rows."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.col(c).alias("value")) for i, c in enumerate(FEATURES))))
+    found = quantiles(rows.where("good").select(each.alias("x")).select("x.*"), ["feature"], "value", {"low": OUTSIDE, "high": 1 - OUTSIDE}, digits=30)
+    low, high = np.array([(r["low"], r["high"]) for r in sorted(found.collect())]).T
+    out = (F.avg(((F.col(c) < a.item()) | (F.col(c) > b.item())).cast("double")) for c, a, b in zip(FEATURES, low, high, strict=True))
+    shares = {r[0]: np.array(r[1:]) for r in rows.groupBy("good").agg(*out).collect()}
+    return low, high, told(shares[True], shares.get(False))
+
+
+def ranked(scores: DataFrame, rank: int) -> float:
+    """The value of a rank (from 0) among the values of `anomaly`: the range that holds it is cut into parts until one value is left."""
+    low, high = scores.agg(F.min("anomaly"), F.max("anomaly")).first()
+    while low < high:
+        part = F.least(F.floor((F.col("anomaly") - low) / (high - low) * PARTS), F.lit(PARTS - 1))
+        inside = scores.where(F.col("anomaly").between(low, high)).groupBy(part.alias("part"))
+        for _, n, low, high in inside.agg(F.count("*"), F.min("anomaly"), F.max("anomaly")).orderBy("part").collect():  # noqa: B007
+            if rank < n:
+                break
+            rank -= n
+    return low
+
+
+def threshold(scores: DataFrame, n: int) -> float:
+    """What calibrate() gives, of a table (anomaly, good) with n good rows."""
+    keep = scores.where("good")
+    least = ranked(keep, min(n - 1, int(np.ceil(n * (1 - GOOD_LOSS))) - 1))
+    above = scores.where(~F.col("good") & (F.col("anomaly") > least)).agg(F.min("anomaly")).first()[0]
+    return float(keep.agg(F.max("anomaly")).first()[0] if above is None else (least + above) / 2)
 
 
 def base_failed() -> F.Column:
@@ -174,26 +260,29 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[IsolationForest, float] | None:
-    """The forest and its threshold, from at most `limit` labelled documents (quality 1 good, 0 bad).
+def fit(counted: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
+    """The forest and its threshold, from all labelled documents (quality 1 good, 0 bad). counted: (doc_id, of_text, COUNTS...).
 
-    Documents that the plain rules reject take no part. Where rows share an id,
-    the text of the smallest hash counts. None if fewer than two good documents remain.
+    Documents that the plain rules reject take no part. None if fewer than two
+    good documents remain. To the driver come the rows that trees are grown on,
+    at most TREE_ROWS for each tree: those of smallest hashed id.
     """
-    sample = labelled_sample(labels, "quality", limit)
-    rows = (
-        statistics(labelled_texts(docs, sample)).where(~base_failed()).join(F.broadcast(sample), "doc_id").orderBy("doc_id")
-        .select("label", *COUNTS).toPandas()
-    )
-    good = rows["label"].to_numpy() >= 1
-    if good.sum() < 2:
+    rows = cut(_labelled(counted, labels), "rule-rows")
+    good = rows.where("good").count()
+    if good < 2:
+        discard(rows)
         return None
-    x = features(rows[list(COUNTS)].to_numpy())
-    forest = IsolationForest(x, good)
-    return forest, calibrate(forest.score(x), good)
+    usual = ranges(rows)
+    for_trees = ((rows.where("good"), TREE_ROWS), (rows.where("not good"), TREE_BAD))
+    grown = [of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TREES * n).select(*FEATURES).toPandas().to_numpy(float) for of, n in for_trees]
+    forest = IsolationForest(np.concatenate(grown), np.arange(sum(map(len, grown))) < len(grown[0]), usual=usual)
+    scores = cut(_scored(rows, forest, counts=False).select("anomaly", "good"), "rule-scores")
+    most = threshold(scores, good)
+    discard(rows, scores)
+    return forest, most
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, whole: bool = False) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, COUNTS..., anomaly, base_failed, kept) of every document.
 
     kept: not rejected by the plain rules, and no anomaly. docs needs doc_id and
@@ -205,7 +294,13 @@ def apply_rules(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, whole
     documents (an empty labels table, say) only the plain rules decide, and
     anomaly is null. An empty table gives an empty one.
     """
-    model = fit(docs, labels, limit)
-    forest, most = model or (None, 0.0)
+    of_text = F.xxhash64(F.coalesce("text", F.lit("")))
+    counted = cut(_measured(only(docs, "doc_id", "text").withColumn("of_text", of_text), None).drop("anomaly"), "rule-statistics")
+    forest, most = fit(counted, labels) or (None, 0.0)
     calm = F.coalesce(F.col("anomaly") <= F.lit(most), F.lit(True))
-    return statistics(docs, forest, whole).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & calm)
+    if whole:  # rows are read again, which costs less than to write them
+        discard(counted)
+        found = statistics(docs, forest, whole)
+    else:
+        found = (_scored(counted, forest) if forest else counted.withColumn("anomaly", F.lit(None).cast("double"))).drop("of_text")
+    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & calm)

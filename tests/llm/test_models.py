@@ -284,3 +284,35 @@ def test_mixture_on_odd_rows(spark):
     assert len(got) == len(ODD) and all(r.rate == 1.0 and r.copies == 1 for r in got if r.doc_id in (1, 2))
     assert {r.rate for r in mixing.mix(odd(spark), labelled.limit(0), {"a": 1.0}).collect()} == {1.0}
     assert mixing.mix(odd(spark).limit(0), labelled, {"a": 1.0}).isEmpty()
+
+
+def test_rules_learn_from_every_labelled_document(spark):
+    """Ranges, the statistics that take part and the threshold, against plain sums over more labelled rows than a sample would hold."""
+    rng = np.random.default_rng(9)
+    n = 24_000
+    words = np.array(["".join(rng.choice(list("abcdefgXY019,."), rng.integers(2, 12))) for _ in range(3_000)])
+    texts, bad = [" ".join(w) for w in words[rng.integers(0, len(words), (n, 52))]], rng.random(n) < 0.1
+    texts = [t.upper() + " ###" * int(k) if b else t for t, b, k in zip(texts, bad, rng.integers(0, 9, n), strict=True)]
+    docs = spark.createDataFrame(list(zip(range(n), texts, strict=True)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(not b)) for i, b in enumerate(bad)], "doc_id long, quality int")
+    got = quality_rules.apply_rules(docs, labels).toPandas().sort_values("doc_id")
+    known, good = ~got["base_failed"].to_numpy(), ~bad
+    assert known.sum() > 20_000
+    score = got["anomaly"].to_numpy()
+    most = quality_rules.calibrate(score[known], good[known])
+    assert got["kept"].tolist() == (known & (score <= most)).tolist()
+    x = quality_rules.features(got[list(quality_rules.COUNTS)].to_numpy())[known]
+    rows = spark.createDataFrame([(*map(float, r), bool(g)) for r, g in zip(x, good[known], strict=True)], [*quality_rules.FEATURES, "good"])
+    low, high, tells = quality_rules.ranges(rows)
+    plain = quality_rules.IsolationForest(x, good[known])
+    assert np.allclose(low, plain.low, atol=1e-12) and np.allclose(high, plain.high, atol=1e-12) and tells.tolist() == np.isfinite(plain.unit).tolist()
+
+
+def test_ranks_of_scores(spark):
+    rng = np.random.default_rng(4)
+    score, good = np.round(rng.random(3_000) ** 8, 4), rng.random(3_000) < 0.8
+    df = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good, strict=True)], "anomaly double, good boolean")
+    for k in (0, 1, 1_500, 2_998, 2_999):
+        assert quality_rules.ranked(df, k) == np.sort(score)[k]
+    assert quality_rules.threshold(df, int(good.sum())) == quality_rules.calibrate(score, good)
+    assert quality_rules.threshold(df.where("good"), int(good.sum())) == quality_rules.calibrate(score[good], good[good])
