@@ -268,13 +268,17 @@ def fit(counted: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float]
     at most TREE_ROWS for each tree: those of smallest hashed id.
     """
     rows = cut(_labelled(counted, labels), "rule-rows")
-    good = rows.where("good").count()
+    good, bad = rows.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
     if good < 2:
         discard(rows)
         return None
     usual = ranges(rows)
-    for_trees = ((rows.where("good"), TREE_ROWS), (rows.where("not good"), TREE_BAD))
-    grown = [of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TREES * n).select(*FEATURES).toPandas().to_numpy(float) for of, n in for_trees]
+    place = F.xxhash64("doc_id")
+    grown = []
+    for of, m, n in ((rows.where("good"), good, TREES * TREE_ROWS), (rows.where("not good"), bad, TREES * TREE_BAD)):
+        # each task sends its first n rows, so no more than about twice as many take part
+        first = of.where(place <= F.lit((min(max(m, 1), 2 * n) << 64) // max(m, 1) - (1 << 63) - 1)).orderBy(place, "doc_id").limit(n)
+        grown.append(first.select(*FEATURES).toPandas().to_numpy(float))
     forest = IsolationForest(np.concatenate(grown), np.arange(sum(map(len, grown))) < len(grown[0]), usual=usual)
     scores = cut(_scored(rows, forest, counts=False).select("anomaly", "good"), "rule-scores")
     most = threshold(scores, good)
