@@ -11,7 +11,7 @@ from rillspark.sources.shared import written
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, of: dict[str, float], digits: int = 6) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], x: str, of: dict[str, float], digits: int = 6, places: int | None = None) -> DataFrame:
     """(by..., names of `of`...): exact quantiles of x in each group, linear between neighbouring ranks, rounded.
 
     Values are counted first, then lie in ranges over (group, value): counts of
@@ -19,6 +19,8 @@ def quantiles(df: DataFrame, by: list[str], x: str, of: dict[str, float], digits
     are numbered. So no task holds a group, and equal values are one row. Nulls
     don't count; a group without a value has nulls; NaN is the largest value.
     Groups by null are groups as others are; without `by` there is one group.
+    places: x are decimals of so many places, and so are quantiles: what lies
+    between two ranks is cut to them from the lower, as SQL does with decimals.
     """
     if not of or any(not 0 <= q <= 1 for q in of.values()):
         raise ValueError("quantiles lie between 0 and 1")
@@ -39,6 +41,9 @@ def quantiles(df: DataFrame, by: list[str], x: str, of: dict[str, float], digits
 
     def between(name: str, q: float) -> Column:
         low, high = F.col(f"{name} low"), F.col(f"{name} high")
+        if places is not None:
+            unit = 10.0**places
+            return F.round(low + F.floor(F.round((high - low) * unit) * (at(q) - F.floor(at(q)))) / unit, digits).alias(name)
         return F.round(F.when(low == high, low).otherwise((F.ceil(at(q)) - at(q)) * low + (at(q) - F.floor(at(q))) * high), digits).alias(name)
 
     every = counts.select("k").distinct() if by else counts.sparkSession.range(1).select(group.alias("k"))

@@ -1,5 +1,6 @@
 """Exact quantiles by rank against numpy."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -29,3 +30,11 @@ def test_an_empty_table_has_one_row_of_nulls_or_no_groups(spark):
     assert [tuple(r) for r in st.quantiles(df, [], "x", OF).collect()] == [(None,) * len(OF)]
     with pytest.raises(ValueError, match="between"):
         st.quantiles(df, [], "x", {"p": 1.5})
+
+
+@pytest.mark.parametrize("n", [2, 8, 1502, 90_000])
+def test_quantiles_of_decimals_are_cut_to_their_places(spark, n):
+    df = spark.range(n).selectExpr("700.0D + (id * 104729) % 1500 as x")
+    sql = f"select quantile_cont(x, 0.1), quantile_cont(x, 0.5), quantile_cont(x, 0.9) from (select 700.0 + (i * 104729) % 1500 as x from range({n}) r(i))"
+    got = st.quantiles(df, [], "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, 12, places=1).first()
+    assert tuple(got) == tuple(map(float, duckdb.connect().sql(sql).fetchall()[0]))
