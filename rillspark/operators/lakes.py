@@ -28,7 +28,7 @@ def completed_surfaces(grid: DataFrame, lake: Column, surface: Column, terrain:
     """
     own = written(grid.where(F.coalesce(lake, F.lit(False))).select("cell", "r", "c", _finite(surface).alias("surface"), (F.lit(None).cast("double") if terrain is None else _finite(terrain)).alias("terrain")), "lake-cells")
     cells = written(own.join(components.patches(own.select("cell", "r", "c"), NEAREST_FOUR), "cell"), "lakes")
-    both = {name: quantiles(cells, ["patch"], name, {f"of_{name}": 0.5}, 12) for name in ("surface", "terrain")}
+    both = {name: quantiles(cells, ["patch"], name, {f"of_{name}": 0.5}, None) for name in ("surface", "terrain")}
     levels, unknown = counted(
         both["surface"].join(both["terrain"], "patch").select("patch", F.coalesce("of_surface", "of_terrain").alias("level"), F.col("of_surface").isNotNull().alias("supplied")), "levels", F.col("level").isNull()
     )

@@ -11,8 +11,8 @@ from rillspark.sources.shared import written
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, of: dict[str, float], digits: int = 6, places: int | None = None) -> DataFrame:
-    """(by..., names of `of`...): exact quantiles of x in each group, linear between neighbouring ranks, rounded.
+def quantiles(df: DataFrame, by: list[str], x: str, of: dict[str, float], digits: int | None = 6, places: int | None = None) -> DataFrame:
+    """(by..., names of `of`...): exact quantiles of x in each group, linear between neighbouring ranks, rounded unless digits is None.
 
     Values are counted first, then lie in ranges over (group, value): counts of
     a group's ranges say which of them hold the ranks asked for, and those alone
@@ -41,10 +41,11 @@ def quantiles(df: DataFrame, by: list[str], x: str, of: dict[str, float], digits
 
     def between(name: str, q: float) -> Column:
         low, high = F.col(f"{name} low"), F.col(f"{name} high")
+        exact = F.when(low == high, low).otherwise((F.ceil(at(q)) - at(q)) * low + (at(q) - F.floor(at(q))) * high)
         if places is not None:
             unit = 10.0**places
-            return F.round(low + F.floor(F.round((high - low) * unit) * (at(q) - F.floor(at(q)))) / unit, digits).alias(name)
-        return F.round(F.when(low == high, low).otherwise((F.ceil(at(q)) - at(q)) * low + (at(q) - F.floor(at(q))) * high), digits).alias(name)
+            exact = low + F.floor(F.round((high - low) * unit) * (at(q) - F.floor(at(q)))) / unit
+        return (exact if digits is None else F.round(exact, digits)).alias(name)
 
     every = counts.select("k").distinct() if by else counts.sparkSession.range(1).select(group.alias("k"))
     return every.join(found, "k", "left").select(*(F.col("k")[name].alias(name) for name in by), *(between(name, q) for name, q in of.items()))

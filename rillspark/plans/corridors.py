@@ -64,8 +64,9 @@ def lake_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = order_grid(spark, sf_dir).groupBy(F.expr(f"r div {LAKE_BLOCK}").alias("r"), F.expr(f"c div {LAKE_BLOCK}").alias("c")).agg(F.min("cell").alias("cell"), F.avg("price").alias("price"), F.min("price").alias("low"), F.max("z").alias("z"))
     grid = written(blocks.select("cell", "r", "c", (F.col("price") > LAKE_PRICE).alias("wet"), F.when(F.col("r") % 3 == 0, F.col("low")).alias("surface"), "z"), "blocks")
     found = written(lakes.completed_surfaces(grid, F.col("wet"), F.col("surface"), F.col("z")), "surfaces")
-    fine = focal.bilinear(grid.select("r", "c", F.col("wet").cast("double").alias("v")), "v", 3).where("v >= 0.5 - 1e-12").select("r", "c")
-    return lakes.refined_surfaces(grid, found, fine, 3).select("r", "c", "patch", F.round("level", 4).alias("level"))
+    fine = focal.bilinear(grid.select("r", "c", F.col("wet").cast("double").alias("v")), "v", 3, ragged=False).where("v >= 0.5 - 1e-12").select("r", "c")
+    level = F.round(F.col("level") * 1e4) / 1e4  # SQL rounds the double times 10,000, not its decimals
+    return lakes.refined_surfaces(grid, found, fine, 3).select("r", "c", "patch", level.alias("level"))
 
 
 def _smoothed_sql(sigma: float) -> str:

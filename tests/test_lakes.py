@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillspark.operators import lakes
+from rillspark.plans import registry
 
 
 def test_levels_are_medians_of_lakes_and_reach_the_nearest_shore(spark):
@@ -49,3 +51,15 @@ def test_lakes_without_any_level_are_refused_and_no_lakes_are_none(spark):
     none = lakes.completed_surfaces(grid, F.lit(False), F.col("known"))
     assert none.collect() == []
     assert [x.level for x in lakes.refined_surfaces(grid, none, grid.select("r", "c"), 1).collect()] == [None] * 3
+
+
+def test_surfaces_equal_their_sql_where_the_last_row_of_blocks_is_short(spark, tmp_path):
+    """Also where the decimals of a level lie halfway between two roundings and the double times 10,000 doesn't."""
+    wet = {(2, 0): 292_826.0, (2, 1): 369_389.0, (2, 3): 400_000.0}  # blocks of three by three; the last row has five of eleven cells
+    rows = [(i, "F", wet.get((i // 11 // 3, i % 11 // 3), 100_000.0)) for i in range(9 * 11 + 5)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = registry.queries()["lake_surfaces"](spark, str(tmp_path)).select("r", "c", "patch", "level").collect()
+    expected = con.sql(f"select r, c, patch, level from ({registry.oracle_sql()['lake_surfaces']})").fetchall()
+    assert {x.patch for x in got} == {66, 75} and sorted(map(tuple, got)) == sorted(expected)
