@@ -39,6 +39,15 @@ def test_streams_equal_the_plain_generator(spark, monkeypatch):
         assert len(got[t]) == 900 and np.allclose(values, plain(s, 900), rtol=0, atol=1e-12)
 
 
+def test_a_tile_of_few_values_draws_what_it_needs_and_shuffles_no_values(spark):
+    df = spark.createDataFrame([(5, "77"), (6, "78")], "tile long, seed string")
+    few = noise.noise(df, 256)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    got = {(r.tile, r.place): r.value for r in few.collect()}
+    assert len(got) == 512 and all(np.allclose([got[t, i] for i in range(256)], plain(s, 256), rtol=0, atol=1e-12) for t, s in ((5, 77), (6, 78)))
+
+
 def test_jumps_equal_single_steps():
     state = 987654321
     for n in (0, 1, 2, 7, 1000):
