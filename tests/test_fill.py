@@ -38,6 +38,25 @@ def test_levels_equal_a_flood_whatever_the_tiles(spark, tile):
     assert got == {r * 31 + c: w.item() for (r, c), w in np.ndenumerate(flood(z, terminal))}
 
 
+def test_levels_pass_through_groups_of_groups_in_rounds_that_no_way_adds_to(spark, monkeypatch):
+    """A winding valley crosses 50 tiles again and again; every written table is counted."""
+    monkeypatch.setattr(fill, "GROUP", 2)
+    made, write = [], fill.written
+    monkeypatch.setattr(fill, "written", lambda df, what: made.append(what) or write(df, what))
+    rng = np.random.default_rng(5)
+    z, terminal, zone = rng.integers(0, 9, (15, 29)) + 0.5, np.zeros((15, 29), bool), np.zeros((15, 29), int)
+    z[1::2], z[1::4, -1], z[3::4, 0] = 99.0, 3.0, 3.0
+    zone[:, 20:] = 1
+    terminal[0, 0] = True
+    rows = [(r * 29 + c, r - 4, c - 7, z[r, c].item(), bool(terminal[r, c]), int(zone[r, c])) for r, c in np.ndindex(z.shape)]
+    df = spark.createDataFrame(rows, "cell long, r long, c long, h double, leaves boolean, zone int")
+    got = {x.cell: x.w for x in fill.fill(df, "h", F.col("leaves"), 3).collect()}
+    assert got == {r * 29 + c: w.item() for (r, c), w in np.ndenumerate(flood(z, terminal))}
+    assert len(made) == 1 + 4 + 4 + 1 and len(set(got.values())) > 3  # cells, four sizes of groups up and down, tiles
+    apart = {x.cell: x.w for x in fill.fill(df, "h", F.col("leaves"), 3, F.col("zone")).collect()}
+    assert {k for k, w in apart.items() if w == np.inf} == {r * 29 + c for r, c in np.ndindex(z.shape) if c >= 20}
+
+
 def heap_route(z, land, terminal, zone):
     """A flood in order of (level, steps, cell): the first neighbour that it reaches receives."""
     cols = z.shape[1]
