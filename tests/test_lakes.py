@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillspark.operators import lakes
+from rillspark.operators import components, lakes
 from rillspark.plans import registry
 
 
@@ -63,3 +63,26 @@ def test_surfaces_equal_their_sql_where_the_last_row_of_blocks_is_short(spark, t
     got = registry.queries()["lake_surfaces"](spark, str(tmp_path)).select("r", "c", "patch", "level").collect()
     expected = con.sql(f"select r, c, patch, level from ({registry.oracle_sql()['lake_surfaces']})").fetchall()
     assert {x.patch for x in got} == {66, 75} and sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_only_parts_that_meet_across_tiles_take_part_in_rounds_of_stars(spark, monkeypatch):
+    monkeypatch.setattr(components, "TILE", 5)
+    linked, star = [], components.components
+    monkeypatch.setattr(components, "components", lambda links, what: linked.append(links.count()) or star(links, what))
+    rng = np.random.default_rng(2)
+    mask, kind = rng.random((19, 23)) < 0.5, rng.integers(0, 2, (19, 23))
+    for reach, same in ((((0, 1), (1, -1), (1, 0), (1, 1)), None), (((0, 1), (1, 0)), "kind")):
+        df = spark.createDataFrame([(r * 23 + c, r - 3, c, [None, "a", "b"][kind[r, c] + 1]) for r, c in np.ndindex(mask.shape) if mask[r, c]], "cell long, r int, c int, kind string")
+        patch = {}
+        for start in np.ndindex(mask.shape):
+            if mask[start] and start not in patch:
+                stack, patch[start] = [start], start[0] * 23 + start[1]
+                while stack:
+                    r, c = stack.pop()
+                    for i, j in (*reach, *((-i, -j) for i, j in reach)):
+                        n = (r + i, c + j)
+                        if 0 <= n[0] < 19 and 0 <= n[1] < 23 and mask[n] and n not in patch and (same is None or kind[n] == kind[r, c]):
+                            patch[n] = patch[start]
+                            stack.append(n)
+        assert {x.cell: x.patch for x in components.patches(df, reach, same).collect()} == {r * 23 + c: p for (r, c), p in patch.items()}
+    assert linked[0] < mask.sum()
