@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions import hydrology as hy
@@ -173,17 +173,25 @@ def terrain_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirteen terrain channels of nine children of each cell: exact and repeated parent, gradients, position indices,
     relief and roughness over 3 and 9 cells, the child's place, and curvature."""
     g = order_grid(spark, sf_dir).select("r", "c", "z").withColumn("zz", F.col("z") * F.col("z"))
-    for k, name in ((1, "3"), (4, "9")):
-        g = focal.padded_mean(focal.padded_mean(g, "z", k, f"mean{name}"), "zz", k, f"square{name}")
-        g = focal.extreme(focal.extreme(g, "z", k, F.max, f"high{name}"), "z", k, F.min, f"low{name}")
-    parts = {"dx": focal.padded_gradient("z", "c", H), "dy": focal.padded_gradient("z", "r", H), "curvature": focal.laplacian("z", 900.0)}
+    # all windows along rows first, then all along columns: two shuffles
+    windows, whole = ((1, "3"), (4, "9")), {"mean": ("z", focal.padded_sum), "square": ("zz", focal.padded_sum), "high": ("z", F.max), "low": ("z", F.min)}
+
+    def over(x: str, f, axis: str, k: int) -> Column:
+        return f(x, axis, k) if f is focal.padded_sum else f(x).over(focal.along(axis).rowsBetween(-k, k))
+
+    sides = {"west": F.coalesce(focal.before("z", "c"), F.col("z")), "east": F.coalesce(focal.after("z", "c"), F.col("z"))}
+    g = g.withColumns({f"{what}{name}": over(x, f, "c", k) for k, name in windows for what, (x, f) in whole.items()} | {"dx": focal.padded_gradient("z", "c", H)} | sides)
+    area = lambda f, k: (2 * k + 1) ** 2 if f is focal.padded_sum else 1
+    north, south = F.coalesce(focal.before("z", "r"), F.col("z")), F.coalesce(focal.after("z", "r"), F.col("z"))
+    curvature = (north + south + F.col("west") + F.col("east") - 4 * F.col("z")) / 900.0
+    g = g.withColumns({f"{what}{name}": over(f"{what}{name}", f, "r", k) / area(f, k) for k, name in windows for what, (_, f) in whole.items()} | {"dy": focal.padded_gradient("z", "r", H), "curvature": curvature})
+    parts = {x: F.col(x) for x in ("dx", "dy", "curvature")}
     for name in ("3", "9"):
         parts |= {f"tpi{name}": F.col("z") - F.col(f"mean{name}"), f"relief{name}": F.col(f"high{name}") - F.col(f"low{name}")}
         parts[f"rough{name}"] = F.sqrt(F.greatest(F.col(f"square{name}") - F.col(f"mean{name}") * F.col(f"mean{name}"), F.lit(0.0)))
-    g = g.select("r", "c", "z", *(v.alias(k) for k, v in parts.items()))
-    fine = focal.bilinear3_all(g, ["z", *parts])
-    fine = fine.join(g.select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("z").alias("parent")), ["pr", "pc"])
-    exact = F.col("parent") + focal.zero_mean("z")
+    g = g.select("r", "c", "z", F.col("z").alias("parent"), *(v.alias(k) for k, v in parts.items()))
+    fine = focal.bilinear3_all(g, ["z", *parts], ("parent",), ("z",))
+    exact = F.col("parent") + (F.col("z") - F.col("mean_z"))
     return fine.select(
         "r", "c", F.round(exact, 6).alias("exact"), "parent", *((F.round(k, 6) + 0.0).alias(k) for k in parts),  # no zero with a sign
         (F.pmod("c", F.lit(3)) - 1).alias("phase_x"), (F.pmod("r", F.lit(3)) - 1).alias("phase_y"),

@@ -61,3 +61,10 @@ def test_bilinear_by_any_factor(spark):
             want = (1 - p) * ((1 - q) * v[a, b] + q * v[a, b + 1]) + p * ((1 - q) * v[a + 1, b] + q * v[a + 1, b + 1])
             assert abs(x - want) < 1e-9
     assert {x.v for x in focal.bilinear(df.where((F.col("r") == 0) & (F.col("c") == 0)), "v", 3).collect()} == {0.0}
+
+
+def test_a_terrain_stack_shuffles_parents_alone(spark):
+    from rillspark.plans import registry
+
+    plan = registry.queries()["terrain_stack"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Exchange" not in plan[: plan.index("Generate explode")]
